@@ -25,9 +25,16 @@ TABLES: dict[str, str] = {
                     AS DECIMAL(12,2)) AS freight_value
         FROM lineitem""",
     "raw_payments": """
-        SELECT l_orderkey AS order_id, l_linenumber AS payment_sequential,
-               o_orderpriority AS payment_type, l_linenumber AS payment_installments
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        SELECT l_orderkey AS order_id, 1 AS payment_sequential, o_orderpriority AS payment_type,
+               max(l_linenumber) AS payment_installments
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        GROUP BY l_orderkey, o_orderpriority""",
+    "line_payments": """
+        SELECT l_orderkey AS order_id,
+               first(l_returnflag ORDER BY l_linenumber, l_returnflag)
+                   FILTER (WHERE l_returnflag IS NOT NULL) AS payment_type,
+               max(l_linenumber) AS payment_installments
+        FROM lineitem GROUP BY l_orderkey""",
     "raw_reviews": """
         SELECT l_orderkey AS order_id, CAST(ceil(l_quantity / 10) AS INTEGER) AS review_score
         FROM lineitem""",

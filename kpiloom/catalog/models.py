@@ -59,12 +59,16 @@ def score_table(ws: Workspace):
     return scored.withColumn("prediction", F.when(F.col("probability") > 0.5, 1).otherwise(0))
 
 
-def anomaly_rows(ws: Workspace):
+def anomaly_base(ws: Workspace):
     return extracts.extract(
-        ws.spark, ws.sf_dir, "anomaly-rows", lambda: anomaly.feature_frame(ws.star)
+        ws.spark, ws.sf_dir, "anomaly-base", lambda: anomaly.base_rows(ws.star)
     )
 
 
+def anomaly_rows(ws: Workspace):
+    return anomaly.feature_frame(anomaly_base(ws))
+
+
 def forest_nodes(ws: Workspace):
     return extracts.extract(
         ws.spark, ws.sf_dir, "forest-nodes", lambda: anomaly.fit_forest(anomaly_rows(ws))
@@ -250,7 +254,7 @@ def _(ws: Workspace):
     "SELECT * REPLACE (CAST(dow_num AS INTEGER) AS dow_num) FROM anomaly_features",
 )
 def _(ws: Workspace):
-    return anomaly.feature_frame(ws.star)
+    return anomaly_rows(ws)
 
 
 @query(
@@ -264,7 +268,7 @@ def _(ws: Workspace):
     + " FROM anomaly_features",
 )
 def _(ws: Workspace):
-    scaled = anomaly.standardize(anomaly.feature_frame(ws.star))
+    scaled = anomaly.standardize(anomaly_rows(ws))
     return scaled.select("order_id", *[F.round(c, 5).alias(c) for c in anomaly.FEATURES])
 
 

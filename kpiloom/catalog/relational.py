@@ -10,14 +10,22 @@ from kpiloom.models import attrition, forecast
 from kpiloom.operators import keys
 from kpiloom.operators.quantiles import exact_percentiles
 from kpiloom.plans import guard, kpi, star
+from kpiloom.sources import extracts
 
 # Thresholds that select something on the given tables (prices are larger there).
 PRICE_ABOVE = 300_000
 DAYS_ABOVE = 20
 
 
+def daily_orders(ws: Workspace):
+    """The daily series, one row per calendar day, written once for all uses."""
+    return extracts.extract(
+        ws.spark, ws.sf_dir, "daily-orders", lambda: forecast.daily_orders(ws.star)
+    )
+
+
 def series_frame(ws: Workspace):
-    return forecast.long_series(forecast.daily_orders(ws.star))
+    return forecast.long_series(daily_orders(ws))
 
 
 def baseline(ws: Workspace):
@@ -322,9 +330,16 @@ def _(ws: Workspace):
     return star.order_items(ws.raw["items"])
 
 
-@query("agg_first_max", "SELECT * FROM order_payments")
+@query("agg_first_max", "SELECT * FROM line_payments")
 def _(ws: Workspace):
-    return star.order_payments(ws.raw["payments"])
+    """First type and largest count per order, over several rows per order."""
+    lines = ws.table("lineitem").select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("payment_sequential"),
+        F.col("l_returnflag").alias("payment_type"),
+        F.col("l_linenumber").alias("payment_installments"),
+    )
+    return star.order_payments(lines)
 
 
 @query("agg_mean_round_even", "SELECT * FROM order_reviews")
@@ -358,7 +373,7 @@ def _(ws: Workspace):
     "SELECT min(ds) AS first_day, max(ds) AS last_day, count(ds) AS days FROM daily",
 )
 def _(ws: Workspace):
-    return forecast.series_range(forecast.daily_orders(ws.star))
+    return forecast.series_range(daily_orders(ws))
 
 
 @query(
@@ -478,7 +493,7 @@ def _(ws: Workspace):
        FROM fact_orders JOIN dim_geography USING (geo_id) GROUP BY state""",
 )
 def _(ws: Workspace):
-    revenue = kpi.revenue_by_state(ws.star)
+    revenue = kpi.state_totals(ws.star)
     total = revenue.agg(F.sum("revenue").cast("double")).scalar()
     return revenue.withColumn("share", F.col("revenue").cast("double") / total)
 
@@ -535,7 +550,7 @@ def _(ws: Workspace):
        SELECT * FROM (SELECT 'tail' AS part, ds, order_count FROM daily ORDER BY ds DESC LIMIT 90)""",
 )
 def _(ws: Workspace):
-    daily = forecast.daily_orders(ws.star).select("ds", "order_count")
+    daily = daily_orders(ws).select("ds", "order_count")
     head = daily.orderBy("ds").limit(10).select(F.lit("head").alias("part"), "ds", "order_count")
     tail = daily.orderBy(F.desc("ds")).limit(90)
     return head.unionByName(tail.select(F.lit("tail").alias("part"), "ds", "order_count"))
@@ -546,7 +561,7 @@ def _(ws: Workspace):
     "SELECT ds, is_future FROM baseline_days WHERE series = 'orders'",
 )
 def _(ws: Workspace):
-    return forecast.history_and_future(forecast.daily_orders(ws.star))
+    return forecast.history_and_future(daily_orders(ws))
 
 
 # -- scalar functions -------------------------------------------------------
@@ -612,7 +627,7 @@ def _(ws: Workspace):
        FROM (SELECT max(ds) AS last_day FROM daily)""",
 )
 def _(ws: Workspace):
-    return forecast.future_days(forecast.daily_orders(ws.star))
+    return forecast.future_days(daily_orders(ws))
 
 
 @query(

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from kpiloom import schemas
 from kpiloom.catalog.registry import Workspace, query
+from kpiloom.catalog.relational import baseline
 from kpiloom.catalog.tables import _COUNTS, stored_star
-from kpiloom.models import attrition, forecast
+from kpiloom.models import attrition
 from kpiloom.plans import kpi
 from kpiloom.session import fresh_path
 from kpiloom.sources import extracts, readers, sinks
@@ -115,8 +116,7 @@ def _(ws: Workspace):
 def _(ws: Workspace):
     """The forecast extract as CSV, read back with its declared types."""
     path = fresh_path(ws.spark, "forecast-csv")
-    series = forecast.long_series(forecast.daily_orders(ws.star))
-    sinks.write_csv(forecast.baseline_forecast(series).select(FORECAST_CSV.fieldNames()), path)
+    sinks.write_csv(baseline(ws).select(FORECAST_CSV.fieldNames()), path)
     rows = readers.scan_csv(ws.spark, path, FORECAST_CSV)
     return rows.select(
         "series", "ds", *[F.round(c, 3).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")]

@@ -47,18 +47,14 @@ def median_review(orders: DataFrame) -> DataFrame:
     return exact_percentiles(orders, "review_score", [0.5]).select(F.col("p0").alias("median"))
 
 
-def feature_frame(star: Star) -> DataFrame:
-    """Delivered-and-priced orders with the eight model features.
-
-    A missing review becomes the median of the selected orders; any other
-    missing feature becomes zero.
-    """
+def base_rows(star: Star) -> DataFrame:
+    """Orders with a price and a positive delivery time, before filling."""
     chosen = dated_orders(star).where(
         F.col("price").isNotNull()
         & F.col("delivery_days").isNotNull()
         & (F.col("delivery_days") > 0)
     )
-    selected = chosen.select(
+    return chosen.select(
         "order_id",
         F.col("price").cast("double").alias("price"),
         F.col("freight_value").cast("double").alias("freight_value"),
@@ -68,8 +64,17 @@ def feature_frame(star: Star) -> DataFrame:
         C.map_values(F.col("day_of_week"), L.WEEKDAY_CODE, 0).alias("dow_num"),
         "month",
     )
-    review = F.coalesce(F.col("review_score"), median_review(selected).scalar())
-    return selected.select(
+
+
+def feature_frame(base: DataFrame) -> DataFrame:
+    """The eight model features of every selected order.
+
+    A missing review becomes the median of the selected orders; any other
+    missing feature becomes zero. ``base`` is read twice, so pass a written
+    table when it is expensive to build.
+    """
+    review = F.coalesce(F.col("review_score"), median_review(base).scalar())
+    return base.select(
         "order_id",
         "price",
         C.fill_missing(F.col("freight_value"), 0.0).alias("freight_value"),

@@ -38,6 +38,9 @@ CATEGORICAL = ["gender", "overtime", "department_name", "job_role"]
 SEED = 42
 TEST_SHARE = 0.2
 FOLDS = 5
+# Stands for a missing number: below every real value, so a tree can send the
+# rows that lack a feature to their own side.
+MISSING = -1.0e9
 
 
 @dataclass(frozen=True)
@@ -134,18 +137,22 @@ def class_weight(train: DataFrame) -> DataFrame:
 # -- training ---------------------------------------------------------------
 
 def build_pipeline(params: BoostingParams) -> Pipeline:
-    """Encode → plain numeric codes → assemble → boosted trees.
+    """Encode → plain numbers without gaps → assemble → boosted trees.
 
-    Adding zero drops the nominal metadata of the codes, so the trees split
+    The arithmetic drops the nominal metadata of the codes, so the trees split
     them as ordered numbers and the number of job roles is not limited by bins.
     """
-    codes = ", ".join(f"{c}_idx + 0D AS {c}_code" for c in CATEGORICAL)
-    inputs = [f"{c}_code" if c in CATEGORICAL else c for c in FEATURES]
+    sources = {c: f"{c}_idx" if c in CATEGORICAL else c for c in FEATURES}
+    codes = ", ".join(
+        f"COALESCE(CAST({src} AS DOUBLE), {MISSING!r}D) + 0D AS {c}_num"
+        for c, src in sources.items()
+    )
+    inputs = [f"{c}_num" for c in FEATURES]
     return Pipeline(
         stages=[
             label_encoder(),
             SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"),
-            VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
+            VectorAssembler(inputCols=inputs, outputCol="features"),
             GBTClassifier(
                 labelCol="target",
                 featuresCol="features",

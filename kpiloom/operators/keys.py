@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per ``key``: the first in ``order``.
-
-    Each column is its own ``min_by``, so the optimizer drops the columns a
-    query never reads (a bare count needs only the key), partial aggregation
-    folds a hot key on the map side, and the output is known to be unique on
-    ``key``, which lets unused left joins against it disappear. A column's own
-    value is the last tie-break, so the result does not depend on row order.
+    """One row per ``key``: the first in ``order`` (NULLs first).
+
+    The order columns come from one ``min`` over their struct and every other
+    column from a ``min_by`` on it, so the optimizer drops what a query never
+    reads (a bare count needs only the key), partial aggregation folds a hot
+    key on the map side, and the output is known to be unique on ``key``, which
+    lets unused left joins against it disappear. A column outside ``order``
+    uses its own value as last tie-break, so row order never matters.
     """
-    picked = []
-    for name in df.columns:
-        if name != key:
-            rank = F.struct(*[F.col(c) for c in order], F.col(name).alias("_own"))
-            picked.append(F.min_by(F.col(name), rank).alias(name))
-    return df.groupBy(key).agg(*picked) if picked else df.select(key).distinct()
+    others = [c for c in df.columns if c != key and c not in order]
+    rank = [F.col(c) for c in order]
+    picked = df.groupBy(key).agg(
+        F.min(F.struct(*rank)).alias("_first"),
+        *[F.min_by(F.col(c), F.struct(*rank, F.col(c).alias("_own"))).alias(c) for c in others],
+    )
+    return picked.select(
+        *[F.col(f"_first.{c}").alias(c) if c in order else F.col(c) for c in df.columns]
+    )
 
 
 def first_non_null(value: str, order: Sequence[str]) -> Column:

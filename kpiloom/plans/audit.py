@@ -60,14 +60,17 @@ def orphan_keys(
 ) -> DataFrame:
     """Rows whose non-null key has no match in the dimension.
 
-    The fact is folded to one row per key first, so a hot key reaches the anti
-    join once and its row count comes along.
+    Both sides are stacked and folded per key, so a hot key is pre-aggregated
+    on the map side and no join (of any kind) is planned.
     """
-    used = fact.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_fk")).agg(
-        F.count(F.lit(1)).alias("_n")
+    used = fact.where(F.col(column).isNotNull()).select(
+        F.col(column).alias("_key"), F.lit(1).alias("_used"), F.lit(0).alias("_known")
     )
-    known = dim.select(F.col(key).alias("_pk"))
-    return used.join(known, F.col("_fk") == F.col("_pk"), "left_anti").agg(
+    known = dim.select(F.col(key).alias("_key"), F.lit(0).alias("_used"), F.lit(1).alias("_known"))
+    keys = used.unionByName(known).groupBy("_key").agg(
+        F.sum("_used").alias("_n"), F.max("_known").alias("_known")
+    )
+    return keys.where((F.col("_known") == 0) & (F.col("_n") > 0)).agg(
         F.lit(table).alias("table_name"),
         F.lit(column).alias("column_name"),
         F.lit(target).alias("references_table"),

@@ -114,6 +114,15 @@ def revenue_by_place(star: Star) -> DataFrame:
     )
 
 
+def state_totals(star: Star) -> DataFrame:
+    return (
+        revenue_by_place(star)
+        .join(star["dim_geography"].select("geo_id", "state"), "geo_id")
+        .groupBy("state")
+        .agg(F.sum("_revenue").alias("revenue"))
+    )
+
+
 def category_totals(star: Star, per_product: DataFrame | None = None) -> DataFrame:
     products = star["dim_product"].where(F.col("category_name").isNotNull())
     return (
@@ -202,13 +211,7 @@ def delivery_histogram(star: Star) -> DataFrame:
 
 
 def revenue_by_state(star: Star) -> DataFrame:
-    return (
-        revenue_by_place(star)
-        .join(star["dim_geography"].select("geo_id", "state"), "geo_id")
-        .groupBy("state")
-        .agg(F.sum("_revenue").alias("revenue"))
-        .orderBy(F.desc_nulls_first("revenue"), "state")
-    )
+    return state_totals(star).orderBy(F.desc_nulls_first("revenue"), "state")
 
 
 # -- workforce --------------------------------------------------------------

@@ -44,17 +44,18 @@ def raw_items(lineitem: DataFrame) -> DataFrame:
 
 
 def raw_payments(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    lines = lineitem.select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("payment_sequential")
+    """One payment per order that has lines; lines are folded before the join."""
+    lines = lineitem.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.max("l_linenumber").alias("payment_installments")
     )
     types = orders.select(
         F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("payment_type")
     )
     return lines.join(types, "order_id").select(
         "order_id",
-        "payment_sequential",
+        F.lit(1).alias("payment_sequential"),
         "payment_type",
-        F.col("payment_sequential").alias("payment_installments"),
+        "payment_installments",
     )
 
 
