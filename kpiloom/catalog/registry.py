@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiloom.catalog.definitions import with_definitions
-from kpiloom.plans.star import build_star, number_employees
-from kpiloom.session import ship_package
+from kpiloom.plans.star import build_star
+from kpiloom.schemas import TABLES
+from kpiloom.session import fresh_path, ship_package
 from kpiloom.sources.extracts import TimedCache
+from kpiloom.sources.sinks import load_star
 from kpiloom.sources.standins import given, raw_frames
 
 
@@ -31,15 +33,25 @@ class Workspace:
         return raw_frames(self.spark, self.sf_dir)
 
     @cached_property
-    def star(self) -> dict[str, DataFrame]:
-        return build_star(self.spark, self.raw)
+    def built(self) -> dict[str, DataFrame]:
+        """The star as lazy plans over the raw frames (the load itself)."""
+        return build_star(self.spark, self.raw, number_ids=True)
+
+    @cached_property
+    def stored(self) -> tuple[str, dict[str, int]]:
+        """The star written once to the shared folder: root path and row counts."""
+        root = fresh_path(self.spark, "star")
+        return root, load_star(self.spark, self.raw, root)
 
     @cached_property
-    def numbered_star(self) -> dict[str, DataFrame]:
-        return {**self.star, "fact_employees": number_employees(self.star["fact_employees"])}
+    def star(self) -> dict[str, DataFrame]:
+        """The loaded star: KPI queries and models scan these tables."""
+        root, _counts = self.stored
+        return {name: self.spark.read.parquet(f"{root}/{name}") for name in TABLES}
 
 
-_workspaces = TimedCache()
+# A workspace lives as long as the application: its star is a loaded warehouse.
+_workspaces = TimedCache(ttl=float("inf"))
 _queries: dict[str, Callable[[Workspace], DataFrame]] = {}
 _sql: dict[str, str] = {}
 

@@ -32,6 +32,14 @@ def baseline(ws: Workspace):
     return forecast.baseline_forecast(series_frame(ws))
 
 
+def loaded_staff(ws: Workspace):
+    """Employee facts from raw records and the stored dimensions."""
+    dims = ws.star
+    return star.fact_employees(
+        ws.raw["employees"], dims["dim_department"], dims["dim_attrition_label"], dims["dim_date"]
+    )
+
+
 def query_log(ws: Workspace):
     """A query log derived from every order: some rows unsafe, all fenced."""
     key = F.col("o_orderkey").cast("string")
@@ -201,7 +209,7 @@ def _(ws: Workspace):
          ON e.Attrition = l.attrition""",
 )
 def _(ws: Workspace):
-    return ws.star["fact_employees"].select("source_key", "label_id")
+    return loaded_staff(ws).select("source_key", "label_id")
 
 
 @query(
@@ -211,7 +219,7 @@ def _(ws: Workspace):
 )
 def _(ws: Workspace):
     """One looked-up value on every row, as a scalar subquery, not a join."""
-    return ws.star["fact_employees"].select("source_key", "date_id")
+    return loaded_staff(ws).select("source_key", "date_id")
 
 
 @query("join_inner_date", "SELECT order_id, full_date, day_of_week FROM dated_orders")
@@ -470,7 +478,7 @@ def _(ws: Workspace):
 
 @query("surrogate_key", "SELECT employee_id, source_key FROM fact_employees")
 def _(ws: Workspace):
-    return ws.numbered_star["fact_employees"].select("employee_id", "source_key")
+    return keys.serial_id(ws.star["fact_employees"].select("source_key"), "employee_id", "source_key")
 
 
 @query(

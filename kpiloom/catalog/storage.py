@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from kpiloom import schemas
 from kpiloom.catalog.registry import Workspace, query
 from kpiloom.catalog.relational import baseline
-from kpiloom.catalog.tables import _COUNTS, stored_star
+from kpiloom.catalog.tables import _COUNTS
 from kpiloom.models import attrition
 from kpiloom.plans import kpi
+from kpiloom.plans.star import conform
 from kpiloom.session import fresh_path
 from kpiloom.sources import extracts, readers, sinks
 
@@ -79,7 +80,7 @@ def _(ws: Workspace):
 
 @query("copy_tables", _COUNTS)
 def _(ws: Workspace):
-    source, _counts = stored_star(ws)
+    source, _counts = ws.stored
     copied = sinks.copy_tables(ws.spark, source, fresh_path(ws.spark, "copy"))
     return sinks.counts_frame(ws.spark, copied)
 
@@ -163,13 +164,13 @@ def _(ws: Workspace):
 @query("create_tables", _COUNTS)
 def _(ws: Workspace):
     """Declared tables created if missing, then filled from the stored star."""
-    source, _counts = stored_star(ws)
+    source, _counts = ws.stored
     root = fresh_path(ws.spark, "warehouse")
     database = f"kpiloom_{uuid.uuid4().hex[:8]}"
     sizes = []
     for table in sinks.create_tables(ws.spark, database, root):
         name = table.split(".")[1]
-        ws.spark.read.parquet(f"{source}/{name}").write.insertInto(table)
+        conform(ws.spark.read.parquet(f"{source}/{name}"), name).write.insertInto(table)
         sizes.append(
             ws.spark.table(table).agg(
                 F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")

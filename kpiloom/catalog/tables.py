@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.catalog.registry import Workspace, query
 from kpiloom.plans import audit, star
-from kpiloom.sources import extracts, sinks
-from kpiloom.session import fresh_path
+from kpiloom.sources import sinks
 
 _COUNTS = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}"
@@ -18,19 +17,9 @@ _COUNTS = " UNION ALL ".join(
 )
 
 
-def stored_star(ws: Workspace) -> tuple[str, dict[str, int]]:
-    """The star written once to the shared folder: root path and row counts."""
-
-    def build():
-        root = fresh_path(ws.spark, "star")
-        return root, sinks.write_star(ws.numbered_star, root)
-
-    return extracts.fitted(ws.spark, ("stored_star", ws.sf_dir), build)
-
-
 @query("dim_date", "SELECT * FROM dim_date")
 def _(ws: Workspace):
-    return ws.star["dim_date"]
+    return ws.built["dim_date"]
 
 
 @query(
@@ -38,7 +27,7 @@ def _(ws: Workspace):
     "SELECT CAST(customer_id AS VARCHAR) AS customer_id, city, state, rfm_segment FROM dim_customer",
 )
 def _(ws: Workspace):
-    return star.conform(ws.star["dim_customer"], "dim_customer")
+    return star.conform(ws.built["dim_customer"], "dim_customer")
 
 
 @query(
@@ -47,17 +36,17 @@ def _(ws: Workspace):
               CAST(weight_kg AS DOUBLE) AS weight_kg FROM dim_product""",
 )
 def _(ws: Workspace):
-    return star.conform(ws.star["dim_product"], "dim_product")
+    return star.conform(ws.built["dim_product"], "dim_product")
 
 
 @query("dim_geography", "SELECT * FROM dim_geography")
 def _(ws: Workspace):
-    return ws.star["dim_geography"]
+    return ws.built["dim_geography"]
 
 
 @query("dim_department", "SELECT * FROM dim_department")
 def _(ws: Workspace):
-    return ws.star["dim_department"]
+    return ws.built["dim_department"]
 
 
 @query(
@@ -69,7 +58,7 @@ def _(ws: Workspace):
 def _(ws: Workspace):
     """The fixed labels with the number of employees that carry each."""
     used = ws.star["fact_employees"].groupBy("label_id").agg(F.count(F.lit(1)).alias("_n"))
-    return ws.star["dim_attrition_label"].join(used, "label_id", "left").select(
+    return ws.built["dim_attrition_label"].join(used, "label_id", "left").select(
         "label_id", "attrition", "risk_tier", F.coalesce("_n", F.lit(0)).alias("employees")
     )
 
@@ -83,7 +72,7 @@ def _(ws: Workspace):
        FROM fact_orders""",
 )
 def _(ws: Workspace):
-    return star.conform(ws.star["fact_orders"], "fact_orders")
+    return star.conform(ws.built["fact_orders"], "fact_orders")
 
 
 @query(
@@ -94,13 +83,13 @@ def _(ws: Workspace):
               environment_satisfaction, performance_rating FROM fact_employees""",
 )
 def _(ws: Workspace):
-    return star.conform(ws.numbered_star["fact_employees"], "fact_employees")
+    return star.conform(ws.built["fact_employees"], "fact_employees")
 
 
 @query("build_star", _COUNTS)
 def _(ws: Workspace):
     """All eight tables written in dependency order, with observed row counts."""
-    _, counts = stored_star(ws)
+    _, counts = ws.stored
     return sinks.counts_frame(ws.spark, counts)
 
 
@@ -124,7 +113,7 @@ def _(ws: Workspace):
     ),
 )
 def _(ws: Workspace):
-    frames = audit.star_keys(ws.numbered_star)
+    frames = audit.star_keys(ws.star)
     frames["raw_orders"] = (ws.raw["orders"], ["order_id"])
     frames["raw_items"] = (ws.raw["items"], ["order_id", "order_item_id"])
     return audit.audit_pk(frames)

@@ -114,8 +114,12 @@ def tiered(value: Column, bounds: Iterable[tuple[float, str]], lowest: str) -> C
 
 
 def to_int_or_null(value: Column) -> Column:
-    """Cast raw text to INT; bad text becomes NULL instead of an ANSI error."""
-    return value.try_cast("int")
+    """Cast raw text to INT; bad text becomes NULL instead of an ANSI error.
+
+    The pattern comes first because a failing cast costs an exception per row.
+    """
+    text = value.cast("string")
+    return F.when(F.rlike(text, F.lit(r"^\s*[+-]?[0-9]+\s*$")), text.try_cast("int"))
 
 
 # -- text -------------------------------------------------------------------

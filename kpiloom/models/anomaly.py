@@ -189,7 +189,12 @@ def tree_samples(
 
 
 def fit_trees(samples: DataFrame, seed: int = SEED, key: str = "order_id") -> DataFrame:
-    """One task call per tree over its subsample; the node table is the model."""
+    """One call per tree over its subsample; the node table is the model.
+
+    The samples are few bytes but much work, so they are spread by number of
+    slots instead of by size.
+    """
+    slots = samples.sparkSession.sparkContext.defaultParallelism
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key)
@@ -200,7 +205,8 @@ def fit_trees(samples: DataFrame, seed: int = SEED, key: str = "order_id") -> Da
         out.insert(0, "tree", tree)
         return out
 
-    return samples.groupBy("tree").applyInPandas(build, _NODE_SCHEMA)
+    spread = samples.repartition(max(1, min(slots, TREES)), "tree")
+    return spread.groupBy("tree").applyInPandas(build, _NODE_SCHEMA)
 
 
 @dataclass
@@ -270,7 +276,11 @@ def fit_forest(
 
 
 def score_forest(spark: SparkSession, features: DataFrame, nodes: DataFrame, subsample: int) -> DataFrame:
-    """Add ``anomaly_score`` to every row with one vectorised pass."""
+    """Add ``anomaly_score`` to every row with one vectorised pass.
+
+    Input in fewer splits than there are slots (a small table) is spread out
+    first; a large one is scored where its splits are read.
+    """
     shared = spark.sparkContext.broadcast(load_forest(nodes, subsample))
     fields = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in features.schema if f.name in _CARRIED
@@ -284,6 +294,9 @@ def score_forest(spark: SparkSession, features: DataFrame, nodes: DataFrame, sub
 
     carried = [f.split(" ")[0] for f in fields.split(", ")]
     ordered = features.select(*carried, *[c for c in FEATURES if c not in carried])
+    slots = spark.sparkContext.defaultParallelism
+    if ordered.rdd.getNumPartitions() < slots:
+        ordered = ordered.repartition(slots)
     return ordered.mapInPandas(run, f"{fields}, anomaly_score DOUBLE").select(
         *_CARRIED, "anomaly_score"
     )

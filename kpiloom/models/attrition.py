@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -216,7 +216,7 @@ def cross_validated_auc(
 
     @inheritable_thread_target(spark)
     def one(k: int) -> tuple[int, float]:
-        model = train(folded.where(F.col("fold") != k), ratio, replace(params, seed=params.seed))
+        model = train(folded.where(F.col("fold") != k), ratio, params)
         scored = score(model, folded.where(F.col("fold") == k), ["target"])
         return k, exact_auc(scored, "probability", "target").first()["auc"]
 

@@ -197,7 +197,9 @@ def seasonal_forecast(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         return fit_one_series(group, horizon)
 
-    return series.select("series", "ds", "y").groupBy("series").applyInPandas(fit, _FORECAST_SCHEMA)
+    slots = series.sparkSession.sparkContext.defaultParallelism
+    spread = series.select("series", "ds", "y").repartition(slots, "series")
+    return spread.groupBy("series").applyInPandas(fit, _FORECAST_SCHEMA)
 
 
 # -- outputs ----------------------------------------------------------------

@@ -34,12 +34,8 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def first_non_null(value: str, order: Sequence[str]) -> Column:
     """First non-null value of a group, as an aggregate expression."""
     col = F.col(value)
-    rank = F.struct(*[F.col(c) for c in order], col.alias("_own"))
-    return F.min_by(col, F.when(col.isNotNull(), rank))
-
-
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+    ranked = F.struct(*[F.col(c) for c in order], col.alias("_own"))
+    return F.min(F.when(col.isNotNull(), ranked)).getField("_own")
 
 
 def ordered_number(
@@ -82,7 +78,7 @@ def range_buckets(df: DataFrame, column: str, out: str, buckets: int = 256) -> D
     """
     prepared = df.withColumn("_at", F.col(column).cast("double"))
     plan = QuantileDiscretizer(
-        numBuckets=buckets, inputCol="_at", outputCol=out, relativeError=0.1 / buckets
+        numBuckets=buckets, inputCol="_at", outputCol=out, relativeError=0.25 / buckets
     ).fit(prepared.select("_at"))
     fixed = Bucketizer(splits=plan.getSplits(), inputCol="_at", outputCol=out)
     return fixed.transform(prepared).drop("_at")

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.plans.star import conform
+from kpiloom.plans.star import build_dimensions, build_facts, conform
 from kpiloom.schemas import TABLES
 from kpiloom.sources.readers import TIMESTAMP_FORMAT
 
@@ -43,12 +43,31 @@ def write_jdbc(df: DataFrame, url: str, table: str, replace_rows: bool, **option
         writer.mode("append").save()
 
 
-def write_star(star: Mapping[str, DataFrame], root: str) -> dict[str, int]:
-    """Write the eight tables under ``root``, dimensions first; row counts back.
-
-    The counts are observed during the write, so no table is read twice.
+def load_star(
+    spark: SparkSession, raw: Mapping[str, DataFrame], root: str, declared: bool = False
+) -> dict[str, int]:
+    """Build and write the eight tables under ``root``; row counts back.
+
+    Dimensions are written first and the facts look their keys up in the
+    written dimensions, so no dimension is derived twice. ``declared`` casts
+    to the declared types; without it keys keep the cheaper type of their
+    source and sums their full precision (an overflow is then an audit
+    finding, not a failed load), and the raw employee key is kept. The counts
+    are observed during the writes, so no table is read just to count it.
     """
-    return copy_frames({name: conform(star[name], name) for name in TABLES}, root)
+
+    def shaped(name: str, frame: DataFrame) -> DataFrame:
+        if declared:
+            return conform(frame, name)
+        names = [*TABLES[name].schema.fieldNames(), "source_key"]
+        return frame.select(*[c for c in names if c in frame.columns])
+
+    def store(frames: Mapping[str, DataFrame]) -> dict[str, int]:
+        return copy_frames({n: shaped(n, f) for n, f in frames.items()}, root)
+
+    counts = store(build_dimensions(spark, raw))
+    dims = {name: spark.read.parquet(f"{root}/{name}") for name in counts}
+    return counts | store(build_facts(raw, dims, number_ids=True))
 
 
 def copy_frames(frames: Mapping[str, DataFrame], root: str) -> dict[str, int]:

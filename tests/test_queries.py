@@ -58,7 +58,7 @@ def test_plans_avoid_cross_joins_and_python(spark, small, name):
 
 def test_unused_branches_are_not_read(spark, small):
     """A count touches the order key only; revenue never reads payments."""
-    star = workspace(spark, small).star
+    star = workspace(spark, small).built
     count = plan_of(kpi.total_orders(star))
     assert count.count("Location: ") == 1 and "ReadSchema: struct<o_orderkey:bigint>" in count
     gmv = plan_of(kpi.gmv(star))
