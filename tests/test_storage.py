@@ -116,6 +116,6 @@ def test_questions(spark, raw):
     top = questions.answer(built, "What are the top 5 product categories by total revenue?").collect()
     assert [r.category_name for r in top] == ["beauty"]
     best = questions.answer(built, "What are the top 10 customers by order value?").collect()
-    assert best[0].customer_id == "c1"  # o4 is free, o2 has no price
+    assert best[0].customer_id == "c2"  # the kept row of o4 is theirs
     with pytest.raises(ValueError, match="empty"):
         questions.answer(built, "  ")
