@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from kpiloom.catalog import oracle_sql, queries
 from kpiloom.catalog.registry import workspace
 from kpiloom.plans import kpi
 from tools.compare import connect, differences, normal
