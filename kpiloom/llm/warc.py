@@ -244,10 +244,12 @@ def read(spark: SparkSession, files: DataFrame, params: WarcParams = WarcParams(
                 if rows:
                     yield batch_of(rows)
 
+    # one partition for each range; a count that is given is not merged again at run time
+    parts = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
     ranges = files.where(F.col("bytes") > 0).select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start")
     )
-    dealt = ranges.repartition("path", "start")
+    dealt = ranges.repartition(int(parts), "path", "start")
     return dealt.mapInArrow(
         run,
         "path string, offset long, page_id long, url string, record_type string, refers_to long,"
