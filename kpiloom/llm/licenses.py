@@ -171,7 +171,7 @@ def rules() -> tuple[Rule, ...]:
 
 #: A text without any of these cannot match a rule other than the ones gated by "cc".
 _GATE = re.compile(rb"licen[sc]|hereby granted|redistribution|permission to use|public domain|rights reserved|creativecommons")
-_CC = re.compile(_START + rb"cc" + GAP + rb"by" + GAP + rb"nc" + _END)
+_CC = re.compile(rb"cc" + GAP + rb"by" + GAP + rb"nc")
 
 
 def detections(lower: bytes) -> list[Detection]:

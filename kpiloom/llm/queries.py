@@ -92,5 +92,77 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_RULES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), spans AS (
+  SELECT rid, unnest(range(1, greatest(len(ws) - 6, 1))) AS i, ws FROM w
+), hashed AS (
+  SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS g FROM spans
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM hashed) WHERE n > 1
+), covered AS (
+  SELECT rid, sum(least(8, i - before)) AS n
+  FROM (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), i - 8) AS before FROM twice) GROUP BY rid
+), m AS (
+  SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered ON w.rid = covered.rid
+), f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    1000 * n_symbols // greatest(n_words, 1) AS symbols, 1000 * n_dup_lines // greatest(n_words, 1) AS dup_lines,
+    1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * word_chars // greatest(n_words, 1) AS word_length
+  FROM m
+), v AS (
+  SELECT lang, source, 'symbols' AS metric, 50 AS spread, symbols AS x FROM f WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'dup_lines', 20, dup_lines FROM f WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'repeats', 50, repeats FROM f WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'word_length', 1000, word_length FROM f WHERE NOT base_failed
+), b AS (
+  SELECT lang, source, metric, spread,
+    CASE WHEN x < 128 THEN x ELSE (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) END AS low, count(*) AS n
+  FROM v GROUP BY ALL
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY low) AS upto,
+    sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM b
+), q AS (
+  SELECT lang, source, metric, spread, min(low) FILTER (100 * upto >= 50 * total) AS mid,
+    min(low) FILTER (100 * upto >= 10 * total) AS least FROM c GROUP BY ALL
+), most AS (
+  SELECT lang, source,
+    max(mid + 6 * greatest(mid - least, spread)) FILTER (metric = 'symbols') AS s,
+    max(mid + 6 * greatest(mid - least, spread)) FILTER (metric = 'dup_lines') AS d,
+    max(mid + 6 * greatest(mid - least, spread)) FILTER (metric = 'repeats') AS r,
+    max(mid + 6 * greatest(mid - least, spread)) FILTER (metric = 'word_length') AS l
+  FROM q GROUP BY ALL
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(symbols <= s AND dup_lines <= d AND repeats <= r AND word_length <= l, false) AS kept
+FROM f LEFT JOIN most ON f.lang IS NOT DISTINCT FROM most.lang AND f.source IS NOT DISTINCT FROM most.source
+"""
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages
+), n AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((
+      (instr('0123456789abcdef', substr(h, CAST(i * 5 // 4 + 1 AS BIGINT), 1)) - 1) * 16
+      + greatest(instr('0123456789abcdef', substr(h || '0', CAST(i * 5 // 4 + 2 AS BIGINT), 1)) - 1, 0)
+    ) >> CAST(3 - i * 5 % 4 AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op9 and op10; the others learn, tokenise, hash or align and are tested in tests/llm."""
+    return {"op9_rules": _RULES_SQL, "op10_warc": _WARC_SQL}
