@@ -108,7 +108,8 @@ def windows(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFrame:
         .withColumn("window", F.when(F.col("lead"), F.lit(0)).otherwise(F.expr("begin div stride")))
     )
     edge = F.max("end").over(Window.partitionBy("conv_id", "window"))
-    repeated = ~F.col("lead") & (F.col("edge") - F.col("begin") <= p.history)
+    # the next turn begins where this window ends; the last window has no next one
+    repeated = ~F.col("lead") & (F.col("edge") - F.col("begin") <= p.history) & (F.expr("edge div stride") > F.col("window"))
     copies = F.when(
         repeated,
         F.array(

@@ -237,7 +237,10 @@ def _blocks(benchmark: DataFrame, params: DecontamParams):
     ordered = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     last = None
     while True:
-        some = ordered if last is None else ordered.where(F.struct("item_id", "text") > F.struct(F.lit(last[0]), F.lit(last[1])))
+        some = ordered
+        if last is not None:
+            item, text = F.col("item_id"), F.col("text")
+            some = ordered.where((item > last[0]) | ((item == last[0]) & (text > F.lit(last[1]))))
         rows = some.orderBy("item_id", "text").limit(params.block).collect()
         if rows or last is None:
             yield Items([r[0] for r in rows], [r[1] for r in rows], params)

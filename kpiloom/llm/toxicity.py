@@ -24,7 +24,10 @@ THRESHOLD = 0.5
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``per_class`` and ``max_chars`` bound the training sample (rows and text length)."""
+    """``per_class`` and ``max_chars`` bound the training sample (rows and text length).
+
+    Training makes ``epochs`` passes, and more over a small sample until it has made ``steps`` updates.
+    """
 
     bits: int = 15
     dims: int = 8
@@ -33,6 +36,7 @@ class ToxicityParams:
     per_class: tuple[int, int] = (6000, 2500)
     max_chars: int = 20_000
     epochs: int = 6
+    steps: int = 600
     batch: int = 32
     rate: float = 0.01
     languages: int = 16
@@ -130,7 +134,7 @@ def train(sample: pa.Table, params: ToxicityParams = ToxicityParams()) -> Toxici
     first_m, second_m = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
     slow = np.zeros_like(embed)
     step = 0
-    for _ in range(params.epochs):
+    for _ in range(max(params.epochs, -(-params.steps * params.batch // max(len(learn), 1)) if len(learn) else 0)):
         order = rng.permutation(learn)
         for at in range(0, len(order), params.batch):
             rows = order[at : at + params.batch]
