@@ -14,8 +14,7 @@ YEAR = 1998
 
 def _rate(condition: str) -> str:
     return (
-        f"CAST(round(CAST(100.0 * sum(CASE WHEN {condition} THEN 1 ELSE 0 END) / count(*) "
-        "AS DECIMAL(18,6)), 1) AS DOUBLE)"
+        f"CAST((2000 * count(*) FILTER ({condition}) + count(*)) // (2 * count(*)) AS DOUBLE) / 10"
     )
 
 
@@ -53,7 +52,7 @@ _star_query(
 )
 _star_query(
     "kpi_avg_review",
-    """SELECT CAST(round(CAST(avg(review_score) AS DECIMAL(18,6)), 2) AS DOUBLE) AS avg_review
+    """SELECT CAST(floor(200 * sum(review_score) / (2 * count(review_score)) + 0.5) AS DOUBLE) / 100 AS avg_review
        FROM fact_orders WHERE review_score IS NOT NULL""",
     kpi.avg_review,
 )
@@ -148,7 +147,9 @@ _star_query(
 _star_query("ask_top5_categories", _TOP.format(extra="", n=5), questions.top5_categories)
 _star_query(
     "ask_top_attrition_department",
-    f"SELECT * FROM ({_DEPARTMENT_RATES}) ORDER BY rate DESC, department_name LIMIT 1",
+    f"""SELECT department_name, {_rate("attrition = 'Yes'")} AS rate
+        FROM staff JOIN dim_department USING (department_id) GROUP BY department_name
+        ORDER BY count(*) FILTER (attrition = 'Yes') / count(*) DESC, department_name LIMIT 1""",
     questions.top_attrition_department,
 )
 _star_query(
@@ -198,7 +199,22 @@ def _(ws: Workspace):
     return guard.guarded_sql(ws.spark, text, ws.star)
 
 
-@query("query_outcomes")
+def _outcome_sql() -> str:
+    """Each statement's own row count, counted by the other engine."""
+    lines = []
+    for question, sql in guard.QUESTION_SQL.items():
+        shown = " ".join(sql.split()).replace("'", "''")
+        lines.append(
+            f"SELECT '{question}' AS question, '{shown}' AS sql, "
+            f"(SELECT count(*) FROM ({sql})) AS row_count, CAST(NULL AS VARCHAR) AS error"
+        )
+    refused = "unsafe SQL: the statement contains a blocked word"
+    lines.append(f"SELECT 'Remove the old orders', '', 0, '{refused}'")
+    lines.append("SELECT ' ', '', 0, 'question cannot be empty'")
+    return " UNION ALL ".join(lines)
+
+
+@query("query_outcomes", _outcome_sql())
 def _(ws: Workspace):
     """Every example question plus one refused statement and one blank question."""
     statements = {

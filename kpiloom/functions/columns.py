@@ -56,8 +56,19 @@ def period_label(year: Column, month: Column) -> Column:
 # -- numbers ----------------------------------------------------------------
 
 def round_half_up(value: Column, digits: int) -> Column:
-    """SQL ROUND on exact decimals: ties go away from zero."""
-    return F.round(value.cast("decimal(38,6)"), digits)
+    """SQL ROUND, once and at the wanted digit: ties go away from zero."""
+    return F.round(value, digits)
+
+
+def ratio_half_up(part: Column, whole: Column, digits: int) -> Column:
+    """``part / whole`` of non-negative exact numbers, rounded half up without an inexact step.
+
+    NULL when ``whole`` is zero. Both may have up to four decimals.
+    """
+    p, w = part.cast("decimal(24,4)"), whole.cast("decimal(24,4)")
+    twice = F.when(w > 0, 2 * w)
+    scaled = F.call_function("div", p * F.lit(2 * 10**digits) + w, twice)
+    return (scaled.cast("decimal(20,0)") / F.lit(10**digits)).cast(f"decimal(20,{digits})")
 
 
 def round_half_even(value: Column, digits: int) -> Column:
@@ -84,8 +95,7 @@ def exact_avg(value: Column) -> Column:
 
 def percent_of(part: Column, whole: Column, digits: int = 1) -> Column:
     """``100 * part / whole`` rounded half up; NULL when ``whole`` is zero."""
-    ratio = F.try_divide(part.cast("decimal(20,0)") * F.lit(100), whole.cast("decimal(20,0)"))
-    return round_half_up(ratio, digits)
+    return ratio_half_up(part.cast("decimal(20,0)") * F.lit(100), whole, digits)
 
 
 def percent_where(condition: Column, digits: int = 1) -> Column:

@@ -34,7 +34,7 @@ TREES = 200
 SUBSAMPLE = 256
 CONTAMINATION = 0.05
 SEED = 42
-_HASH_RANGE = 1 << 30
+_HASH_RANGE = 1 << 63
 _NODE_SCHEMA = (
     "tree INT, node INT, feature INT, threshold DOUBLE, left INT, right INT, path DOUBLE"
 )
@@ -159,9 +159,9 @@ def tree_samples(
 
     One seeded permutation of the table is cut into consecutive runs of
     ``subsample`` rows, one run per tree; small tables are permuted again until
-    all trees are served. On a large table only hashes below a threshold are
-    kept, so what is ordered stays near ``trees * subsample`` rows whatever the
-    table's size.
+    all trees are served. Only hashes below a threshold are ordered, so that is near
+    ``trees * subsample`` rows whatever the table's size; the threshold is on the same
+    hash as the order, so it keeps a prefix of it and cannot change the result.
     """
     size = min(subsample, rows)
     per_round = max(1, min(trees, rows // size))
@@ -171,11 +171,9 @@ def tree_samples(
     keep_share = min(1.0, (1.2 * wanted + 1000) / rows)
     drawn = features.withColumn(
         "_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))) if rounds > 1 else F.lit(0)
-    ).withColumn("_hash", F.xxhash64(F.col(key), F.col("_round"), F.lit(seed)))
-    if keep_share < 1.0:
-        drawn = drawn.where(
-            F.pmod(F.col("_hash"), F.lit(_HASH_RANGE)) < int(keep_share * _HASH_RANGE)
-        )
+    ).withColumn(
+        "_hash", F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("_round"), F.lit(seed)), 1)
+    ).where(F.col("_hash") <= min(math.ceil(keep_share * _HASH_RANGE), _HASH_RANGE - 1))
     # each round now holds at most about 1.2 * trees * subsample + 1000 rows
     order = Window.partitionBy("_round").orderBy("_hash", key)
     ranked = drawn.withColumn("_rank", F.row_number().over(order) - 1)
@@ -188,15 +186,21 @@ def tree_samples(
     )
 
 
-def fit_trees(samples: DataFrame, seed: int = SEED, key: str = "order_id") -> DataFrame:
+def fit_trees(
+    samples: DataFrame, seed: int = SEED, key: str = "order_id", size: int | None = None
+) -> DataFrame:
     """One call per tree over its subsample; the node table is the model.
 
+    With ``size`` given, a tree whose subsample came out shorter is an error.
+
     The samples are few bytes but much work, so they are spread by number of
     slots instead of by size.
     """
     slots = samples.sparkSession.sparkContext.defaultParallelism
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
+        if size is not None and len(group) != size:
+            raise ValueError(f"a tree has {len(group)} rows in its subsample, not {size}")
         group = group.sort_values(key)
         tree = int(group["tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
@@ -272,14 +276,15 @@ def fit_forest(
     rows = features.agg(F.count(F.lit(1))).first()[0]
     if rows == 0:
         raise ValueError("no rows to fit an isolation forest on")
-    return fit_trees(tree_samples(features, rows, trees, subsample, seed), seed)
+    return fit_trees(
+        tree_samples(features, rows, trees, subsample, seed), seed, size=min(subsample, rows)
+    )
 
 
 def score_forest(spark: SparkSession, features: DataFrame, nodes: DataFrame, subsample: int) -> DataFrame:
     """Add ``anomaly_score`` to every row with one vectorised pass.
 
-    Input in fewer splits than there are slots (a small table) is spread out
-    first; a large one is scored where its splits are read.
+    Rows are scored where their splits are read; repartition a small table first.
     """
     shared = spark.sparkContext.broadcast(load_forest(nodes, subsample))
     fields = ", ".join(
@@ -294,9 +299,6 @@ def score_forest(spark: SparkSession, features: DataFrame, nodes: DataFrame, sub
 
     carried = [f.split(" ")[0] for f in fields.split(", ")]
     ordered = features.select(*carried, *[c for c in FEATURES if c not in carried])
-    slots = spark.sparkContext.defaultParallelism
-    if ordered.rdd.getNumPartitions() < slots:
-        ordered = ordered.repartition(slots)
     return ordered.mapInPandas(run, f"{fields}, anomaly_score DOUBLE").select(
         *_CARRIED, "anomaly_score"
     )

@@ -16,8 +16,7 @@ RISK_BOUNDS = ((0.6, "High"), (0.35, "Medium"))
 
 def accuracy(scored: DataFrame, label: str = "target", prediction: str = "prediction") -> DataFrame:
     hits = F.count_if(F.col(label) == F.col(prediction))
-    ratio = F.try_divide(hits.cast("decimal(20,0)"), F.count(F.lit(1)).cast("decimal(20,0)"))
-    return scored.agg(C.round_half_up(ratio, 4).alias("accuracy"))
+    return scored.agg(C.ratio_half_up(hits, F.count(F.lit(1)), 4).alias("accuracy"))
 
 
 def roc_auc(scored: DataFrame, label: str = "target", score: str = "probability") -> DataFrame:

@@ -17,14 +17,16 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     column from a ``min_by`` on it, so the optimizer drops what a query never
     reads (a bare count needs only the key), partial aggregation folds a hot
     key on the map side, and the output is known to be unique on ``key``, which
-    lets unused left joins against it disappear. A column outside ``order``
-    uses its own value as last tie-break, so row order never matters.
+    lets unused left joins against it disappear. Ties in ``order`` are broken by all
+    other columns together, so the result is one of the rows and never a mix, and
+    row order never matters.
     """
     others = [c for c in df.columns if c != key and c not in order]
     rank = [F.col(c) for c in order]
+    whole = F.struct(*rank, *[F.col(c) for c in others])
     picked = df.groupBy(key).agg(
         F.min(F.struct(*rank)).alias("_first"),
-        *[F.min_by(F.col(c), F.struct(*rank, F.col(c).alias("_own"))).alias(c) for c in others],
+        *[F.min_by(F.col(c), whole).alias(c) for c in others],
     )
     return picked.select(
         *[F.col(f"_first.{c}").alias(c) if c in order else F.col(c) for c in df.columns]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,9 @@ from kpiloom.functions import columns as C
 from kpiloom.functions.lookups import BLOCKED_WORDS
 from kpiloom.sources.readers import register_views
 
-MAX_ROWS = 20
+_BLOCKED = re.compile("|".join(map(re.escape, BLOCKED_WORDS)), re.IGNORECASE)
 
-# SQL a question resolves to; every statement runs on the star views.
+# The example questions, and the SQL each resolves to on the star views.
 QUESTION_SQL = {
     "What are the top 5 product categories by total revenue?": """
         SELECT dp.category_name, SUM(fo.price) AS revenue
@@ -45,10 +46,10 @@ QUESTION_SQL = {
 }
 
 
-def is_safe(sql: str) -> bool:
-    """Plain substring test, so ``created_at`` is refused too."""
-    lowered = sql.lower()
-    return not any(word in lowered for word in BLOCKED_WORDS)
+def blocked_word(sql: str) -> str | None:
+    """The first blocked word inside a statement, also inside other words (``created_at``)."""
+    found = _BLOCKED.search(sql)
+    return found[0].lower() if found else None
 
 
 def flag_unsafe(log: DataFrame, column: str) -> DataFrame:
@@ -61,18 +62,18 @@ def clean_sql(log: DataFrame, column: str) -> DataFrame:
 
 
 def guarded_sql(
-    spark: SparkSession, sql: str, star: Mapping[str, DataFrame], max_rows: int = MAX_ROWS
+    spark: SparkSession, sql: str, star: Mapping[str, DataFrame]
 ) -> DataFrame:
-    """Run a statement on the star views and return at most ``max_rows`` rows.
+    """Run a statement on the star views and return all of its rows.
 
-    The word test is a text filter, not a security boundary: the statement can
-    only see temporary views over read-only frames. The row bound is part of
-    the feature (answers are shown on one page).
+    The word test is a text filter, not a security boundary: a statement without a
+    blocked word can still read files by path or change session settings. How many
+    rows come back is for the statement to say.
     """
-    if not is_safe(sql):
+    if blocked_word(sql) is not None:
         raise ValueError("unsafe SQL: the statement contains a blocked word")
     register_views(star)
-    return spark.sql(sql).limit(max_rows)
+    return spark.sql(sql)
 
 
 def query_outcomes(
@@ -80,7 +81,7 @@ def query_outcomes(
 ) -> DataFrame:
     """One envelope row per question: sql, row_count, error.
 
-    Each statement runs once and only its bounded row count comes back, so a
+    Each statement runs once and only its row count comes back, so a
     statement that fails at run time is reported instead of stopping the rest.
     """
     report = []

@@ -160,7 +160,9 @@ def flagged_orders(
 
 def avg_review(star: Star) -> DataFrame:
     scored = star["fact_orders"].where(F.col("review_score").isNotNull())
-    return scored.agg(C.round_half_up(F.avg("review_score"), 2).alias("avg_review"))
+    return scored.agg(
+        C.ratio_half_up(F.sum("review_score"), F.count("review_score"), 2).alias("avg_review")
+    )
 
 
 def revenue_by_month(star: Star) -> DataFrame:
@@ -179,13 +181,20 @@ def orders_by_status(star: Star) -> DataFrame:
 
 
 def attrition_by_department(star: Star) -> DataFrame:
+    return leavers_by_department(star).select(
+        "department_name", C.percent_of(F.col("_left"), F.col("_all")).alias("rate")
+    )
+
+
+def leavers_by_department(star: Star) -> DataFrame:
+    """Exact counts: department_name, _left, _all."""
     hits = labelled_staff(star).groupBy("department_id").agg(
         F.count_if(left_company()).alias("_left"), F.count(F.lit(1)).alias("_all")
     )
     return (
         hits.join(star["dim_department"], "department_id")
         .groupBy("department_name")
-        .agg(C.percent_of(F.sum("_left"), F.sum("_all")).alias("rate"))
+        .agg(F.sum("_left").alias("_left"), F.sum("_all").alias("_all"))
     )
 
 

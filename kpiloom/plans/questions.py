@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiloom.functions import columns as C
 from kpiloom.plans import kpi
 from kpiloom.plans.kpi import Star
 
@@ -14,8 +15,14 @@ def top5_categories(star: Star) -> DataFrame:
 
 
 def top_attrition_department(star: Star) -> DataFrame:
-    rates = kpi.attrition_by_department(star)
-    return rates.orderBy(F.desc_nulls_last("rate"), "department_name").limit(1)
+    counts = kpi.leavers_by_department(star)
+    # the exact share decides, the rounded one is shown
+    share = F.try_divide(F.col("_left").cast("decimal(19,0)"), F.col("_all").cast("decimal(19,0)"))
+    return (
+        counts.orderBy(share.desc_nulls_last(), "department_name")
+        .limit(1)
+        .select("department_name", C.percent_of(F.col("_left"), F.col("_all")).alias("rate"))
+    )
 
 
 def delivery_by_state(star: Star) -> DataFrame:

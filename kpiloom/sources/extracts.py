@@ -34,7 +34,8 @@ class TimedCache:
 
 
 _queries = TimedCache(on_expire=lambda df: df.unpersist())
-_extracts = TimedCache()
+# written stages last as long as the application: they are built once, not timed out
+_extracts = TimedCache(ttl=float("inf"))
 _models = TimedCache()
 
 
@@ -62,7 +63,7 @@ def written(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
 
 
 def extract(spark: SparkSession, key: Any, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A written table that several queries read within five minutes."""
+    """A written table that several queries of one application read."""
     return _extracts.get((_app(spark), name, key), lambda: written(spark, name, build()))
 
 

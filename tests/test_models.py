@@ -209,6 +209,26 @@ def test_tree_samples_of_a_large_table_stay_small(spark):
     assert len(samples) == 20 and {r["count"] for r in samples} == {256}
 
 
+def test_the_sampling_threshold_does_not_choose_the_rows(spark, monkeypatch):
+    table = spark.range(100_000).select(
+        F.col("id").alias("order_id"), *[F.lit(1.0).alias(n) for n in anomaly.FEATURES]
+    )
+
+    def drawn():
+        rows = anomaly.tree_samples(table, 100_000, trees=20).select("tree", "order_id").collect()
+        return {tuple(r) for r in rows}
+
+    want = drawn()
+    monkeypatch.setattr(anomaly.math, "ceil", lambda x: 1 << 63 if x > 1e6 else int(-(-x // 1)))
+    assert drawn() == want
+
+
+def test_a_short_subsample_is_an_error(spark, orders):
+    samples = anomaly.tree_samples(orders, 300, trees=4)
+    with pytest.raises(Exception, match="subsample"):
+        anomaly.fit_trees(samples.where(F.col("order_id") % 2 == 0), size=256).collect()
+
+
 # -- forecasts --------------------------------------------------------------
 
 @pytest.fixture(scope="module")

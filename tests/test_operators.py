@@ -71,6 +71,12 @@ def test_keep_first_with_hot_key(spark):
     assert got == {"hot": (0, "v0"), "cold": (3, None)}
 
 
+def test_keep_first_returns_a_row_that_exists(spark):
+    rows = [(1, 1, "a", "z"), (1, 1, "b", "y")]
+    df = spark.createDataFrame(rows, "k INT, o INT, v STRING, w STRING")
+    assert [tuple(r) for r in keys.keep_first(df, "k", ["o"]).collect()] == [rows[0]]
+
+
 def test_first_non_null(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, "b"), (1, 3, "a"), (2, 1, None)], "k INT, o INT, v STRING")
     got = dict(df.groupBy("k").agg(keys.first_non_null("v", ["o"]).alias("v")).collect())
