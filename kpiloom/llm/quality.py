@@ -68,7 +68,7 @@ def train(sample: pa.Table, params: QualityParams = QualityParams()) -> QualityM
         found = np.concatenate([b for b, _, _ in features(raw, np.array([0, len(raw)]), params.bits)])
         where, counts = np.unique(found, return_counts=True)
         values = params.scale * counts / max(len(found), 1)
-        examples.append((np.append(where, size), np.append(values, 1.0), label))
+        examples.append((np.append(where, size).astype(np.int32), np.append(values, 1.0).astype(np.float32), label))
     l1 = np.full(size + 1, params.l1)
     l1[size] = 0.0
 

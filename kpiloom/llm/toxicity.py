@@ -63,7 +63,7 @@ def word_ids(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     """Buckets (words, 3) of the word and its prefixes, and each text's first word."""
     hashes, _, _, first, *heads = tokens(lowered(data), offsets, ALNUM, PREFIXES)
     parts = [hashes, *[mix(h + np.uint64(k)) for k, h in enumerate(heads, 1)]]
-    return np.stack([(h >> np.uint64(64 - bits)).astype(np.int64) for h in parts], axis=1), first
+    return np.stack([(h >> np.uint64(64 - bits)).astype(np.int32) for h in parts], axis=1), first
 
 
 def _pooled(embed, kernels, biases, ids, first, argmax=False):
