@@ -1,8 +1,4 @@
-"""Model pipelines, metrics and forecasts as named queries.
-
-Fits use fewer trees than the library default so that a run over all named
-queries stays short; every fit and every score still reads the whole tables.
-"""
+"""Model pipelines, metrics and forecasts as named queries, on whole tables and full fits."""
 
 from __future__ import annotations
 
@@ -12,9 +8,10 @@ from kpiloom.catalog.registry import Workspace, query
 from kpiloom.catalog.relational import baseline, series_frame
 from kpiloom.models import anomaly, attrition, evaluate, forecast
 from kpiloom.plans import kpi
+from kpiloom.session import fresh_path
 from kpiloom.sources import extracts
 
-BOOSTING = attrition.BoostingParams(trees=20)
+BOOSTING = attrition.BoostingParams()
 _FEATURE_COLUMNS = (
     "source_key, age, gender, CAST(monthly_income AS DOUBLE) AS monthly_income, job_satisfaction, "
     "years_at_company, overtime, distance_from_home, education, environment_satisfaction, "
@@ -75,15 +72,45 @@ def forest_nodes(ws: Workspace):
     )
 
 
+def forest_size(ws: Workspace) -> int:
+    """Rows per tree, as fitting chose them."""
+    return min(anomaly.SUBSAMPLE, anomaly_rows(ws).count())
+
+
 def flagged_orders(ws: Workspace):
     def build():
-        rows = anomaly_rows(ws)
-        size = min(anomaly.SUBSAMPLE, rows.count())  # what fitting used
-        return anomaly.score_forest(ws.spark, rows, forest_nodes(ws), size)
+        return anomaly.score_forest(ws.spark, anomaly_rows(ws), forest_nodes(ws), forest_size(ws))
 
     return anomaly.flag_anomalies(extracts.extract(ws.spark, ws.sf_dir, "anomaly-scores", build))
 
 
+def formula_orders(ws: Workspace):
+    """Fixed, formula-made anomaly scores, so the report can be checked exactly."""
+    score = -(F.col("order_id").cast("bigint") * 37 % 1000).cast("double") / F.lit(1300.0)
+    return anomaly.flag_anomalies(anomaly_base(ws).withColumn("anomaly_score", score))
+
+
+def attrition_metrics(ws: Workspace):
+    """Metrics of the fitted model: held-out accuracy and AUC, cross-validation, importance."""
+    model, rows = attrition_model(ws), attrition_rows(ws)
+    held_out = attrition.score(model, rows.where("is_test"), ["target"])
+    return attrition.metrics_row(
+        evaluate.accuracy(held_out),
+        evaluate.roc_auc(held_out),
+        attrition.cv_summary(cv_folds(ws)),
+        attrition.feature_importance(ws.spark, model),
+    )
+
+
+def cv_folds(ws: Workspace):
+    def build():
+        return attrition.cross_validated_auc(
+            ws.spark, attrition_rows(ws), train_ratio(ws), BOOSTING
+        )
+
+    return extracts.fitted(ws.spark, ("attrition folds", ws.sf_dir, BOOSTING), build)
+
+
 # -- attrition --------------------------------------------------------------
 
 @query(
@@ -182,8 +209,7 @@ def _(ws: Workspace):
 
 @query("eval_cv_auc")
 def _(ws: Workspace):
-    folds = attrition.cross_validated_auc(ws.spark, attrition_rows(ws), train_ratio(ws), BOOSTING)
-    return attrition.cv_summary(folds)
+    return attrition.cv_summary(cv_folds(ws))
 
 
 @query(
@@ -248,6 +274,41 @@ def _(ws: Workspace):
     )
 
 
+_CODES = """CASE WHEN gender = 'Male' THEN 1 ELSE 0 END AS gender_code,
+              CASE WHEN overtime = 'Yes' THEN 1 ELSE 0 END AS overtime_code,
+              CASE department_name WHEN 'Human Resources' THEN 0
+                  WHEN 'Research & Development' THEN 1 WHEN 'Sales' THEN 2 ELSE 1
+              END AS department_code,
+              CASE job_role WHEN 'Healthcare Representative' THEN 0 WHEN 'Human Resources' THEN 1
+                  WHEN 'Laboratory Technician' THEN 2 WHEN 'Manager' THEN 3
+                  WHEN 'Manufacturing Director' THEN 4 WHEN 'Research Director' THEN 5
+                  WHEN 'Research Scientist' THEN 6 WHEN 'Sales Executive' THEN 7
+                  WHEN 'Sales Representative' THEN 8 ELSE 6 END AS role_code"""
+
+
+def request_rows(ws: Workspace):
+    """Every employee as a scoring request: the key and the twelve raw fields."""
+    return attrition.feature_frame(ws.star, keep=("source_key",)).drop("attrition")
+
+
+@query(
+    "request_codes",
+    f"SELECT source_key, {_CODES} FROM staff JOIN dim_department USING (department_id)",
+)
+def _(ws: Workspace):
+    codes = ("gender_code", "overtime_code", "department_code", "role_code")
+    return attrition.encode_for_scoring(request_rows(ws)).select("source_key", *codes)
+
+
+@query("score_requests")
+def _(ws: Workspace):
+    """Twelve raw fields to probability, tier, recommendation and alerts, for every employee."""
+    scored = attrition.score_requests(
+        attrition_model(ws), request_rows(ws), ["source_key", "overtime", "monthly_income"]
+    )
+    return evaluate.risk_alerts(evaluate.risk_tiers(scored)).drop("prediction")
+
+
 # -- anomalies --------------------------------------------------------------
 
 @query(
@@ -289,6 +350,33 @@ def _(ws: Workspace):
     return anomaly.anomaly_report(flagged_orders(ws))
 
 
+@query(
+    "anomaly_report_fixed",
+    """SELECT count(*) AS total_orders, count(*) FILTER (is_anomaly) AS anomaly_count,
+              CAST((20000 * count(*) FILTER (is_anomaly) + count(*)) // (2 * count(*)) AS DOUBLE)
+                  / 100 AS anomaly_pct,
+              round(avg(price) FILTER (NOT is_anomaly), 2) AS avg_price_normal,
+              round(avg(price) FILTER (is_anomaly), 2) AS avg_price_anomaly,
+              round(avg(delivery_days) FILTER (NOT is_anomaly), 1) AS avg_delivery_normal,
+              round(avg(delivery_days) FILTER (is_anomaly), 1) AS avg_delivery_anomaly
+       FROM (SELECT *, s < quantile_cont(s, 0.05) OVER () AS is_anomaly
+             FROM (SELECT *, -CAST(order_id * 37 % 1000 AS DOUBLE) / 1300.0 AS s
+                   FROM anomaly_base))""",
+)
+def _(ws: Workspace):
+    """The report over formula scores."""
+    return anomaly.anomaly_report(formula_orders(ws))
+
+
+@query("forest_store")
+def _(ws: Workspace):
+    """Save the forest with its feature list and sample size, read it back, score every order."""
+    path = fresh_path(ws.spark, "forest")
+    anomaly.save_forest(forest_nodes(ws), forest_size(ws), path)
+    nodes, size = anomaly.read_forest(ws.spark, path)
+    return anomaly.score_forest(ws.spark, anomaly_rows(ws), nodes, size)
+
+
 @query("anomaly_kpis")
 def _(ws: Workspace):
     return anomaly.anomaly_kpis(anomaly.anomaly_extract(flagged_orders(ws)))

@@ -34,8 +34,8 @@ class Workspace:
 
     @cached_property
     def built(self) -> dict[str, DataFrame]:
-        """The star as lazy plans over the raw frames (the load itself)."""
-        return build_star(self.spark, self.raw, number_ids=True)
+        """The star as lazy plans over the raw frames; employees carry no serial id yet."""
+        return build_star(self.spark, self.raw)
 
     @cached_property
     def stored(self) -> tuple[str, dict[str, int]]:

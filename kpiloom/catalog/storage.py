@@ -12,7 +12,7 @@ from kpiloom import schemas
 from kpiloom.catalog.registry import Workspace, query
 from kpiloom.catalog.relational import baseline
 from kpiloom.catalog.tables import _COUNTS
-from kpiloom.models import attrition
+from kpiloom.models import anomaly, attrition, forecast
 from kpiloom.plans import kpi
 from kpiloom.plans.star import conform
 from kpiloom.session import fresh_path
@@ -22,6 +22,11 @@ FORECAST_CSV = schemas.struct(
     "series STRING, ds DATE, yhat DOUBLE, yhat_lower DOUBLE, yhat_upper DOUBLE"
 )
 
+ANOMALY_CSV = schemas.struct(
+    "order_id STRING, price DOUBLE, freight_value DOUBLE, delivery_days INT, "
+    "review_score DOUBLE, anomaly_score DOUBLE"
+)
+
 
 @query(
     "scan_csv",
@@ -139,6 +144,61 @@ def _(ws: Workspace):
     return ws.spark.read.schema(schema).json(path)
 
 
+@query("sink_attrition_metrics")
+def _(ws: Workspace):
+    """The attrition model's metrics file, read back."""
+    from kpiloom.catalog.models import attrition_metrics
+
+    path = fresh_path(ws.spark, "attrition-metrics")
+    sinks.write_metrics(attrition_metrics(ws), path)
+    schema = (
+        "accuracy DOUBLE, roc_auc DOUBLE, cv_roc_auc_mean DOUBLE, cv_roc_auc_std DOUBLE, "
+        "feature_importance MAP<STRING, DOUBLE>"
+    )
+    back = ws.spark.read.schema(schema).json(path)
+    return back.select("*", F.explode("feature_importance").alias("feature", "importance")).drop(
+        "feature_importance"
+    )
+
+
+@query(
+    "sink_forecast_metrics",
+    """SELECT series, count(*) AS forecast_horizon_days, round(avg(y), 1) AS avg_predicted,
+              round(max(y), 1) AS peak_predicted
+       FROM (SELECT series, round_even(greatest(yhat, 0), 1) AS y FROM baseline WHERE is_future)
+       GROUP BY series""",
+)
+def _(ws: Workspace):
+    """The forecast metrics file, one line per series, read back."""
+    path = fresh_path(ws.spark, "forecast-metrics")
+    sinks.write_metrics(forecast.forecast_metrics(forecast.clipped_future(baseline(ws))), path)
+    schema = (
+        "series STRING, forecast_horizon_days BIGINT, avg_predicted DOUBLE, peak_predicted DOUBLE"
+    )
+    return ws.spark.read.schema(schema).json(path)
+
+
+@query("sink_anomaly_csv")
+def _(ws: Workspace):
+    """The anomalous orders as CSV, read back with their declared types."""
+    from kpiloom.catalog.models import flagged_orders
+
+    path = fresh_path(ws.spark, "anomaly-csv")
+    sinks.write_csv(anomaly.anomaly_extract(flagged_orders(ws)), path)
+    return readers.scan_csv(ws.spark, path, ANOMALY_CSV)
+
+
+@query("sink_anomaly_metrics")
+def _(ws: Workspace):
+    """The anomaly report as a metrics file, read back."""
+    from kpiloom.catalog.models import flagged_orders
+
+    path = fresh_path(ws.spark, "anomaly-metrics")
+    report = anomaly.anomaly_report(flagged_orders(ws))
+    sinks.write_metrics(report, path)
+    return ws.spark.read.schema(report.schema).json(path)
+
+
 @query("model_store")
 def _(ws: Workspace):
     """Save the fitted pipeline, load it again, score every test row with it."""

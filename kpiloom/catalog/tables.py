@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kpiloom.catalog.registry import Workspace, query
 from kpiloom.plans import audit, star
 from kpiloom.sources import sinks
+from kpiloom.sources.extracts import written
 
 _COUNTS = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}"
@@ -83,7 +84,8 @@ def _(ws: Workspace):
               environment_satisfaction, performance_rating FROM fact_employees""",
 )
 def _(ws: Workspace):
-    return star.conform(ws.built["fact_employees"], "fact_employees")
+    joined = written(ws.spark, "employee-rows", ws.built["fact_employees"])
+    return star.conform(star.number_employees(joined), "fact_employees")
 
 
 @query("build_star", _COUNTS)

@@ -244,6 +244,24 @@ class Forest:
         return out
 
 
+def save_forest(nodes: DataFrame, subsample: int, path: str) -> None:
+    """Write the node table with what scoring must know: feature names and sample size."""
+    nodes.select(
+        "*",
+        F.array(*[F.lit(c) for c in FEATURES]).alias("features"),
+        F.lit(subsample).alias("subsample"),
+    ).write.mode("overwrite").parquet(path)
+
+
+def read_forest(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Node table and sample size of a saved forest; another feature list is an error."""
+    saved = spark.read.parquet(path)
+    about = saved.select("features", "subsample").first()
+    if about["features"] != FEATURES:
+        raise ValueError(f"the forest was grown on {about['features']}")
+    return saved.drop("features", "subsample"), about["subsample"]
+
+
 def load_forest(nodes: DataFrame, subsample: int) -> Forest:
     """Pack the node table. It has at most trees × (2·256 − 1) rows: a model,
     not data, so it is small enough for the driver and for a broadcast."""

@@ -96,6 +96,33 @@ def encode_for_scoring(df: DataFrame) -> DataFrame:
     )
 
 
+def request_numbers(requests: DataFrame) -> DataFrame:
+    """Add the twelve ``*_num`` inputs of the model to request records, by the fixed codes.
+
+    A missing number takes the place the training rows give it.
+    """
+    coded = encode_for_scoring(requests)
+    short = {"department_name": "department_code", "job_role": "role_code"}
+    source = {c: short.get(c, f"{c}_code") if c in CATEGORICAL else c for c in FEATURES}
+    return coded.select(
+        "*",
+        *[
+            F.coalesce(F.col(src).cast("double"), F.lit(MISSING)).alias(f"{c}_num")
+            for c, src in source.items()
+        ],
+    )
+
+
+def score_requests(model: PipelineModel, requests: DataFrame, keep: list[str]) -> DataFrame:
+    """Score records of the twelve raw fields as a scoring service would, in one batch.
+
+    Departments, roles, gender and overtime go through the fixed codes, with the
+    defaults for unknown values, and not through the codes learned in training.
+    """
+    assembled = PipelineModel(model.stages[-2:])
+    return score(assembled, request_numbers(requests), keep)
+
+
 # -- split and folds --------------------------------------------------------
 
 def numbered_by_class(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:

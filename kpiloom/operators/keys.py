@@ -86,23 +86,32 @@ def range_buckets(df: DataFrame, column: str, out: str, buckets: int = 256) -> D
     return fixed.transform(prepared).drop("_at")
 
 
-def serial_id(df: DataFrame, out: str, key: str, buckets: int = 256) -> DataFrame:
-    """Dense 1-based BIGINT ids in the order of a unique numeric ``key``."""
-    bucketed = range_buckets(df, key, "_bucket", buckets)
+def parts_for(df: DataFrame, rows_per_part: int = 1_000_000, most: int = 65_536) -> int:
+    """How many parts keep each near ``rows_per_part`` rows; one count of ``df``."""
+    rows = df.agg(F.count(F.lit(1))).first()[0]
+    return min(max(-(-rows // rows_per_part), 2), most)
+
+
+def serial_id(df: DataFrame, out: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Dense 1-based BIGINT ids in the order of a unique numeric ``key``.
+
+    The number of ``buckets`` follows the row count unless given; the ids do not depend on it.
+    """
+    bucketed = range_buckets(df, key, "_bucket", buckets or parts_for(df.select(key)))
     return ordered_number(bucketed, out, lead=["_bucket"], tail=[key]).drop("_bucket")
 
 
 def stratified_number(
-    df: DataFrame, label: str, key: str, seed: int, out: str = "rn"
+    df: DataFrame, label: str, key: str, seed: int, out: str = "rn", digits: int = 4
 ) -> DataFrame:
     """Random but repeatable 1-based numbers inside each class of ``label``.
 
-    Rows are ordered by a seeded digest of ``key``. The digest's first two hex
-    digits split every class into 256 even parts, so a class that holds most
-    rows is still numbered by many tasks.
+    Rows are ordered by a seeded digest of ``key``. The digest's first ``digits`` hex
+    digits split every class into 16^digits even parts (65,536), so a class that holds
+    most rows is still numbered by many tasks; the numbers do not depend on ``digits``.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    hashed = df.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 2))
+    hashed = df.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, digits))
     numbered = ordered_number(
         hashed, out, lead=["_part"], tail=["_digest", key], restart=[label]
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiloom.operators.keys import range_buckets
+from kpiloom.operators.keys import parts_for, range_buckets
 
 
 def exact_percentiles(
@@ -100,17 +100,18 @@ def exact_percentiles(
     )
 
 
-def exact_auc(df: DataFrame, score: str, label: str, buckets: int = 256) -> DataFrame:
+def exact_auc(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
     """One row ``auc``: rank-sum ROC-AUC, ties counted half.
 
     Scores are first folded to one row per distinct value, then cumulated in
-    order-preserving buckets whose offsets are a running sum of bucket totals.
+    order-preserving buckets whose offsets are a running sum of bucket totals. Their
+    number follows the row count unless given; the result does not depend on it.
     """
     y = F.col(label).cast("bigint")
     folded = df.groupBy(F.col(score).alias("_score")).agg(
         F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")
     )
-    parts = range_buckets(folded, "_score", "_bucket", buckets)
+    parts = range_buckets(folded, "_score", "_bucket", buckets or parts_for(df.select(score)))
     totals = parts.groupBy("_bucket").agg(
         F.sum("_pos").alias("_tp"), F.sum("_neg").alias("_tn")
     )

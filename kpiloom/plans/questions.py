@@ -38,10 +38,22 @@ def delivery_by_state(star: Star) -> DataFrame:
     )
 
 
+def orders_on(star: Star, days: DataFrame) -> DataFrame:
+    """Orders bought on ``days``, rows of the calendar.
+
+    Date ids follow the calendar, so the least and largest of them bound what is read:
+    stored orders are in ranges of ``date_id`` and the scan skips the others.
+    """
+    ids = days.select("date_id")
+    inside = F.col("date_id").between(
+        ids.agg(F.min("date_id")).scalar(), ids.agg(F.max("date_id")).scalar()
+    )
+    return star["fact_orders"].where(inside).join(F.broadcast(ids), "date_id")
+
+
 def delivered_in_year(star: Star, year: int = 2018) -> DataFrame:
-    delivered = star["fact_orders"].where(F.col("order_status") == kpi.DELIVERED)
-    days = star["dim_date"].where(F.col("year") == year).select("date_id")
-    return delivered.join(F.broadcast(days), "date_id").agg(
+    days = star["dim_date"].where(F.col("year") == year)
+    return orders_on(star, days).where(F.col("order_status") == kpi.DELIVERED).agg(
         F.count(F.lit(1)).alias("delivered_orders")
     )
 
@@ -59,9 +71,8 @@ def top10_customers(star: Star) -> DataFrame:
 def top_category_quarter(star: Star, year: int = 2017, quarter: int = 4) -> DataFrame:
     days = star["dim_date"].where((F.col("year") == year) & (F.col("quarter") == quarter))
     per_product = (
-        star["fact_orders"]
+        orders_on(star, days)
         .where(F.col("product_id").isNotNull())
-        .join(F.broadcast(days.select("date_id")), "date_id")
         .groupBy("product_id")
         .agg(F.sum("price").alias("_revenue"), F.count("order_id").alias("_orders"))
     )

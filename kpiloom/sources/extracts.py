@@ -34,9 +34,9 @@ class TimedCache:
 
 
 _queries = TimedCache(on_expire=lambda df: df.unpersist())
-# written stages last as long as the application: they are built once, not timed out
+# written stages and models last as long as the application: built once, not timed out
 _extracts = TimedCache(ttl=float("inf"))
-_models = TimedCache()
+_models = TimedCache(ttl=float("inf"))
 
 
 def _app(spark: SparkSession) -> str:

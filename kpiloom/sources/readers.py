@@ -7,19 +7,37 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from kpiloom.schemas import RAW
+
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+# The file each raw frame comes in, as the two public data sets name them.
+RAW_FILES = {
+    "orders": "olist_orders_dataset.csv",
+    "items": "olist_order_items_dataset.csv",
+    "payments": "olist_order_payments_dataset.csv",
+    "reviews": "olist_order_reviews_dataset.csv",
+    "customers": "olist_customers_dataset.csv",
+    "products": "olist_products_dataset.csv",
+    "translation": "product_category_name_translation.csv",
+    "employees": "WA_Fn-UseC_-HR-Employee-Attrition.csv",
+}
+# review comments hold line breaks inside quotes, so this file cannot be split
+_MULTILINE = {"reviews"}
+
 
 def scan_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
     timestamp_format: str = TIMESTAMP_FORMAT,
+    multiline: bool = False,
 ) -> DataFrame:
     """Header CSV under a declared schema: one scan, no inference pass.
 
     Columns are matched by header name, so a wider or reordered file still
-    yields the declared columns; DATE and TIMESTAMP columns are parsed here.
+    yields the declared columns; DATE and TIMESTAMP columns are parsed here. A quote
+    inside a quoted field is doubled.
     """
     raw = (
         spark.read.option("header", True)
@@ -27,6 +45,8 @@ def scan_csv(
         .option("timestampNTZFormat", timestamp_format)
         .option("dateFormat", "yyyy-MM-dd")
         .option("enforceSchema", False)
+        .option("escape", '"')
+        .option("multiLine", multiline)
     )
     return raw.schema(schema).csv(path)
 
@@ -42,10 +62,20 @@ def header_schema(spark: SparkSession, path: str, wanted: T.StructType) -> T.Str
     return T.StructType([T.StructField(h, known.get(h, T.StringType())) for h in header])
 
 
-def scan_wide_csv(spark: SparkSession, path: str, wanted: T.StructType) -> DataFrame:
+def scan_wide_csv(
+    spark: SparkSession, path: str, wanted: T.StructType, multiline: bool = False
+) -> DataFrame:
     """Read only the wanted columns of a CSV that has others too."""
     full = header_schema(spark, path, wanted)
-    return scan_csv(spark, path, full).select(*wanted.fieldNames())
+    return scan_csv(spark, path, full, multiline=multiline).select(*wanted.fieldNames())
+
+
+def raw_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The raw frames from a folder of the eight CSV files, with their declared columns."""
+    return {
+        name: scan_wide_csv(spark, f"{folder.rstrip('/')}/{file}", RAW[name], name in _MULTILINE)
+        for name, file in RAW_FILES.items()
+    }
 
 
 def register_views(frames: Mapping[str, DataFrame]) -> None:

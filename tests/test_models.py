@@ -126,6 +126,19 @@ def test_scoring_codes(spark):
     assert got == [(1, 1, 2, 3), (0, 0, 1, 6)]
 
 
+def test_requests_are_scored_by_the_fixed_codes(spark, staff):
+    params = attrition.BoostingParams(trees=4, depth=3)
+    model = attrition.train(staff, 2.0, params)
+    row = staff.limit(1).drop("target", "is_test", "rn", "attrition")
+    known = row.withColumns({"department_name": F.lit("Research & Development"), "job_role": F.lit("Research Scientist")})
+    unknown = row.withColumns({"department_name": F.lit("Legal"), "job_role": F.lit("Pilot")})
+    one, other = (attrition.score_requests(model, r, ["age"]).first() for r in (known, unknown))
+    assert one.probability == other.probability and 0 < one.probability < 1
+    numbers = attrition.request_numbers(known.withColumn("age", F.lit(None).cast("int"))).first()
+    assert (numbers.department_name_num, numbers.job_role_num) == (1.0, 6.0)
+    assert numbers.age_num == attrition.MISSING
+
+
 # -- anomalies --------------------------------------------------------------
 
 @pytest.fixture(scope="module")
@@ -223,6 +236,16 @@ def test_the_sampling_threshold_does_not_choose_the_rows(spark, monkeypatch):
     assert drawn() == want
 
 
+def test_a_saved_forest_scores_alike(spark, orders, tmp_path):
+    nodes = anomaly.fit_forest(orders, trees=10)
+    size = min(anomaly.SUBSAMPLE, orders.count())
+    anomaly.save_forest(nodes, size, str(tmp_path / "forest"))
+    again, known = anomaly.read_forest(spark, str(tmp_path / "forest"))
+    assert known == size
+    first = anomaly.score_forest(spark, orders, nodes, size).collect()
+    assert sorted(anomaly.score_forest(spark, orders, again, known).collect()) == sorted(first)
+
+
 def test_a_short_subsample_is_an_error(spark, orders):
     samples = anomaly.tree_samples(orders, 300, trees=4)
     with pytest.raises(Exception, match="subsample"):

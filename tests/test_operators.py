@@ -107,3 +107,17 @@ def test_stratified_number_is_a_permutation_per_class(spark):
     assert first == again and first != other
     for y, n in ((0, 400), (1, 100)):
         assert sorted(rn for c, rn in first.values() if c == y) == list(range(1, n + 1))
+
+
+def test_part_counts_do_not_change_results(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"))
+    few, many = (
+        sorted(keys.stratified_number(df, "y", "id", 42, digits=d).select("id", "rn").collect())
+        for d in (1, 3)
+    )
+    assert few == many
+    few, many = (
+        sorted(keys.serial_id(df, "n", "id", buckets=b).select("id", "n").collect()) for b in (4, 512)
+    )
+    assert few == many
+    assert keys.parts_for(df, rows_per_part=100) == 30

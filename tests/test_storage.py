@@ -52,6 +52,36 @@ def test_star_from_csv_equals_star_from_frames(raw, spark, tmp_path):
         assert sorted(map(str, stored.collect())) == sorted(map(str, want.collect()))
 
 
+def test_star_from_a_folder_of_files(raw, spark, tmp_path):
+    """The eight files under their published names, wider than declared, with quoted line breaks."""
+    extra = {"reviews": F.lit('said "fine",\nthen left'), "products": F.lit(3)}
+    for name, file in readers.RAW_FILES.items():
+        wide = raw[name].withColumn("something_else", extra.get(name, F.lit("x")))
+        sinks.write_csv(wide, str(tmp_path / "raw" / file))
+    root = str(tmp_path / "star")
+    counts = sinks.load_star_from_csv(spark, str(tmp_path / "raw"), root)
+    direct = star.build_star(spark, raw, number_ids=True)
+    assert set(counts) == set(direct)
+    for name in counts:
+        stored = spark.read.parquet(f"{root}/{name}")
+        want = star.conform(direct[name], name)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stored_orders_follow_the_calendar(raw, spark, tmp_path):
+    root = str(tmp_path / "star")
+    counts = sinks.load_star(spark, raw, root)
+    stored = {name: spark.read.parquet(f"{root}/{name}") for name in counts}
+    ranges = stored["fact_orders"].groupBy(F.input_file_name().alias("file")).agg(
+        F.min("date_id").alias("low"), F.max("date_id").alias("high")
+    ).where("low IS NOT NULL").orderBy("low").collect()
+    assert all(a.high <= b.low for a, b in zip(ranges, ranges[1:]))
+    days = stored["dim_date"].where("year = 2016 AND month = 1")
+    assert {r.order_id for r in questions.orders_on(stored, days).collect()} == {"o1", "o2"}
+    plan = questions.delivered_in_year(stored, 2016)._jdf.queryExecution().toString()
+    assert plan.count("scalar-subquery") >= 2
+
+
 def test_append_and_replace(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.append(spark.range(3), path)
