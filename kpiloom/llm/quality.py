@@ -63,8 +63,8 @@ def train(sample: pa.Table, params: QualityParams = QualityParams()) -> QualityM
     size = 1 << params.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     examples = []
-    for text, label in zip(sample.column("text").to_pylist(), sample.column("label").to_pylist(), strict=True):
-        raw = np.frombuffer(text.encode(), np.uint8)
+    for text, label in zip(sample.column("text"), sample.column("label").to_pylist(), strict=True):
+        raw = np.frombuffer(text.as_buffer(), np.uint8)
         found = np.concatenate([b for b, _, _ in features(raw, np.array([0, len(raw)]), params.bits)])
         where, counts = np.unique(found, return_counts=True)
         values = params.scale * counts / max(len(found), 1)

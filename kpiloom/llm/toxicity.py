@@ -99,12 +99,12 @@ def train(sample: pa.Table, params: ToxicityParams = ToxicityParams()) -> Toxici
     """Fit on columns text, lang and label by Adam; every fifth row only calibrates the thresholds."""
     rng = np.random.default_rng(params.seed)
     size = 1 << params.bits
-    texts = sample.column("text").to_pylist()
+    texts = sample.column("text").combine_chunks()
     labels = np.array(sample.column("label").to_pylist(), np.float32)
     langs = [x or "" for x in sample.column("lang").to_pylist()]
     ids = []
     for text in texts:
-        raw = np.frombuffer(text.encode(), np.uint8)
+        raw = np.frombuffer(text.as_buffer(), np.uint8)
         ids.append(word_ids(raw, np.array([0, len(raw)]), params.bits)[0])
     fold = np.arange(len(texts)) % 5 == 0
     learn = np.flatnonzero(~fold)
@@ -174,7 +174,7 @@ def train(sample: pa.Table, params: ToxicityParams = ToxicityParams()) -> Toxici
     held = np.flatnonzero(fold)
     gain, shifts = 1.0, np.zeros(len(names), np.float32)
     if len(held):
-        logits, _ = raw_logits(model, pa.array([texts[i] for i in held]))
+        logits, _ = raw_logits(model, texts.take(pa.array(held)))
         mine = np.array([names.index(langs[i]) if langs[i] in names else -1 for i in held])
         gain, shifts = _calibrate(logits, labels[held], mine, len(names))
     return ToxicityModel(embed, kernels, biases, output, float(bias[0]), spread, shifts, params.bits, gain)
