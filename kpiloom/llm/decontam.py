@@ -136,35 +136,51 @@ def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, low[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _windows(items: Items, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Distinct (text, start, size) of windows that share enough q-grams with an item."""
+def _windows(items: Items, words: np.ndarray, first: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Distinct (text, start, size) of windows that share enough q-grams with an item.
+
+    A gram that many items share meets them all, so about ``step`` shared grams are
+    held at a time. A run of them is followed by those that a window beginning in it
+    can reach: every window is whole in the run that has its first gram.
+    """
     out = []
     for q, (maybe, keys, item_of, at_of) in items.grams.items():
         grams, at = ngrams(words, first, q)
         hit = np.flatnonzero(maybe[(grams >> np.uint64(44)).astype(np.int64)])
         grams, at = grams[hit], at[hit]
-        row, entry = _expand(np.searchsorted(keys, grams, side="left"), np.searchsorted(keys, grams, side="right"))
-        if not len(row):
-            continue
-        at, item = at[row], item_of[entry]
-        text = np.searchsorted(first, at, side="right") - 1
-        edits = (items.params.edits * items.sizes[item]).astype(np.int64)
-        start = at - at_of[entry]
-        # grams of one link lie on k + 1 diagonals: in two neighbouring bands of that width
-        band = (start - first[text] + items.widest) // (edits + 1)
-        key = (text * len(items.ids) + item) * np.int64(1 << 26) + band
-        bands, back, counts = np.unique(key, return_inverse=True, return_counts=True)
-        after = np.append(np.where(bands[1:] == bands[:-1] + 1, counts[1:], 0), 0)
-        before = np.append(0, np.where(bands[1:] == bands[:-1] + 1, counts[:-1], 0))
-        enough = (counts + np.maximum(before, after))[back] >= items.least[item]
-        text, item, start = text[enough], item[enough], start[enough]
-        size = items.sizes[item]
-        # the window that puts the shared gram where the item has it, kept inside the text
-        start = np.clip(start, first[text], np.maximum(first[text + 1] - size, first[text]))
-        out.append(np.stack([text, start, size], axis=1))
+        low, high = np.searchsorted(keys, grams, side="left"), np.searchsorted(keys, grams, side="right")
+        some = np.flatnonzero(high > low)
+        low, high, at = low[some], high[some], at[some]
+        upto = np.concatenate([[0], np.cumsum(high - low)])
+        begin = 0
+        while begin < len(at):
+            end = max(int(np.searchsorted(upto, upto[begin] + step, side="right")) - 1, begin + 1)
+            reach = int(np.searchsorted(at, at[end - 1] + 2 * items.widest, side="right"))
+            row, entry = _expand(low[begin:reach], high[begin:reach])
+            out.append(_close(items, first, at[begin:reach][row], item_of[entry], at_of[entry]))
+            begin = end
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
 
 
+def _close(items: Items, first: np.ndarray, at: np.ndarray, item: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Distinct (text, start, size) from grams at word ``at`` that an item has at its word ``own``."""
+    text = np.searchsorted(first, at, side="right") - 1
+    edits = (items.params.edits * items.sizes[item]).astype(np.int64)
+    start = at - own
+    # grams of one link lie on k + 1 diagonals: in two neighbouring bands of that width
+    band = (start - first[text] + items.widest) // (edits + 1)
+    key = (text * len(items.ids) + item) * np.int64(1 << 26) + band
+    bands, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+    after = np.append(np.where(bands[1:] == bands[:-1] + 1, counts[1:], 0), 0)
+    before = np.append(0, np.where(bands[1:] == bands[:-1] + 1, counts[:-1], 0))
+    enough = (counts + np.maximum(before, after))[back] >= items.least[item]
+    text, item, start = text[enough], item[enough], start[enough]
+    size = items.sizes[item]
+    # the window that puts the shared gram where the item has it, kept inside the text
+    start = np.clip(start, first[text], np.maximum(first[text + 1] - size, first[text]))
+    return np.unique(np.stack([text, start, size], axis=1), axis=0)
+
+
 def _matches(items: Items, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word, end word, edits) of the best stretch of each text for each item it leaks."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}

@@ -196,13 +196,24 @@ def settle(found: list[Detection]) -> list[Detection]:
     Base detections stay. Priorities are settled from the highest, so a dropped
     detection suppresses nothing. Equal spans of equal priority keep the first rule's.
     """
-    kept: list[Detection] = []
     order = sorted((d for d in found if not d.base), key=lambda d: (-d.priority, d.start - d.end, d.start))
-    by_start: list[Detection] = []
+    # largest end of the kept detections by rank of their start, as a tree of prefix maxima:
+    # a text with very many detections takes n log n steps
+    rank = {at: k for k, at in enumerate(sorted({d.start for d in order}), 1)}
+    furthest = [-1] * (len(rank) + 1)
+    kept = [d for d in found if d.base]
     for d in order:
-        if not any(k.start <= d.start and d.end <= k.end for k in by_start):
-            by_start.append(d)
-    kept = [d for d in found if d.base] + by_start
+        k = rank[d.start]
+        reach = -1
+        while k:
+            reach = max(reach, furthest[k])
+            k &= k - 1
+        if reach < d.end:
+            kept.append(d)
+            k = rank[d.start]
+            while k < len(furthest):
+                furthest[k] = max(furthest[k], d.end)
+                k += k & -k
     return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 

@@ -263,6 +263,21 @@ def test_license_suppression():
     assert labels("the river was wide") == [] and len(licenses.rules()) > 200
 
 
+def test_license_suppression_matches_all_pairs():
+    rng = random.Random(8)
+    for _ in range(200):
+        found = [licenses.Detection(f"l{k}", a, a + rng.randint(1, 9), rng.choice([10, 20, 30]), 1.0, k % 7 == 0)
+                 for k, a in enumerate(rng.randint(0, 30) for _ in range(rng.randint(0, 25)))]
+        want = []
+        for d in sorted((d for d in found if not d.base), key=lambda d: (-d.priority, d.start - d.end, d.start)):
+            if not any(k.start <= d.start and d.end <= k.end for k in want):
+                want.append(d)
+        want += [d for d in found if d.base]
+        assert sorted(licenses.settle(found), key=repr) == sorted(want, key=repr)
+    many = [licenses.Detection("mit", 10 * k, 10 * k + 9, 20, 0.7, False) for k in range(100_000)]
+    assert licenses.settle(many) == many
+
+
 # --------------------------------------------------------------------- chat
 
 @pytest.mark.parametrize("params", [chat.ChatParams(), chat.ChatParams(budget=80, history=20, chunk=3)])
@@ -343,6 +358,23 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.contamination(docs, bench.limit(0)).collect() == []
 
 
+def test_shared_grams_in_runs_find_the_same_windows():
+    rng = random.Random(9)
+    head = "answer the following question with one short sentence".split()
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(head + [rng.choice(vocabulary) for _ in range(rng.randint(1, 30))]) for _ in range(60)]
+    items = decontam.Items(list(range(60)), texts, decontam.DecontamParams())
+    found = [decontam.hash_words(" ".join(rng.sample(texts, 3))) for _ in range(20)]
+    words, first = np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    whole = decontam._windows(items, words, first, 1 << 40)
+    assert len(whole) > 100
+    matched = decontam._matches(items, words, first)
+    for step in (1, 50, 3000):
+        parts = {tuple(r) for r in decontam._windows(items, words, first, step)}
+        assert parts == {tuple(r) for r in whole}
+    assert len({(t, i) for t, i, *_ in matched}) >= 60
+
+
 # -------------------------------------------------------------------- rules
 
 def test_rules_against_brute_force(odd_docs, odd_rows):
