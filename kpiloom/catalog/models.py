@@ -401,6 +401,26 @@ def _(ws: Workspace):
     return forecast.clipped_future(forecast.seasonal_forecast(series_frame(ws)))
 
 
+@query(
+    "forecast_store",
+    "SELECT series, ds, is_future, true AS in_order, true AS as_fitted FROM baseline",
+)
+def _(ws: Workspace):
+    """Save the forecast models, read them back and forecast every day with them: whether the
+    bounds enclose the forecast and whether it is that of the models before they were saved."""
+    series = series_frame(ws)
+    models = extracts.written(ws.spark, "forecast-models", forecast.fit_forecast(series))
+    again = forecast.apply_forecast(models, forecast.forecast_days(series, models))
+    fitted = forecast.seasonal_forecast(series).select("series", "ds", F.col("yhat").alias("_fitted"))
+    return again.join(fitted, ["series", "ds"], "left").select(
+        "series",
+        "ds",
+        "is_future",
+        ((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("in_order"),
+        F.coalesce(F.abs(F.col("yhat") - F.col("_fitted")) <= 1e-6 * F.abs("_fitted"), F.lit(False)).alias("as_fitted"),
+    )
+
+
 @query("grouped_fit")
 def _(ws: Workspace):
     """One model per state series, fitted in parallel."""

@@ -27,6 +27,10 @@ NORMAL_80 = 1.2815515655446004
 _FORECAST_SCHEMA = (
     "series STRING, ds DATE, yhat DOUBLE, yhat_lower DOUBLE, yhat_upper DOUBLE, is_future BOOLEAN"
 )
+_MODEL_SCHEMA = (
+    "series STRING, first_day DATE, last_day DATE, scale DOUBLE, knots ARRAY<DOUBLE>, "
+    "trend ARRAY<DOUBLE>, season ARRAY<DOUBLE>, low DOUBLE, high DOUBLE, bend DOUBLE"
+)
 
 
 # -- series -----------------------------------------------------------------
@@ -142,64 +146,139 @@ def _ridge(design: np.ndarray, target: np.ndarray, penalty: np.ndarray) -> np.nd
     return np.linalg.lstsq(normal, design.T @ target, rcond=None)[0]
 
 
-def fit_one_series(group: pd.DataFrame, horizon: int = HORIZON) -> pd.DataFrame:
-    """Fit and extend one daily series; a group is one row per calendar day."""
+def _hinges(t: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    bent = np.maximum(t[:, None] - knots[None, :], 0.0)
+    return np.hstack([np.ones((len(t), 1)), t[:, None], bent])
+
+
+def _season(day: np.ndarray) -> np.ndarray:
+    return np.hstack([_fourier(day, 365.25, YEARLY_ORDER), _fourier(day, 7.0, WEEKLY_ORDER)])
+
+
+def _day_numbers(ds) -> np.ndarray:
+    return (pd.DatetimeIndex(pd.to_datetime(ds)) - pd.Timestamp("1970-01-01")).days.to_numpy().astype(float)
+
+
+def fit_one_series(group: pd.DataFrame) -> pd.DataFrame:
+    """Fit one daily series (one row per calendar day): one row of model parameters.
+
+    ``low`` and ``high`` are the residual quantiles of the 80 % interval, ``bend`` the
+    mean size of a change of slope; both in units of ``scale``.
+    """
     group = group.sort_values("ds")
-    dates = pd.to_datetime(group["ds"])
-    future = pd.date_range(dates.iloc[-1] + pd.Timedelta(days=1), periods=horizon)
-    everything = pd.DatetimeIndex(dates).append(future)
-    day = (everything - pd.Timestamp("1970-01-01")).days.to_numpy().astype(float)
+    day = _day_numbers(group["ds"])
     n = len(group)
     scale = max(float(group["y"].abs().max()), 1e-9)
     y = group["y"].to_numpy(dtype=float) / scale
 
-    span = max(day[n - 1] - day[0], 1.0)
-    t = (day - day[0]) / span
+    t = (day - day[0]) / max(day[-1] - day[0], 1.0)
     count = min(CHANGEPOINTS, max(int(n * CHANGE_RANGE) - 1, 0))
     picks = np.linspace(0, int(n * CHANGE_RANGE) - 1, count + 1).round().astype(int)[1:]
-    hinges = np.maximum(t[:, None] - t[picks][None, :], 0.0)
-    trend_design = np.hstack([np.ones((len(t), 1)), t[:, None], hinges])
-    trend_penalty = np.r_[1e-6, 1e-6, np.full(hinges.shape[1], 1.0 / CHANGE_PRIOR)]
-    season_design = np.hstack(
-        [_fourier(day, 365.25, YEARLY_ORDER), _fourier(day, 7.0, WEEKLY_ORDER)]
-    )
+    trend_design = _hinges(t, t[picks])
+    trend_penalty = np.r_[1e-6, 1e-6, np.full(count, 1.0 / CHANGE_PRIOR)]
+    season_design = _season(day)
     season_penalty = np.full(season_design.shape[1], 1e-2)
 
-    season = np.zeros(len(t))
-    trend = np.zeros(len(t))
+    season = np.zeros(n)
     for _ in range(5):  # alternate: trend given season, season given trend
-        factor = 1.0 + season[:n]
-        weights = _ridge(trend_design[:n] * factor[:, None], y, trend_penalty)
-        trend = trend_design @ weights
-        weights = _ridge(season_design[:n] * trend[:n, None], y - trend[:n], season_penalty)
-        season = season_design @ weights
-    yhat = trend * (1.0 + season)
-    low, high = np.quantile(y - yhat[:n], [LOW_QUANTILE, HIGH_QUANTILE])
+        trend_weights = _ridge(trend_design * (1.0 + season)[:, None], y, trend_penalty)
+        trend = trend_design @ trend_weights
+        season_weights = _ridge(season_design * trend[:, None], y - trend, season_penalty)
+        season = season_design @ season_weights
+    low, high = np.quantile(y - trend * (1.0 + season), [LOW_QUANTILE, HIGH_QUANTILE])
     return pd.DataFrame(
         {
-            "series": group["series"].iloc[0],
-            "ds": everything.date,
-            "yhat": yhat * scale,
-            "yhat_lower": (yhat + min(low, 0.0)) * scale,
-            "yhat_upper": (yhat + max(high, 0.0)) * scale,
-            "is_future": np.arange(len(t)) >= n,
+            "series": [group["series"].iloc[0]],
+            "first_day": [pd.Timestamp(group["ds"].iloc[0]).date()],
+            "last_day": [pd.Timestamp(group["ds"].iloc[-1]).date()],
+            "scale": [scale],
+            "knots": [t[picks]],
+            "trend": [trend_weights],
+            "season": [season_weights],
+            "low": [min(float(low), 0.0)],
+            "high": [max(float(high), 0.0)],
+            "bend": [float(np.abs(trend_weights[2:]).mean()) if count else 0.0],
         }
     )
 
 
-def seasonal_forecast(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """History and horizon for every series; series are fitted in parallel.
+def predict_one_series(days: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """Forecast and 80 % interval of one series on ``days`` (series, ds, is_future).
+
+    After the last day the slope may change as often and as strongly as it did
+    before: changes come at the rate of the fitted ones, with Laplace sizes of mean
+    ``bend``. Their variance at a distance h is rate x 2 bend^2 x h^3 / 3, so the band
+    widens with the horizon; it is added to the residual part as a variance.
+    """
+    m = model.iloc[0]
+    day = _day_numbers(days["ds"])
+    first, last = _day_numbers([m["first_day"], m["last_day"]])
+    t = (day - first) / max(last - first, 1.0)
+    knots = np.asarray(m["knots"], dtype=float)
+    trend = _hinges(t, knots) @ np.asarray(m["trend"], dtype=float)
+    factor = 1.0 + _season(day) @ np.asarray(m["season"], dtype=float)
+    yhat = trend * factor
+    ahead = np.maximum(t - 1.0, 0.0)
+    drift = NORMAL_80 * m["bend"] * np.sqrt(2.0 * len(knots) * ahead**3 / 3.0) * np.abs(factor)
+    return pd.DataFrame(
+        {
+            "series": days["series"],
+            "ds": days["ds"],
+            "yhat": yhat * m["scale"],
+            "yhat_lower": (yhat - np.hypot(m["low"], drift)) * m["scale"],
+            "yhat_upper": (yhat + np.hypot(m["high"], drift)) * m["scale"],
+            "is_future": days["is_future"],
+        }
+    )
+
+
+def fit_forecast(series: DataFrame) -> DataFrame:
+    """One row of model parameters per series; series are fitted in parallel.
 
     Spark has already folded each series to one row per day, so a group holds
-    at most the calendar days of the data, however hot its key was.
+    at most the calendar days of the data, however hot its key was. The result is a
+    plain table: writing it saves the models.
     """
+    slots = series.sparkSession.sparkContext.defaultParallelism
+    spread = series.select("series", "ds", "y").repartition(slots, "series")
+    return spread.groupBy("series").applyInPandas(fit_one_series, _MODEL_SCHEMA)
+
+
+def forecast_days(series: DataFrame, models: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """(series, ds, is_future): the days of each series and the horizon after its last."""
+    ahead = models.select(
+        "series", F.explode(C.following_days(F.col("last_day"), horizon)).alias("ds")
+    )
+    past = series.select("series", "ds", F.lit(False).alias("is_future"))
+    return past.unionByName(ahead.withColumn("is_future", F.lit(True)))
+
+
+def apply_forecast(models: DataFrame, days: DataFrame) -> DataFrame:
+    """Forecast every day of ``days`` by the model of its series; days without one are left out."""
+
+    def predict(mine: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or model.empty:
+            return pd.DataFrame(columns=["series", "ds", "yhat", "yhat_lower", "yhat_upper", "is_future"])
+        return predict_one_series(mine, model)
+
+    pairs = days.select("series", "ds", "is_future").groupBy("series").cogroup(models.groupBy("series"))
+    return pairs.applyInPandas(predict, _FORECAST_SCHEMA)
+
+
+def seasonal_forecast(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """History and horizon for every series, fitted and forecast in one task per series."""
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        return fit_one_series(group, horizon)
+    def both(group: pd.DataFrame) -> pd.DataFrame:
+        model = fit_one_series(group)
+        past = group[["series", "ds"]].sort_values("ds").assign(is_future=False)
+        future = pd.date_range(pd.Timestamp(past["ds"].iloc[-1]) + pd.Timedelta(days=1), periods=horizon)
+        ahead = pd.DataFrame({"series": past["series"].iloc[0], "ds": future.date, "is_future": True})
+        days = pd.concat([past, ahead], ignore_index=True) if horizon else past
+        return predict_one_series(days, model)
 
     slots = series.sparkSession.sparkContext.defaultParallelism
     spread = series.select("series", "ds", "y").repartition(slots, "series")
-    return spread.groupBy("series").applyInPandas(fit, _FORECAST_SCHEMA)
+    return spread.groupBy("series").applyInPandas(both, _FORECAST_SCHEMA)
 
 
 # -- outputs ----------------------------------------------------------------

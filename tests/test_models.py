@@ -286,6 +286,46 @@ def test_forecast_recovers_pattern(series, method):
         assert np.mean(error) < 0.03
 
 
+def test_the_band_widens_with_the_horizon():
+    rng = np.random.default_rng(3)
+    days = [date(2020, 1, 6) + timedelta(days=i) for i in range(400)]
+    slope = np.repeat(rng.normal(0, 1, 8), 50)
+    y = 200 + np.cumsum(slope) + rng.normal(0, 2, 400)
+    model = forecast.fit_one_series(pd.DataFrame({"series": "s", "ds": days, "y": y}))
+    ahead = [days[-1] + timedelta(days=i) for i in range(91)]
+    out = forecast.predict_one_series(pd.DataFrame({"series": "s", "ds": ahead, "is_future": True}), model)
+    width = (out["yhat_upper"] - out["yhat_lower"]).to_numpy()
+    assert width[0] > 0 and np.all(np.diff(width) > 0)
+    # without residuals the band is that of simulated future slope changes
+    model = model.assign(bend=0.3, low=0.0, high=0.0)
+    out = forecast.predict_one_series(pd.DataFrame({"series": "s", "ds": ahead, "is_future": True}), model)
+    factor = (out["yhat"] / (trend_of(model, ahead) * model["scale"][0])).to_numpy()
+    spread = ((out["yhat_upper"] - out["yhat"]) / forecast.NORMAL_80 / model["scale"][0]).to_numpy() / np.abs(factor)
+    far = 90 / 399
+    drifts = []
+    for _ in range(20_000):
+        at = rng.uniform(0, far, rng.poisson(len(model["knots"][0]) * far))
+        drifts.append(np.sum(rng.laplace(0, 0.3, len(at)) * (far - at)))
+    assert spread[0] == 0 and abs(np.std(drifts) / spread[90] - 1) < 0.05
+
+
+def trend_of(model, days):
+    t = np.array([(d - date(2020, 1, 6)).days for d in days]) / 399
+    knots, weights = np.asarray(model["knots"][0]), np.asarray(model["trend"][0])
+    return weights[0] + weights[1] * t + np.maximum(t[:, None] - knots, 0) @ weights[2:]
+
+
+def test_saved_forecasts_predict_alike(spark, series, tmp_path):
+    forecast.fit_forecast(series).write.parquet(str(tmp_path / "models"))
+    models = spark.read.parquet(str(tmp_path / "models"))
+    again = forecast.apply_forecast(models, forecast.forecast_days(series, models))
+    want = {(r.series, r.ds, r.is_future): r.yhat for r in forecast.seasonal_forecast(series).collect()}
+    got = {(r.series, r.ds, r.is_future): r.yhat for r in again.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * abs(want[k]) for k in want)
+    one = pd.DataFrame({"series": ["s"], "ds": [date(2020, 1, 1)], "y": [3.0]})
+    assert len(forecast.fit_one_series(one)) == 1
+
+
 def test_clipping_and_metrics(spark):
     rows = [("s", date(2020, 1, i + 1), y, y - 1, y + 1, i > 0) for i, y in enumerate([9.0, -3.0, 2.25, 4.75])]
     df = spark.createDataFrame(
