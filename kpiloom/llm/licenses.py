@@ -97,7 +97,7 @@ PHRASES = [
     ("{} license", 20, 0.75),
 ]
 
-# notices that carry no license name: label, words, keyword, priority, certainty
+# notices that carry no license name: label, words, keyword (one of the words), priority, certainty
 NOTICES = [
     ("apache-2", "apache license version 2 0", "apache", 45, 1.0),
     ("apache-2", "apache license version 2", "apache", 44, 1.0),
@@ -106,12 +106,12 @@ NOTICES = [
     ("lgpl-3", "gnu lesser general public license version 3", "gnu", 45, 1.0),
     ("agpl-3", "gnu affero general public license version 3", "gnu", 45, 1.0),
     ("gpl", "gnu general public license", "gnu", 25, 0.8),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 45, 0.95),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "granted", 45, 0.95),
     ("bsd", "redistribution and use in source and binary forms", "redistribution", 45, 0.9),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use", 45, 0.9),
-    ("public-domain", "dedicated to the public domain", "public domain", 40, 0.9),
-    ("public-domain", "in the public domain", "public domain", 30, 0.7),
-    ("proprietary", "all rights reserved", "rights reserved", 10, 0.4),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission", 45, 0.9),
+    ("public-domain", "dedicated to the public domain", "domain", 40, 0.9),
+    ("public-domain", "in the public domain", "domain", 30, 0.7),
+    ("proprietary", "all rights reserved", "reserved", 10, 0.4),
     ("cc-by-nc-nd", "creativecommons org licenses by nc nd", "creativecommons", 45, 1.0),
     ("cc-by-nc-sa", "creativecommons org licenses by nc sa", "creativecommons", 45, 1.0),
     ("cc-by-nc", "creativecommons org licenses by nc", "creativecommons", 44, 1.0),
@@ -169,8 +169,12 @@ def rules() -> tuple[Rule, ...]:
     return tuple(out)
 
 
-#: A text without any of these cannot match a rule other than the ones gated by "cc".
-_GATE = re.compile(rb"licen[sc]|hereby granted|redistribution|permission to use|public domain|rights reserved|creativecommons")
+#: A text without any of these cannot match a rule other than the ones gated by "cc". Words
+#: stand any separators apart, as in the rules.
+_GATE = re.compile(
+    rb"licen[sc]|redistribution|creativecommons|"
+    + rb"|".join(GAP.join(w.split()) for w in (b"hereby granted", b"permission to use", b"public domain", b"rights reserved"))
+)
 _CC = re.compile(rb"cc" + GAP + rb"by" + GAP + rb"nc")
 
 

@@ -252,6 +252,16 @@ def test_license_base_places(spark):
         assert (r["n_words"], [tuple(b) for b in r["base"]]) == (n, places)
 
 
+def test_license_notices_with_any_separators(spark):
+    gaps = [" ", "  ", "\n", "\n * ", "\n# ", "-", "\r\n// "]
+    rows = [(gap.join(words.split()).upper(), label) for label, words, *_ in licenses.NOTICES for gap in gaps]
+    docs = spark.createDataFrame([(i, f"Text {t}: end") for i, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(2)
+    for r in licenses.scan_documents(docs).collect():
+        text, label = rows[r["doc_id"]]
+        assert label in [d["label"] for d in r["found"]] and max(d["certainty"] for d in r["found"]) > 0, text
+    assert all(r.keyword in r.pattern.pattern for r in licenses.rules())
+
+
 def test_license_suppression():
     def labels(t):
         return [(d.label, d.base) for d in licenses.settle(licenses.detections(t.encode()))]
