@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -136,22 +138,70 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+# scripts written without spaces between words, by first and last code point
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF),
+    (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x11700, 0x1174F),
+    (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
+
+
+@lru_cache(maxsize=1)
+def _points() -> np.ndarray:
+    """Class of each code point: 0 separates, 1 is in a word, 2 is a word of its own."""
+    out = np.ones(0x110000, np.uint8)
+    for low, high in _UNSPACED:
+        out[low : high + 1] = 2
+    for point in [*range(0x20000), *range(0xE0000, 0xE0200)]:
+        # zero width spaces part words, joiners do not
+        if unicodedata.category(chr(point))[0] in "PSZ" or 0x7F < point < 0xA0 or point in (0x200B, 0xFEFF):
+            out[point] = 0
+    out[:128] = ALNUM[:128]
+    return out
+
+
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte by ``_points``, and where a character that is a word of its own begins."""
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(heads) or heads[0]:
+        heads = np.append(0, heads)
+    lead = data[heads].astype(np.int64)
+    size = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    point = np.where(size == 1, lead, lead & (0xFF >> (size + 1)))
+    for k in range(1, 4):
+        longer = np.flatnonzero(size > k)
+        follow = data[np.minimum(heads[longer] + k, len(data) - 1)].astype(np.int64)
+        point[longer] = point[longer] << 6 | follow & 0x3F
+    kind = _points()[np.minimum(point, 0x10FFFF)]
+    kind[(size == 1) & (lead >= 0x80)] = 1  # not UTF-8
+    return np.repeat(kind, np.diff(np.append(heads, len(data)))), heads[kind == 2]
+
+
 def tokens(
-    data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, prefixes: tuple[int, ...] = ()
+    data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | None, prefixes: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, *tuple[np.ndarray, ...]]:
     """Runs of bytes of one class: hash, start, end, and per text the first run's index (n + 1 entries).
 
     A run never crosses the end of a text. Hashes of each run's first bytes follow
-    for every length in ``prefixes``.
+    for every length in ``prefixes``. Without ``kind`` the runs are alphanumeric in
+    Unicode, and each character of a script without spaces is a run.
     """
     n = len(data)
     if not n:
         none = np.empty(0, np.uint64)
         return none, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64), *[none for _ in prefixes]
-    c = kind[data]
+    if kind is not None:
+        c, alone = kind[data], None
+    elif data.max() < 0x80:
+        c, alone = ALNUM[data], None
+    else:
+        c, alone = _wide(data)
     change = np.empty(n + 1, bool)
     change[0] = change[n] = True
     np.not_equal(c[1:], c[:-1], out=change[1:n])
+    if alone is not None:
+        change[alone] = True
     change[offsets] = True
     edges = np.flatnonzero(change)
     starts, ends = edges[:-1], edges[1:]
@@ -189,6 +239,6 @@ def per_text(values: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.nda
 
 
 def hash_words(text: str) -> np.ndarray:
-    """Hashes of the lower-cased alphanumeric words of one text."""
+    """Hashes of the lower-cased alphanumeric words of one text, by character in scripts without spaces."""
     data = lowered(np.frombuffer(text.encode(), np.uint8))
-    return tokens(data, np.array([0, len(data)]), ALNUM)[0]
+    return tokens(data, np.array([0, len(data)]), None)[0]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from kpiloom.llm.common import ALNUM, hash_words, lowered, mix, ngrams, text_parts, tokens
+from kpiloom.llm.common import hash_words, lowered, mix, ngrams, text_parts, tokens
 from kpiloom.session import ship_package
 
 
@@ -83,13 +83,21 @@ class Items:
             self.bucket = flat[order]
             self.bucket_item = np.repeat(np.arange(len(self.words)), keys.shape[1])[order]
 
-    def buckets(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """LSH keys (windows, walks x rounds) of padded windows of ``sizes`` words."""
+    def buckets(self, rows: np.ndarray, sizes: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+        """LSH keys (windows, walks x rounds) of padded windows of ``sizes`` words.
+
+        About ``step`` places of embeddings are held at a time.
+        """
         p = self.params
         n = len(rows)
         keys = np.empty((n, p.walks * p.rounds), np.uint64)
         lines = np.arange(n)
         longest = int(sizes.max())
+        part = max(step // (3 * longest), 1)
+        if n > part:
+            for a in range(0, n, part):
+                keys[a : a + part] = self.buckets(rows[a : a + part], sizes[a : a + part], step)
+            return keys
         for walk in range(p.walks):
             # the sampled places of each window's embedding, which is three times its length
             places = (self.places[walk].reshape(-1)[None, :] * (3 * sizes)[:, None]).astype(np.int64)
@@ -235,7 +243,7 @@ def leaks(text: Column, items: Items) -> Column:
         out = [[] for _ in range(len(column))]
         parts, owners, base = [], [0], 0
         for _, data, offsets in text_parts(column):
-            hashes, _, _, first = tokens(lowered(data), offsets, ALNUM)
+            hashes, _, _, first = tokens(lowered(data), offsets, None)
             parts.append(hashes)
             owners.extend((base + first[1:]).tolist())
             base += len(hashes)
@@ -268,8 +276,9 @@ def _blocks(benchmark: DataFrame, params: DecontamParams):
 def contamination(docs: DataFrame, benchmark: DataFrame, params: DecontamParams = DecontamParams()) -> DataFrame:
     """One row per document and benchmark item it holds: doc_id, item_id, first_word, end_word, edits.
 
-    Words are runs of alphanumeric characters, A-Z and Latin-1 capitals lowered. A
-    document holds an item if some stretch of its words is within a fifth of the
+    Words are runs of alphanumeric characters, A-Z and Latin-1 capitals lowered; in
+    scripts without spaces (Chinese, Japanese, Thai, ...) every character is a word,
+    and Unicode punctuation, symbols and spaces separate as ASCII ones do. A document holds an item if some stretch of its words is within a fifth of the
     item's words (rounded down; under five words: equal). The stretch with the
     fewest edits is reported, the earliest of equals. Null texts and ids of items
     and items without words match nothing; repeated rows match alike.

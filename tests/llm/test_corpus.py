@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kpiloom.llm import chat, decontam, langid, licenses, packing, quality, queries, rules, simhash, toxicity, warc
-from kpiloom.llm.common import held_out, table
+from kpiloom.llm.common import held_out, lowered, table, tokens
 from kpiloom.llm.components import components
 from tools.compare import connect, differences
 
@@ -368,6 +368,53 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.contamination(docs, bench.limit(0)).collect() == []
 
 
+def brute_words(text):
+    """Alphanumeric runs, and single characters of the scripts used below."""
+    pattern = r"[\u0e00-\u0e7f\u3041-\u3096\u30a1-\u30fa\u30fc\u3400-\u9fff\U00020000-\U0002a6df]|[0-9a-zé\uff10-\uff19]+"
+    return re.findall(pattern, lower(text))
+
+
+def test_decontamination_in_scripts_without_spaces(spark):
+    items = {
+        1: "北京是中华人民共和国的首都，也是全国的政治中心。",
+        2: "日本語の文章には単語の間に空白がありません",
+        3: "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย",
+        4: "to be or not to be — that is the question",
+        5: "𠀀𠀁𠀂",
+    }
+    docs = {
+        1: f"据说{items[1].replace('首都，', '首都,')}所以很多人都知道这一点！",
+        2: f"さて、{items[2].replace('文章', '文書')}という話です",
+        3: f"ว่ากันว่า{items[3]}และใหญ่มาก",
+        4: "He said “to be or not to be—that is the question”… twice",
+        5: "前𠀀𠀁𠀂後",
+        6: "上海是一个很大的城市，很多人都知道这一点。𠀀𠀁後𠀂 to be a question",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["edits"]) for r in decontam.contamination(frame, bench).collect()}
+    assert {k: e for k, (_, e) in got.items()} == {(1, 1): 0, (2, 2): 1, (3, 3): 0, (4, 4): 0, (5, 5): 0}
+    for (d, i), (at, edit) in got.items():
+        assert edit == edits(brute_words(items[i]), brute_words(docs[d]))
+        assert edit or brute_words(docs[d])[at:][: len(brute_words(items[i]))] == brute_words(items[i])
+    assert [r["doc_id"] for r in decontam.decontaminate(frame, bench).collect()] == [6]
+
+
+def test_words_of_mixed_scripts():
+    texts = ["GPT模型和ABC", "", "é東a", "ทa１２ b", "x。y\u3000z「東京」", "plain words only", "\u00a0a\u00a0"]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    body = lowered(np.frombuffer(b"".join(data), np.uint8))
+    _, starts, ends, first = tokens(body, offsets, None)
+    got = [[body[a:b].tobytes().decode() for a, b in zip(starts[i:j], ends[i:j], strict=True)] for i, j in zip(first, first[1:], strict=False)]
+    assert got == [brute_words(t) for t in texts]
+    odd = np.frombuffer(b"\x80a\xe6\x9c \xf0\xff\xe4", np.uint8)
+    assert len(tokens(odd, np.array([0, len(odd)]), None)[0]) >= 1
+    items = decontam.Items([1, 2], ["a b c d e f", "g h i"], decontam.DecontamParams())
+    rows, sizes = np.stack([items.words[0]] * 5), np.array([6, 5, 4, 6, 3])
+    assert (items.buckets(rows, sizes, 20) == items.buckets(rows, sizes)).all()
+
+
 def test_shared_grams_in_runs_find_the_same_windows():
     rng = random.Random(9)
     head = "answer the following question with one short sentence".split()
