@@ -23,8 +23,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """About ``per_language`` texts of at most ``max_chars`` characters are learned from, and
-    at most ``languages`` languages, the most frequent first; ties by name."""
+    """About ``per_language`` texts are learned from, ``max_chars`` characters of each at most, and
+    at most ``languages`` languages, those with the most texts to learn from first; ties by name."""
 
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
@@ -180,16 +180,28 @@ def predict(model: LanguageModel, text: Column) -> Column:
     return F.when(F.coalesce(text.rlike("\\p{L}"), F.lit(False)), run(text)).otherwise(nothing)
 
 
+def _piece(doc_id: Column, text: Column, most: int) -> Column:
+    """The text, or ``most`` characters of a longer one at a place taken from a hash of the id.
+
+    If those hold no letter, they begin at the text's first letter instead.
+    """
+    drawn = F.substring(text, F.pmod(F.xxhash64(doc_id, F.lit(1)), F.length(text) - most + 1).cast("int") + 1, F.lit(most))
+    lettered = F.when(drawn.rlike("\\p{L}"), drawn).otherwise(F.substring(text, F.regexp_instr(text, F.lit("\\p{L}")), F.lit(most)))
+    return F.when(F.length(text) <= most, text).otherwise(lettered)
+
+
 def sample(docs: DataFrame, params: LanguageParams = LanguageParams()) -> pa.Table:
-    """About ``per_language`` learned-from texts of each language, chosen by a hash of the id."""
+    """About ``per_language`` learned-from texts of each language, chosen by a hash of the id.
+
+    Rates are taken over the distinct ids that can be drawn. Of a longer text a piece
+    of ``max_chars`` characters is learned from; of repeated ids the smallest piece.
+    """
     usable = docs.where(
-        F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
-        & F.length("text").between(1, params.max_chars)
-        & F.col("text").rlike("\\p{L}")
+        F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}")
     ).select("doc_id", "lang", "text")
     counts = {
         r["lang"]: r["n"]
-        for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
+        for r in usable.groupBy("lang").agg(F.countDistinct("doc_id").alias("n"))
         .orderBy(F.desc("n"), "lang").limit(params.languages).collect()
     }
     if not counts:
@@ -198,11 +210,16 @@ def sample(docs: DataFrame, params: LanguageParams = LanguageParams()) -> pa.Tab
         F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, params.per_language / n))]),
         F.col("lang"),
     )
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) / 1e9
     known = usable.where(F.col("lang").isin(list(counts)))
-    found = known.where(draw < share).limit(2 * params.per_language * len(counts)).toArrow()
-    order = np.argsort(mix(found.column("doc_id").to_numpy().astype(np.uint64)), kind="stable")
-    return found.take(pa.array(order))
+    found = (
+        known.where(draw < share)
+        .groupBy("doc_id", "lang")
+        .agg(F.min(_piece(F.col("doc_id"), F.col("text"), params.max_chars)).alias("text"))
+        .toArrow()
+    )
+    keys = mix(found.column("doc_id").to_numpy().astype(np.uint64))
+    return found.take(pa.array(np.lexsort((found.column("lang").to_numpy(zero_copy_only=False), keys))))
 
 
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:

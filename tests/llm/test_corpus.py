@@ -217,6 +217,26 @@ def test_classifiers_take_odd_and_empty_tables(spark, odd_docs, clashing, odd_ro
     assert found[900] == found[901] == found[905] == "und" and found[903] in ("en", "fr")
 
 
+def test_language_sample_counts_what_can_be_drawn(spark):
+    learned = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 5][:8000]
+    held = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 5 == 0][:4000]
+    rows = [(i, "kurze zeile", "de") for i in learned[:2000]]
+    rows += [(i, "une ligne", "fr") for i in held] + [(i, "une ligne", "fr") for i in learned[2000:2100]]  # mostly held out
+    rows += [(i, f"ciao {i} " * 100 + "riga lunga " * 20, "it") for i in learned[2100:2200]]  # long texts only
+    rows += [(learned[2200], f"same id {k}", "en") for k in range(5000)] + [(i, "a line", "en") for i in learned[2201:2300]]
+    rows += [(i, "x" + "1" * 2000, "pt") for i in learned[2300:2310]]  # one letter outside nearly every piece
+    rows += [(None, "no id", "de"), (learned[2310], None, "de"), (learned[2311], "123", "de"), (learned[2312], "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    params = langid.LanguageParams(per_language=100, max_chars=300)
+    got = langid.sample(docs, params).to_pylist()
+    found = Counter(r["lang"] for r in got)
+    assert {x: found[x] for x in ("fr", "it", "en", "pt")} == {"fr": 100, "it": 100, "en": 100, "pt": 10}
+    assert 60 <= found["de"] <= 140 and len({(r["doc_id"], r["lang"]) for r in got}) == len(got)
+    assert all(len(r["text"]) <= 300 and re.search("[a-z]", r["text"]) for r in got)
+    assert langid.sample(docs.repartition(7), params).to_pylist() == got
+    assert len({r["text"] for r in got if r["lang"] == "it"}) > 50
+
+
 def test_held_out_fold(spark):
     rows = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
