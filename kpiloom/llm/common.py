@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for an operator's own columns: each with as many underscores before it as keep it apart."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold no label is learned from; a null id is always held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(True))
@@ -242,3 +254,35 @@ def hash_words(text: str) -> np.ndarray:
     """Hashes of the lower-cased alphanumeric words of one text, by character in scripts without spaces."""
     data = lowered(np.frombuffer(text.encode(), np.uint8))
     return tokens(data, np.array([0, len(data)]), None)[0]
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes whose class is not 0: start, end, and per text the first run's index (n + 1 entries)."""
+    inside = kind[data] != 0
+    change = np.empty(len(data) + 1, bool)
+    change[0], change[-1] = True, True
+    np.not_equal(inside[1:], inside[:-1], out=change[1:-1])
+    change[offsets] = True
+    edges = np.flatnonzero(change)
+    starts, ends = edges[:-1], edges[1:]
+    keep = inside[starts] if len(starts) else np.empty(0, bool)
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Index of each run of bytes among the distinct runs, and these; they are told apart by their bytes."""
+    sizes = ends - starts
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    whole = len(starts) and upto[-1] == ends[-1] - starts[0]
+    body = data[starts[0] : ends[-1]] if whole else data[ranges(starts, sizes)]
+    buffers = [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))]
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range in turn."""
+    total = int(size.sum())
+    shift = start - (np.cumsum(size) - size)
+    return np.arange(total) + np.repeat(shift, size)
