@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import chat, decontam, langid, lexical, licenses, lines, packing, quality, rules, simhash, toxicity, warc
+from kpiloom.llm import chat, crosstok, decontam, langid, lexical, licenses, lines, packing, quality, rules, simhash, toxicity, warc
 from kpiloom.llm.common import held_out, table
 
 
@@ -82,6 +82,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -96,7 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_simhash, op2_packing, op3_quality, op4_licenses, op5_chat, op6_decontamination,
-            op7_toxicity, op8_language, op9_rules, op10_warc, op12_search, op13_lines,
+            op7_toxicity, op8_language, op9_rules, op10_warc, op11_alignment, op12_search, op13_lines,
         )
     }
 
