@@ -10,6 +10,7 @@ plan by that rank.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -22,28 +23,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import SPACED, text_parts, tokens
+from kpiloom.llm.common import SPACED, distinct_runs, ranges, spans, text_parts, unused
 from kpiloom.session import ship_package
 from kpiloom.sources.extracts import written
 
 
 # letters that are their own normal form, then signs; the vocabulary splits between the two
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?|*$%&#]*)\Z")
+# The normal form and split for which words of that shape have two parts at most.
+_NORMAL_FORM = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ],
+}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 @dataclass(frozen=True)
 class PackingParams:
     """``tokenizer`` is a file of the tokenizers library; the default is a public vocabulary.
 
-    ``bucket`` is the number of rows numbered by one task; the result does not depend on it.
-    ``cache`` bounds the words whose ids a Python worker remembers.
+    ``bucket`` is the number of rows numbered by one task; it decides which of the equal
+    places a piece gets, not how many sequences there are. ``cache`` bounds the words whose
+    ids a Python worker remembers; one run of texts may hold more.
     """
 
     length: int = 4096
     end: int = 2
     tokenizer: str | None = None
     bucket: int = 200_000
-    cache: int = 1_500_000
+    cache: int = 500_000
 
     def path(self) -> str:
         if self.tokenizer is not None:
@@ -57,9 +78,9 @@ class WordTokenizer:
     """Token ids of whole texts, with the ids of words kept between texts.
 
     The tokenizer never joins characters across ASCII white space, so a text's ids
-    are those of its words in turn. Unknown words are encoded together, with a word
-    of its own between them. Texts that hold ``<|``, with which this vocabulary's
-    special tokens begin, are encoded whole.
+    are those of its words in turn. A word is known by its bytes. Unknown words are
+    encoded together, with a word of its own between them. Texts that hold ``<|``, with
+    which this vocabulary's special tokens begin, are encoded whole.
     """
 
     def __init__(self, path: str, cache: int):
@@ -76,6 +97,8 @@ class WordTokenizer:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
+        shape = json.loads(self.tokenizer.to_str())
+        self.known_split = (shape["normalizer"], shape["pre_tokenizer"]) == (_NORMAL_FORM, _SPLIT)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -86,53 +109,30 @@ class WordTokenizer:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.count = 0
-        self.keys = np.empty(self.most, np.uint64)
-        self.at = np.empty(self.most, np.int64)  # place of each word's ids
-        self.sizes = np.empty(self.most, np.int64)
+        self.row: dict[bytes, int] = {}
+        self.at = np.empty(1 << 10, np.int64)  # place of each word's ids
+        self.sizes = np.empty(1 << 10, np.int64)
         self.ids = np.empty(1 << 16, np.int32)
         self.used = 0
-        # open addressing at a load of a half at most: 1 + the word's row, or 0
-        self.slots = np.zeros(1 << (2 * self.most - 1).bit_length(), np.int32)
-
-    def _slot(self, hashes: np.ndarray, probe: int) -> np.ndarray:
-        return ((hashes + np.uint64(probe * (2 * probe + 1))) & np.uint64(len(self.slots) - 1)).astype(np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Row of each word, -1 if it isn't known."""
-        row = np.full(len(hashes), -1, np.int64)
-        todo, probe = np.arange(len(hashes)), 0
-        while len(todo):
-            seen = self.slots[self._slot(hashes[todo], probe)]
-            used = seen > 0
-            todo, seen = todo[used], seen[used] - 1
-            hit = self.keys[seen] == hashes[todo]
-            row[todo[hit]] = seen[hit]
-            todo, probe = todo[~hit], probe + 1
-        return row
-
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Add distinct unknown words under their hashes; there must be room for them."""
+
+    def learn(self, words: list[bytes]) -> None:
+        """Add distinct unknown words."""
         texts = [w.decode() for w in words]
         at, sizes = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
-        split = [_PLAIN.match(t) for t in texts]
+        split = [_PLAIN.match(t) if self.known_split else None for t in texts]
         easy = [k for k, m in enumerate(split) if m]
         flat = self._easy([split[k] for k in easy], easy, at, sizes)
         rest = [k for k, m in enumerate(split) if not m]
         flat = self._others([texts[k] for k in rest], rest, flat, at, sizes)
+        count = len(self.row)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        rows = slice(self.count, self.count + len(keys))
-        self.keys[rows], self.at[rows], self.sizes[rows] = keys, at + self.used, sizes
+        while count + len(words) > len(self.at):
+            self.at, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.sizes))
+        self.at[count : count + len(words)], self.sizes[count : count + len(words)] = at + self.used, sizes
         self.ids[self.used : self.used + len(flat)] = flat
-        todo, probe = np.arange(self.count, self.count + len(keys)), 0
-        while len(todo):
-            slot = self._slot(self.keys[todo], probe)
-            free = self.slots[slot] == 0
-            self.slots[slot[free]] = todo[free] + 1
-            todo, probe = todo[self.slots[slot] != todo + 1], probe + 1
-        self.count += len(keys)
         self.used += len(flat)
+        self.row.update(zip(words, range(count, count + len(words)), strict=True))
 
     def _easy(self, matches: list, rows: list[int], at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Small letters and a run of signs after them: two parts, each ending with a last token."""
@@ -172,24 +172,14 @@ class WordTokenizer:
                 base += len(ids)
         return np.concatenate(out)
 
-    def words(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in turn, and where each word's begin; ``word(i)`` is the i-th as bytes."""
-        row = self.find(hashes)
-        fresh = np.flatnonzero(row < 0)
-        if len(fresh):
-            keys, which = np.unique(hashes[fresh], return_index=True)
-            if self.count + len(keys) > self.most:
-                self.clear()
-                keys, which = np.unique(hashes, return_index=True)
-                fresh = np.arange(len(hashes))
-            if len(keys) > self.most:
-                halves = [self.words(hashes[:cut], word) if k == 0 else self.words(hashes[cut:], lambda i: word(i + cut)) for k, cut in enumerate([len(hashes) // 2] * 2)]
-                ids = np.concatenate([x for x, _ in halves])
-                return ids, np.concatenate([halves[0][1][:-1], halves[1][1] + halves[0][1][-1]])
-            self.learn(keys, [word(i) for i in fresh[which].tolist()])
-            row = self.find(hashes)
-        sizes = self.sizes[row]
-        return self.ids[_ranges(self.at[row], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The row of each distinct word; unknown ones are learned."""
+        if len(self.row) + len(words) > self.most:
+            self.clear()
+        fresh = [w for w in words if w not in self.row]
+        if fresh:
+            self.learn(fresh)
+        return np.array([self.row[w] for w in words], np.int64)
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text of an Arrow column, in order."""
@@ -197,28 +187,22 @@ class WordTokenizer:
             lower = data.copy()
             capital = (lower >= 65) & (lower <= 90)
             lower[capital] += 32
-            hashes, starts, ends, first = tokens(lower, offsets, SPACED)
-            body = lower.tobytes()
-            ids, upto = self.words(hashes, lambda i: body[starts[i] : ends[i]])  # noqa: B023
+            starts, ends, first = spans(lower, offsets, SPACED)
+            code, words = distinct_runs(lower, starts, ends)
+            row = self.rows(words.to_pylist()) if len(words) else np.empty(0, np.int64)
+            sizes = self.sizes[row][code]
+            ids, upto = self.ids[ranges(self.at[row][code], sizes)], np.concatenate([[0], np.cumsum(sizes)])
             special = np.zeros(len(offsets) - 1, bool)
-            if b"<|" in body:
-                raw = data.tobytes()
+            raw = data.tobytes()
+            if b"<|" in raw:
                 special = np.array([b"<|" in raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
             for k in range(len(offsets) - 1):
                 if special[k]:
-                    text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
-                    yield np.array(self.encode([text])[0], np.int32)
+                    yield np.array(self.encode([raw[offsets[k] : offsets[k + 1]].decode()])[0], np.int32)
                 else:
                     yield ids[upto[first[k]] : upto[first[k + 1]]]
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for each range in turn."""
-    total = int(size.sum())
-    shift = start - (np.cumsum(size) - size)
-    return np.arange(total) + np.repeat(shift, size)
-
-
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -339,7 +323,7 @@ def pack(pieces: DataFrame, params: PackingParams = PackingParams()) -> DataFram
     Pieces of one length are interchangeable, so any numbering of them is right; it
     is made by (length, hash bucket): a length that a third of all pieces share is
     numbered by many tasks. Pieces should come from a written table, as they are
-    read twice.
+    read twice. Other columns of ``pieces`` are kept, but for sequence_id and offset.
     """
     spark = pieces.sparkSession
     ship_package(spark)
@@ -347,13 +331,14 @@ def pack(pieces: DataFrame, params: PackingParams = PackingParams()) -> DataFram
     layout = plan(by_size, params.length)
     buckets = max(1, -(-sum(by_size.values()) // params.bucket))
     key = F.xxhash64("doc_id", "start", "ids_crc32")
-    placed = pieces.withColumn("_bucket", F.pmod(key, F.lit(buckets)))
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("length", "_bucket").agg(F.count("*").alias("n")).select(
-        "length", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")
+    part, nth, start, at = unused(pieces.columns, "bucket", "nth", "before", "at")
+    placed = pieces.withColumn(part, F.pmod(key, F.lit(buckets)))
+    order = Window.partitionBy("length", part).orderBy("doc_id", "start", "ids_crc32")
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("length", part).agg(F.count("*").alias("n")).select(
+        "length", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start)
     )
-    ranked = placed.withColumn("_nth", F.row_number().over(order) - 1).join(offsets, ["length", "_bucket"])
+    ranked = placed.withColumn(nth, F.row_number().over(order) - 1).join(offsets, ["length", part])
     span = np.int64(max([1, *by_size.values()]) + 1)
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -366,9 +351,9 @@ def pack(pieces: DataFrame, params: PackingParams = PackingParams()) -> DataFram
         })
 
     return (
-        ranked.withColumn("_at", place("length", F.col("_nth") + F.col("_before")))
-        .withColumns({"sequence_id": F.col("_at.sequence_id"), "offset": F.col("_at.offset")})
-        .drop("_at", "_nth", "_before", "_bucket")
+        ranked.withColumn(at, place("length", F.col(nth) + F.col(start)))
+        .withColumns({"sequence_id": F.col(f"{at}.sequence_id"), "offset": F.col(f"{at}.offset")})
+        .drop(at, nth, start, part)
     )
 
 

@@ -142,6 +142,43 @@ def test_token_ids_are_the_tokenizers(odd_rows):
         assert [x.tolist() for x in own.texts(pa.array(texts))] == want
 
 
+def thue_morse(order, a="a", b="b"):
+    word, other = a, b
+    for _ in range(order):
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_words_are_told_apart_by_their_bytes():
+    # the two words of each order have one value under any polynomial modulo 2^64
+    encode = packing.WordTokenizer(packing.PackingParams().path(), 1000)
+    texts = [" ".join(("x", w, "y")) for order in (10, 11) for pair in (thue_morse(order), thue_morse(order, "é", "z")) for w in pair]
+    want = [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encode.texts(pa.array(texts))] == want
+    assert len({tuple(w) for w in want}) == len(want)
+    one_by_one = [next(encode.texts(pa.array([t]))).tolist() for t in texts]
+    assert one_by_one == want
+
+
+def test_tokenizer_of_another_split_is_encoded_through_the_whole(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(packing.PackingParams().path())
+    other.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.Replace("th", "x")])
+    other.save(str(tmp_path / "other.json"))
+    encode = packing.WordTokenizer(str(tmp_path / "other.json"), 1000)
+    texts = ["the other thing, and that!!"]
+    assert [x.tolist() for x in encode.texts(pa.array(texts))] == [e.ids for e in encode.tokenizer.encode_batch(texts)]
+
+
+def test_packing_takes_empty_tables_and_clashing_names(spark, odd_docs):
+    assert packing.pack_documents(odd_docs.limit(0)).collect() == []
+    names = ["_bucket", "_nth", "_before", "_at"]
+    pieces = packing.cut(odd_docs).select("*", *[F.lit(n).alias(n) for n in names])
+    packed = packing.pack(pieces)
+    assert set(names) <= set(packed.columns) and packed.where(" and ".join(f"{n} = '{n}'" for n in names)).count() == pieces.count()
+
+
 def test_packing_places_every_id_once(odd_docs, odd_rows):
     params = packing.PackingParams(length=64, bucket=7)
     packed = packing.pack_documents(odd_docs, params, keep_ids=True).cache()
