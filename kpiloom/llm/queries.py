@@ -134,27 +134,26 @@ WITH d AS (
     1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * word_chars // greatest(n_words, 1) AS word_length
   FROM m
 ), v AS (
-  SELECT lang, source, 'symbols' AS metric, 50 AS spread, symbols AS x FROM f WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'dup_lines', 20, dup_lines FROM f WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'repeats', 50, repeats FROM f WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'word_length', 1000, word_length FROM f WHERE NOT base_failed
+  SELECT lang, source, 'symbols' AS metric, 75 AS high, 6 AS fence, 5 AS spread, symbols AS x FROM f WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'dup_lines', 99, 3, 2, dup_lines FROM f WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'repeats', 99, 2, 5, repeats FROM f WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'word_length', 75, 10, 20, word_length FROM f WHERE NOT base_failed
 ), b AS (
-  SELECT lang, source, metric, spread,
+  SELECT lang, source, metric, high, fence, spread,
     CASE WHEN x < 128 THEN x ELSE (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) END AS low, count(*) AS n
   FROM v GROUP BY ALL
 ), c AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY low) AS upto,
     sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM b
 ), q AS (
-  SELECT lang, source, metric, spread, min(low) FILTER (100 * upto >= 50 * total) AS mid,
-    min(low) FILTER (100 * upto >= 10 * total) AS least FROM c GROUP BY ALL
+  SELECT lang, source, metric, fence, spread, min(low) FILTER (100 * upto >= 50 * total) AS mid,
+    min(low) FILTER (100 * upto >= high * total) AS top FROM c GROUP BY ALL
+), e AS (
+  SELECT lang, source, metric, mid + fence * greatest(top - mid, spread) AS bound FROM q
 ), most AS (
-  SELECT lang, source,
-    max(mid + 6 * greatest(mid - least, spread)) FILTER (metric = 'symbols') AS s,
-    max(mid + 6 * greatest(mid - least, spread)) FILTER (metric = 'dup_lines') AS d,
-    max(mid + 6 * greatest(mid - least, spread)) FILTER (metric = 'repeats') AS r,
-    max(mid + 6 * greatest(mid - least, spread)) FILTER (metric = 'word_length') AS l
-  FROM q GROUP BY ALL
+  SELECT lang, source, max(bound) FILTER (metric = 'symbols') AS s, max(bound) FILTER (metric = 'dup_lines') AS d,
+    max(bound) FILTER (metric = 'repeats') AS r, max(bound) FILTER (metric = 'word_length') AS l
+  FROM e GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(symbols <= s AND dup_lines <= d AND repeats <= r AND word_length <= l, false) AS kept

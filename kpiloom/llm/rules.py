@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiloom.llm.common import unused
 from kpiloom.sources.extracts import written
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -22,15 +23,19 @@ METRICS = ("symbols", "dup_lines", "repeats", "word_length")
 
 @dataclass(frozen=True)
 class RuleParams:
-    """``fence`` spreads beyond the median are kept; a spread is at least the metric's floor.
+    """Per metric of ``METRICS``: ``fence`` spreads beyond the median are kept.
+
+    A spread reaches from the median to the ``high`` quantile, so a share of up to
+    1 - ``high`` of a group may be junk without moving its fence. Where they are equal the
+    group is constant up to there, and ``floors`` stands for the spread.
 
     Metrics are integers: symbols and repeated words per 1,000 words, repeated lines
     per 1,000 words, code points per 1,000 words.
     """
 
-    fence: int = 6
-    low: float = 0.1
-    floors: tuple[int, ...] = (50, 20, 50, 1000)
+    fence: tuple[int, ...] = (6, 3, 2, 10)
+    high: tuple[float, ...] = (0.75, 0.99, 0.99, 0.75)
+    floors: tuple[int, ...] = (5, 2, 5, 20)
 
 
 def _let(value: Column, body) -> Column:
@@ -91,19 +96,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.filter(F.split(body, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     counted = _let(words, lambda w: F.struct(F.size(w).alias("n"), _covered(_windows(w)).alias("r")))
+    found, repeated = unused(docs.columns, "words", "lines")
     return (
-        docs.withColumns({
-            "_words": counted,
-            "_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        })
+        docs.withColumns({found: counted, repeated: _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))})
         .withColumns({
-            "n_words": F.col("_words.n").cast("long"),
+            "n_words": F.col(f"{found}.n").cast("long"),
             "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long"),
-            "n_dup_lines": F.col("_lines").cast("long"),
-            "n_repeat_words": F.col("_words.r").cast("long"),
+            "n_dup_lines": F.col(repeated).cast("long"),
+            "n_repeat_words": F.col(f"{found}.r").cast("long"),
         })
-        .drop("_words", "_lines")
+        .drop(found, repeated)
     )
 
 
@@ -144,23 +147,25 @@ def sketches(measured: DataFrame) -> DataFrame:
 def fences(sketch: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """One row per lang and source with the largest value each metric may have.
 
-    fence = median + ``fence`` x max(median - low quantile, floor). The upper tail
-    is not used, so up to half of a group may be junk without moving its fence.
+    fence = median + ``fence`` x max(``high`` quantile - median, floor), all by metric.
     """
     group = ["lang", "source", "metric"]
     running = Window.partitionBy(*group).orderBy("bucket")
     whole = Window.partitionBy(*group)
     ranked = sketch.withColumns({"upto": F.sum("n").over(running), "total": F.sum("n").over(whole)})
 
-    def quantile(q: float) -> Column:
-        hit = 100 * F.col("upto") >= int(round(100 * q)) * F.col("total")
-        return F.min(F.when(hit, F.col("bucket")))
+    def by_metric(values) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for p in zip(METRICS, values, strict=True) for x in p]), F.col("metric"))
+
+    def quantile(percent: Column) -> Column:
+        return F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bucket")))
 
-    floor = F.element_at(F.create_map(*[F.lit(x) for p in zip(METRICS, params.floors, strict=True) for x in p]), F.col("metric"))
+    high = by_metric([int(round(100 * q)) for q in params.high])
+    spread = F.greatest(_lowest("high") - _lowest("mid"), by_metric(params.floors))
     bounds = (
         ranked.groupBy(*group)
-        .agg(quantile(0.5).alias("mid"), quantile(params.low).alias("low"))
-        .withColumn("most", _lowest("mid") + params.fence * F.greatest(_lowest("mid") - _lowest("low"), floor))
+        .agg(quantile(F.lit(50)).alias("mid"), quantile(high).alias("high"))
+        .withColumn("most", _lowest("mid") + by_metric(params.fence) * spread)
     )
     return bounds.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"most_{m}") for m in METRICS]
@@ -174,21 +179,23 @@ def apply_rules(measured: DataFrame, params: RuleParams = RuleParams()) -> DataF
     group without any passing document has failed the base rules itself. The
     fences have one row per group and are joined, not broadcast by hint.
     """
+    lang, source, *most = unused(measured.columns, "lang", "source", *(f"most_{m}" for m in METRICS))
     bounds = fences(sketches(measured), params).select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"most_{m}" for m in METRICS]
+        F.col("lang").alias(lang), F.col("source").alias(source),
+        *[F.col(f"most_{m}").alias(name) for m, name in zip(METRICS, most, strict=True)],
     )
     within = F.lit(True)
-    for m in METRICS:
-        within = within & (_metric(m) <= F.col(f"most_{m}"))
+    for m, name in zip(METRICS, most, strict=True):
+        within = within & (_metric(m) <= F.col(name))
     joined = measured.join(
         bounds,
-        F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")),
+        F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)),
         "left",
     )
     return joined.withColumns({
         "base_failed": base_failed(),
         "kept": ~base_failed() & F.coalesce(within, F.lit(False)),
-    }).drop("_lang", "_source", *[f"most_{m}" for m in METRICS])
+    }).drop(lang, source, *most)
 
 
 def rule_documents(docs: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:

@@ -510,6 +510,50 @@ def test_rules_use_no_python_and_keep_every_row(spark, clashing, odd_rows):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert frame.count() == len(odd_rows) and frame.where("kept is null or base_failed is null").count() == 0
     assert rules.rule_documents(clashing.limit(0)).collect() == []
+    names = ["_words", "_lines", "_lang", "_source", "_most_symbols"]
+    wide = rules.apply_rules(rules.measure(clashing.select("*", *[F.lit(n).alias(n) for n in names])))
+    assert wide.where(" and ".join(f"{n} = '{n}'" for n in names)).count() == clashing.count()
+
+
+def measured_rows(spark, rows):
+    """(source, symbols, dup_lines, repeats, word_length) per 1,000 words as measured documents."""
+    frame = spark.createDataFrame(rows, "source string, n_symbols long, n_dup_lines long, n_repeat_words long, word_chars long")
+    return frame.withColumns({"lang": F.lit("en"), "n_words": F.lit(1000).cast("long"), "doc_id": F.monotonically_increasing_id()})
+
+
+def test_fences_follow_their_group(spark):
+    rng = random.Random(3)
+    rows = [(s, by + rng.randrange(100), by + rng.randrange(40), by + rng.randrange(60), 5000 + 20 * by + rng.randrange(400))
+            for s, by in (("low", 0), ("high", 120)) for _ in range(2000)]
+    rows += [("flat", 0, 0, 0, 5000)] * 500
+    got = {r["source"]: r for r in rules.fences(rules.sketches(measured_rows(spark, rows))).collect()}
+    for k, m in enumerate(rules.METRICS):
+        params = rules.RuleParams()
+        assert got["high"][f"most_{m}"] > got["low"][f"most_{m}"]
+        column = sorted(r[k + 1] for r in rows if r[0] == "low")
+        want = column[999] + params.fence[k] * (column[int(2000 * params.high[k]) - 1] - column[999])
+        assert abs(got["low"][f"most_{m}"] - want) <= 0.05 * want + 20
+        assert got["flat"][f"most_{m}"] == rows[-1][k + 1] // 64 * 64 + params.fence[k] * params.floors[k] or k < 3
+    # junk below the tolerated share does not move a fence by more than its rank
+    junk = [("low", 3000, 900, 250, 30000)] * 15
+    with_junk = {r["source"]: r for r in rules.fences(rules.sketches(measured_rows(spark, rows + junk))).collect()}
+    ruled = rules.apply_rules(measured_rows(spark, rows + junk))
+    assert all(with_junk["low"][f"most_{m}"] <= got["low"][f"most_{m}"] * 1.2 for m in rules.METRICS)
+    assert ruled.where("n_symbols = 3000 and kept").count() == 0 and ruled.where("not kept").count() <= 15 + 20
+
+
+def test_sketches_decide_most_fences_and_every_metric_rejects(spark, tenth):
+    measured = rules.measure(table(spark, tenth, "documents").select("doc_id", "lang", "source", "text")).drop("text").cache()
+    fences = rules.fences(rules.sketches(measured)).cache()
+    params = rules.RuleParams()
+    none = rules.fences(rules.sketches(measured), rules.RuleParams(floors=(0, 0, 0, 0)))
+    same = fences.join(none.select("lang", "source", *[F.col(f"most_{m}").alias(f"own_{m}") for m in rules.METRICS]), ["lang", "source"])
+    decided = same.select(sum((F.col(f"most_{m}") == F.col(f"own_{m}")).cast("int") for m in rules.METRICS).alias("n")).agg(F.sum("n"), F.count("*")).first()
+    assert 2 * decided[0] > len(rules.METRICS) * decided[1]
+    passing = measured.where(~rules.base_failed()).join(fences, ["lang", "source"])
+    for m in rules.METRICS:
+        assert passing.where(rules._metric(m) > F.col(f"most_{m}")).count() > 0, m
+    assert all(fences.select(f"most_{m}").distinct().count() > 10 for m in rules.METRICS[1:])
 
 
 @pytest.mark.parametrize("name", ["op9_rules", "op10_warc"])
