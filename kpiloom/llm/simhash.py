@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from xxhash import xxh64_intdigest
 
-from kpiloom.llm.common import text_parts
+from kpiloom.llm.common import text_parts, unused
 from kpiloom.llm.components import components
 from kpiloom.session import ship_package
 from kpiloom.sources.extracts import written
@@ -31,16 +31,19 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """``sample`` distinct fingerprints shape the trees; ``leaf`` is the wanted size of a shard.
+    """``leaf`` is the wanted size of a shard, ``sample`` the fingerprints that shape it.
 
-    ``block`` bounds the rows of one side in a task: larger shards become a grid of blocks.
+    Trees grow with the data up to ``leaves`` leaves, which bounds what the driver holds and
+    sends (a million sampled fingerprints). ``block`` bounds the rows of one side in a task:
+    larger shards become a grid of blocks.
     """
 
     words: int = 3
     bits: int = 3
     seed: int = 42
-    sample: int = 16_384
+    sample: int = 16
     leaf: int = 2_048
+    leaves: int = 65_536
     block: int = 20_000
 
 
@@ -135,29 +138,33 @@ def grow(values: np.ndarray, leaves: int, seed: int = 1) -> Tree:
 
 
 def route(tree: Tree, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the value, leaf, is home) for every leaf a ball of ``radius`` can reach."""
-    found: list[tuple[np.ndarray, int, np.ndarray]] = []
-    todo = [(0, np.arange(len(values)), np.ones(len(values), bool))]
-    while todo:
-        node, rows, home = todo.pop()
-        if not len(rows):
-            continue
-        if tree.left[node] < 0:
-            found.append((rows, int(tree.leaf[node]), home))
-            continue
+    """(index of the value, leaf, is home) for every leaf a ball of ``radius`` can reach.
+
+    All values go down the tree together, one level at a time.
+    """
+    rows, node, home = np.arange(len(values)), np.zeros(len(values), np.int64), np.ones(len(values), bool)
+    found = []
+    while len(rows):
+        ended = tree.left[node] < 0
+        found.append((rows[ended], tree.leaf[node[ended]], home[ended]))
+        rows, node, home = rows[~ended], node[~ended], home[~ended]
         far, cut = distance(values[rows], tree.vantage[node]).astype(np.int64), tree.median[node]
-        near = far <= cut + radius
-        away = far > cut - radius
-        todo.append((int(tree.left[node]), rows[near], home[near] & (far[near] <= cut)))
-        todo.append((int(tree.right[node]), rows[away], home[away] & (far[away] > cut)))
+        near, away, inside = far <= cut + radius, far > cut - radius, far <= cut
+        rows, home, node = (
+            np.concatenate([rows[near], rows[away]]),
+            np.concatenate([(home & inside)[near], (home & ~inside)[away]]),
+            np.concatenate([tree.left[node[near]], tree.right[node[away]]]),
+        )
     if not found:
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, bool)
-    return (
-        np.concatenate([r for r, _, _ in found]),
-        np.concatenate([np.full(len(r), k, np.int64) for r, k, _ in found]),
-        np.concatenate([h for _, _, h in found]),
-    )
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+
+
+def shape(count: int, params: SimHashParams) -> tuple[int, int]:
+    """Leaves of a tree for ``count`` distinct fingerprints, and how many of them to sample for it."""
+    leaves = min(max(1, -(-count // params.leaf)), params.leaves)
+    return leaves, params.sample * leaves
 
 
 def half(values: np.ndarray, which: int) -> np.ndarray:
@@ -239,9 +246,11 @@ def near_fingerprints(prints: DataFrame, params: SimHashParams = SimHashParams()
     spark = prints.sparkSession
     ship_package(spark)
     count = prints.count()
-    rows = prints.orderBy(F.xxhash64("fp"), "fp").limit(params.sample).toArrow().column("fp")
+    leaves, wanted = shape(count, params)
+    # a fixed pseudo-random choice: about ``wanted`` of the fingerprints, whatever their order
+    share = -(-wanted * (1 << 32) // max(count, 1))
+    rows = prints.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < share).select("fp").toArrow().column("fp")
     known = rows.to_numpy().astype(np.int64).view(np.uint64)
-    leaves = max(1, -(-count // params.leaf))
     trees = [grow(np.unique(half(known, w)), leaves, seed=w + 1) for w in (0, 1)]
     radius = params.bits // 2
     first = [0, int(trees[0].leaf.max()) + 1]
@@ -265,7 +274,7 @@ def near_fingerprints(prints: DataFrame, params: SimHashParams = SimHashParams()
         F.ceil(F.col("homes") / params.block).cast("int").alias("kh"),
         F.ceil(F.col("n") / params.block).cast("int").alias("ko"),
     )
-    # at most two trees of ``sample`` / 8 leaves each: bounded by a parameter
+    # a row for each leaf of two trees: bounded by a parameter
     placed = routed.join(F.broadcast(grid), "leaf")
     mine = lambda k: F.pmod(F.xxhash64("fp"), F.greatest(F.col(k), F.lit(1))).cast("int")
     all_of = lambda k: F.explode(F.sequence(F.lit(0), F.greatest(F.col(k), F.lit(1)) - 1))
@@ -325,9 +334,10 @@ def deduplicate(docs: DataFrame, params: SimHashParams = SimHashParams()) -> Dat
     are null); of several rows with that id, one with the smallest text hash.
     """
     found = near_duplicates(docs, params=params)
+    own, best_id, best_hash = unused(docs.columns, "hash", "best_id", "best_hash")
     keep = found.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    ).select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
-    marked = docs.withColumn("_hash_of_text", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash_of_text") == F.col("_hash"))
-    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_hash_of_text"]).select(docs.columns)
+    ).select(F.col("best.doc_id").alias(best_id), F.col("best.text_hash").alias(best_hash))
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(F.col(best_id)) & (F.col(own) == F.col(best_hash))
+    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)

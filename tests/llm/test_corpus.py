@@ -50,7 +50,7 @@ def brute_components(prints, bits):
     return [find(i) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("params", [simhash.SimHashParams(), simhash.SimHashParams(leaf=8, block=5, sample=64)])
+@pytest.mark.parametrize("params", [simhash.SimHashParams(), simhash.SimHashParams(leaf=8, block=5, sample=16), simhash.SimHashParams(leaf=4, leaves=3, block=7, sample=4)])
 def test_simhash_matches_all_pairs(odd_docs, odd_rows, params):
     got = sorted(simhash.near_duplicates(odd_docs, params=params).select(
         "doc_id", simhash.as_hex(F.col("fp")).alias("fp"), "component_id").collect(), key=str)
@@ -109,6 +109,32 @@ def test_routing_reaches_every_shard_a_ball_touches():
         assert k in reached[r]
 
 
+def test_trees_grow_with_the_fingerprints():
+    rng = np.random.default_rng(4)
+    params, seen = simhash.SimHashParams(), []
+    for count in (10**6, 10**7, 10**8):
+        leaves, wanted = simhash.shape(count, params)
+        assert leaves == -(-count // params.leaf) and wanted == 16 * leaves
+        tree = simhash.grow(np.unique(rng.integers(0, 1 << 32, wanted).astype(np.uint32)), leaves)
+        row, leaf, home = simhash.route(tree, rng.integers(0, 1 << 32, 20_000).astype(np.uint32), 1)
+        grown = int(tree.leaf.max()) + 1
+        assert grown >= 0.9 * leaves
+        reached, homes = (np.bincount(x, minlength=grown) / 20_000 * count for x in (leaf, leaf[home]))
+        seen.append((len(row) / 20_000, (homes * reached).sum() / count))
+    # a hundred times the fingerprints: rows and pairs of each grow by their ball of 33 points, not by a hundred
+    assert seen[-1][0] < 6 * seen[0][0] and seen[-1][1] < 7 * seen[0][1]
+    assert simhash.shape(10**12, params) == (params.leaves, 16 * params.leaves)
+
+
+def test_deduplicate_takes_names_of_its_own(spark, odd_docs):
+    names = ["_hash", "_best_id", "_best_hash", "_id", "_hash_of_text"]
+    wide = odd_docs.select("*", *[F.lit(n).alias(n) for n in names])
+    kept = simhash.deduplicate(wide)
+    assert kept.columns == wide.columns and kept.count() == simhash.deduplicate(odd_docs).count()
+    assert kept.where(" and ".join(f"{n} = '{n}'" for n in names)).count() == kept.count()
+    assert simhash.deduplicate(odd_docs.limit(0)).collect() == []
+
+
 def test_deduplicate_keeps_one_row_of_each_component(odd_docs, clashing, odd_rows):
     kept = simhash.deduplicate(odd_docs).collect()
     owner = brute_components([brute_print(r[1]) for r in odd_rows], 3)
