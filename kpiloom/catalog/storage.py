@@ -53,6 +53,15 @@ def _(ws: Workspace):
     return readers.scan_wide_csv(ws.spark, path, wanted)
 
 
+@query("scan_csv_quoted", "SELECT page_id, url, html FROM pages")
+def _(ws: Workspace):
+    """CSV whose quoted fields hold line breaks and quotes, read in byte ranges."""
+    path = fresh_path(ws.spark, "pages-csv")
+    sinks.write_csv(ws.table("pages").select("page_id", "url", "html"), path, keep_blanks=True)
+    schema = schemas.struct("page_id BIGINT, url STRING, html STRING")
+    return readers.scan_wide_csv(ws.spark, path, schema, quoted_breaks=True)
+
+
 _TABLE_SQL = """
     SELECT l_returnflag, l_linestatus, COUNT(*) AS n,
            CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS amount

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from kpiloom.schemas import RAW
+from kpiloom.sources.quoted import scan_quoted_csv
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -22,8 +23,18 @@ RAW_FILES = {
     "translation": "product_category_name_translation.csv",
     "employees": "WA_Fn-UseC_-HR-Employee-Attrition.csv",
 }
-# review comments hold line breaks inside quotes, so this file cannot be split
-_MULTILINE = {"reviews"}
+# review comments hold line breaks inside quotes
+_QUOTED_BREAKS = {"reviews"}
+
+
+def field_options(timestamp_format: str) -> dict[str, str]:
+    """How fields are parsed: formats of dates and times, and a quote in a quoted field doubled."""
+    return {
+        "timestampFormat": timestamp_format,
+        "timestampNTZFormat": timestamp_format,
+        "dateFormat": "yyyy-MM-dd",
+        "escape": '"',
+    }
 
 
 def scan_csv(
@@ -39,16 +50,8 @@ def scan_csv(
     yields the declared columns; DATE and TIMESTAMP columns are parsed here. A quote
     inside a quoted field is doubled.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("timestampFormat", timestamp_format)
-        .option("timestampNTZFormat", timestamp_format)
-        .option("dateFormat", "yyyy-MM-dd")
-        .option("enforceSchema", False)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-    )
-    return raw.schema(schema).csv(path)
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multiline)
+    return raw.options(**field_options(timestamp_format)).schema(schema).csv(path)
 
 
 def header_schema(spark: SparkSession, path: str, wanted: T.StructType) -> T.StructType:
@@ -63,17 +66,24 @@ def header_schema(spark: SparkSession, path: str, wanted: T.StructType) -> T.Str
 
 
 def scan_wide_csv(
-    spark: SparkSession, path: str, wanted: T.StructType, multiline: bool = False
+    spark: SparkSession, path: str, wanted: T.StructType, quoted_breaks: bool = False
 ) -> DataFrame:
-    """Read only the wanted columns of a CSV that has others too."""
+    """Read only the wanted columns of a CSV that has others too.
+
+    With ``quoted_breaks`` quoted fields may hold line breaks; the file is split all the same.
+    """
     full = header_schema(spark, path, wanted)
-    return scan_csv(spark, path, full, multiline=multiline).select(*wanted.fieldNames())
+    if quoted_breaks:
+        rows = scan_quoted_csv(spark, path, full, **field_options(TIMESTAMP_FORMAT))
+    else:
+        rows = scan_csv(spark, path, full)
+    return rows.select(*wanted.fieldNames())
 
 
 def raw_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The raw frames from a folder of the eight CSV files, with their declared columns."""
     return {
-        name: scan_wide_csv(spark, f"{folder.rstrip('/')}/{file}", RAW[name], name in _MULTILINE)
+        name: scan_wide_csv(spark, f"{folder.rstrip('/')}/{file}", RAW[name], name in _QUOTED_BREAKS)
         for name, file in RAW_FILES.items()
     }
 

@@ -22,8 +22,11 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, keep_blanks: bool = False) -> None:
+    """Header CSV; blanks around a value are dropped unless ``keep_blanks``."""
     writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    if keep_blanks:
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     for name in ("timestampFormat", "timestampNTZFormat"):
         writer = writer.option(name, TIMESTAMP_FORMAT)
     writer.csv(path)
