@@ -427,6 +427,34 @@ def _(ws: Workspace):
     return forecast.seasonal_forecast(forecast.series_by_state(ws.star))
 
 
+def _days_in_order(rows):
+    """The days of a forecast, and whether its bounds enclose it and all three are numbers."""
+    lower, value, upper = F.col("yhat_lower"), F.col("yhat"), F.col("yhat_upper")
+    ordered = (lower <= value) & (value <= upper) & ~F.isnan(value)
+    return rows.select("series", "ds", "is_future", F.coalesce(ordered, F.lit(False)).alias("in_order"))
+
+
+@query("demand_forecast_days", "SELECT series, ds, is_future, true AS in_order FROM baseline")
+def _(ws: Workspace):
+    return _days_in_order(forecast.seasonal_forecast(series_frame(ws)))
+
+
+@query(
+    "grouped_fit_days",
+    """SELECT * FROM (WITH s AS (
+         SELECT g.state AS series, d.full_date AS ds, count(*) AS y
+         FROM fact_orders f JOIN dim_date d USING (date_id) JOIN dim_geography g USING (geo_id)
+         WHERE f.order_status = 'delivered' GROUP BY ALL
+       ), r AS (SELECT series, max(ds) AS last_day FROM s GROUP BY series)
+       SELECT series, CAST(ds AS DATE) AS ds, false AS is_future, true AS in_order FROM s
+       UNION ALL
+       SELECT series, CAST(last_day + CAST(i AS INTEGER) AS DATE), true, true FROM r, range(1, 91) AS x(i))""",
+)
+def _(ws: Workspace):
+    """One model per state: every day with orders and the 90 after the last of each."""
+    return _days_in_order(forecast.seasonal_forecast(forecast.series_by_state(ws.star)))
+
+
 _ROUNDED = ", ".join(f"round({c}, 3) AS {c}" for c in ("yhat", "yhat_lower", "yhat_upper"))
 
 

@@ -286,6 +286,46 @@ def test_forecast_recovers_pattern(series, method):
         assert np.mean(error) < 0.03
 
 
+def test_slopes_change_only_at_the_breaks():
+    rng = np.random.default_rng(8)
+    n, breaks = 700, (0.24, 0.56)
+    t = np.arange(n) / (n - 1)
+    level = 100 + 40 * t - 160 * np.maximum(t - breaks[0], 0) + 300 * np.maximum(t - breaks[1], 0)
+    weekly = 1 + 0.1 * np.sin(2 * np.pi * np.arange(n) / 7)
+    days = [date(2020, 1, 6) + timedelta(days=i) for i in range(n)]
+    model = forecast.fit_one_series(pd.DataFrame({"series": "s", "ds": days, "y": level * weekly + rng.normal(0, 1.5, n)}))
+    knots, changes = np.asarray(model["knots"][0]), np.asarray(model["trend"][0])[2:]
+    at = knots[changes != 0]
+    assert len(knots) == forecast.CHANGEPOINTS and 2 <= len(at) <= 8
+    strong = knots[np.abs(changes) > 0.15 * np.abs(changes).max()]
+    assert all(min(abs(k - b) for b in breaks) < 0.07 for k in strong)
+    for b in breaks:
+        assert min(abs(k - b) for k in strong) < 0.04
+    straight = forecast.fit_one_series(pd.DataFrame({"series": "s", "ds": days, "y": (100 + 40 * t) * weekly + rng.normal(0, 1.5, n)}))
+    assert np.count_nonzero(np.asarray(straight["trend"][0])[2:]) <= 1
+
+
+def test_sparse_fit_meets_its_conditions():
+    """Against a plain proximal gradient method on the same penalised problem."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 12))
+    x[:, 0] = 1.0
+    y = x @ np.r_[2.0, -1.0, 3.0, np.zeros(8), -2.0] + rng.normal(0, 0.3, 200)
+    got = forecast.sparse_fit(x, y, free=2)
+    base = np.linalg.lstsq(x[:, :2], np.column_stack([y, x[:, 2:]]), rcond=None)[0]
+    r, z = y - x[:, :2] @ base[:, 0], x[:, 2:] - x[:, :2] @ base[:, 1:]
+    noise = np.sqrt(((r - z @ np.linalg.lstsq(z, r, rcond=None)[0]) ** 2).sum() / (200 - 12))
+    penalty = noise * np.sqrt((z**2).sum(axis=0)) * np.sqrt(2 * np.log(10))
+    w, step = np.zeros(10), 1 / np.linalg.eigvalsh(z.T @ z).max()
+    for _ in range(20_000):
+        w = w + step * (z.T @ (r - z @ w))
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+    assert set(np.flatnonzero(got[2:])) == set(np.flatnonzero(np.abs(w) > 1e-9))
+    active = np.r_[0, 1, 2 + np.flatnonzero(np.abs(w) > 1e-9)]
+    assert np.allclose(got[active], np.linalg.lstsq(x[:, active], y, rcond=None)[0], atol=1e-6)
+    assert np.count_nonzero(got) < 6 and abs(got[2] - 3) < 0.1 and abs(got[11] + 2) < 0.1
+
+
 def test_the_band_widens_with_the_horizon():
     rng = np.random.default_rng(3)
     days = [date(2020, 1, 6) + timedelta(days=i) for i in range(400)]
