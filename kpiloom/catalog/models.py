@@ -33,14 +33,19 @@ def train_ratio(ws: Workspace) -> float:
     return attrition.class_weight(train).first()["class_weight"]
 
 
-def attrition_model(ws: Workspace):
+def attrition_models(ws: Workspace):
+    """The model of the train split and those of the five folds, all grown in one pass."""
     def fit():
-        train = attrition_rows(ws).where(~F.col("is_test"))
-        return attrition.train(train, train_ratio(ws), BOOSTING)
+        learns = [~F.col("is_test"), *attrition.outside_fold()]
+        return attrition.fit_models(attrition_rows(ws), learns, train_ratio(ws), BOOSTING)
 
     return extracts.fitted(ws.spark, ("attrition", ws.sf_dir, BOOSTING), fit)
 
 
+def attrition_model(ws: Workspace):
+    return attrition_models(ws)[0]
+
+
 def score_table(ws: Workspace):
     """Fixed, formula-made scores per employee, so metrics can be checked exactly."""
     staff = kpi.labelled_staff(ws.star)
@@ -104,9 +109,7 @@ def attrition_metrics(ws: Workspace):
 
 def cv_folds(ws: Workspace):
     def build():
-        return attrition.cross_validated_auc(
-            ws.spark, attrition_rows(ws), train_ratio(ws), BOOSTING
-        )
+        return attrition.fold_auc(ws.spark, attrition_rows(ws), attrition_models(ws)[1:])
 
     return extracts.fitted(ws.spark, ("attrition folds", ws.sf_dir, BOOSTING), build)
 
@@ -171,6 +174,64 @@ def _(ws: Workspace):
     return attrition.tree_summary(ws.spark, attrition_model(ws))
 
 
+@query(
+    "train_attrition_shape",
+    """SELECT CAST(300 AS BIGINT) AS trees, true AS numbered, true AS depth_in_bounds,
+              true AS nodes_in_bounds, true AS weights_in_bounds""",
+)
+def _(ws: Workspace):
+    """What every fit must meet: 300 trees of at most four levels, steps of Newton's size."""
+    trees = attrition.tree_summary(ws.spark, attrition_model(ws))
+    return trees.agg(
+        F.count(F.lit(1)).alias("trees"),
+        ((F.min("tree") == 0) & (F.max("tree") == F.count(F.lit(1)) - 1)).alias("numbered"),
+        F.bool_and(F.col("depth").between(0, BOOSTING.depth)).alias("depth_in_bounds"),
+        F.bool_and((F.col("nodes") % 2 == 1) & (F.col("nodes") <= (2 << BOOSTING.depth) - 1)).alias("nodes_in_bounds"),
+        F.bool_and(F.col("weight").between(0, 20 * BOOSTING.step)).alias("weights_in_bounds"),
+    )
+
+
+def _chances(scored, *keep):
+    """The scored rows, and whether probability and prediction are in range and agree."""
+    p = F.col("probability")
+    return scored.select(*keep, ((p > 0) & (p < 1) & ((p > 0.5).cast("int") == F.col("prediction"))).alias("in_range"))
+
+
+@query("predict_proba_rows", "SELECT source_key, target, true AS in_range FROM split_staff WHERE is_test")
+def _(ws: Workspace):
+    held_out = attrition_rows(ws).where("is_test")
+    return _chances(attrition.score(attrition_model(ws), held_out, ["source_key", "target"]), "source_key", "target")
+
+
+@query("vector_score_rows", "SELECT source_key, true AS in_range FROM staff")
+def _(ws: Workspace):
+    return _chances(attrition.score(attrition_model(ws), attrition_rows(ws), ["source_key"]), "source_key")
+
+
+@query(
+    "feature_importance_shares",
+    "SELECT feature, true AS in_range, true AS sums_to_one FROM (VALUES "
+    + ", ".join(f"('{f}')" for f in attrition.FEATURES)
+    + ") AS f(feature)",
+)
+def _(ws: Workspace):
+    shares = attrition.feature_importance(ws.spark, attrition_model(ws))
+    whole = shares.agg(F.sum("importance")).scalar()
+    return shares.select(
+        "feature", F.col("importance").between(0, 1).alias("in_range"), (F.abs(whole - 1) < 1e-9).alias("sums_to_one")
+    )
+
+
+@query("eval_cv_auc_bounds", "SELECT CAST(5 AS BIGINT) AS folds, true AS in_range, true AS better_than_chance")
+def _(ws: Workspace):
+    row = cv_folds(ws)
+    return row.agg(
+        F.count(F.lit(1)).alias("folds"),
+        F.bool_and(F.col("auc").between(0, 1)).alias("in_range"),
+        (F.avg("auc") > 0.5).alias("better_than_chance"),
+    )
+
+
 @query("predict_proba")
 def _(ws: Workspace):
     held_out = attrition_rows(ws).where("is_test")
@@ -340,6 +401,34 @@ def _(ws: Workspace):
     return forest_nodes(ws)
 
 
+@query(
+    "isolation_forest_shape",
+    """SELECT CAST(200 AS BIGINT) AS trees, true AS roots, true AS nodes_in_bounds""",
+)
+def _(ws: Workspace):
+    """What every forest must meet: 200 trees, each with a root and at most 511 nodes."""
+    each = forest_nodes(ws).groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("root"))
+    return each.agg(
+        F.count(F.lit(1)).alias("trees"),
+        (F.count_distinct("root") == 1).alias("roots"),
+        F.bool_and((F.col("n") <= 2 * anomaly.SUBSAMPLE - 1) & (F.col("n") % 2 == 1)).alias("nodes_in_bounds"),
+    )
+
+
+@query(
+    "isolation_forest_score_rows",
+    "SELECT order_id, true AS in_range, true AS flag_agrees FROM anomaly_base",
+)
+def _(ws: Workspace):
+    """Every order has a score from -1 to 0 and is flagged exactly below the 5 % percentile."""
+    scored = flagged_orders(ws)
+    cut = scored.agg(F.percentile("anomaly_score", 0.05)).scalar()
+    s = F.col("anomaly_score")
+    return scored.select(
+        "order_id", s.between(-1, 0).alias("in_range"), ((s < cut) == F.col("is_anomaly")).alias("flag_agrees")
+    )
+
+
 @query("isolation_forest_score")
 def _(ws: Workspace):
     return flagged_orders(ws)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,17 +207,35 @@ def _(ws: Workspace):
     return ws.spark.read.schema(report.schema).json(path)
 
 
-@query("model_store")
-def _(ws: Workspace):
-    """Save the fitted pipeline, load it again, score every test row with it."""
+def _stored_scores(ws: Workspace):
+    """Every test row scored by the fitted model after it was saved and loaded again."""
     from kpiloom.catalog.models import attrition_model, attrition_rows
 
     path = fresh_path(ws.spark, "attrition-model")
-    attrition_model(ws).write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
+    attrition.save_model(ws.spark, attrition_model(ws), path)
+    loaded = attrition.load_model(ws.spark, path)
     return attrition.score(loaded, attrition_rows(ws).where("is_test"), ["source_key", "target"])
 
 
+@query("model_store")
+def _(ws: Workspace):
+    """Save the fitted model, load it again, score every test row with it."""
+    return _stored_scores(ws)
+
+
+@query("model_store_rows", "SELECT source_key, target, true AS as_fitted FROM split_staff WHERE is_test")
+def _(ws: Workspace):
+    """Whether the saved model scores every test row as the fitted one does."""
+    from kpiloom.catalog.models import attrition_model, attrition_rows
+
+    direct = attrition.score(attrition_model(ws), attrition_rows(ws).where("is_test"), ["source_key"])
+    direct = direct.select(F.col("source_key").alias("_key"), F.col("probability").alias("_fitted"))
+    stored = _stored_scores(ws)
+    return stored.join(direct, stored["source_key"] == direct["_key"], "left").select(
+        "source_key", "target", F.coalesce(F.abs(F.col("probability") - F.col("_fitted")) < 1e-12, F.lit(False)).alias("as_fitted")
+    )
+
+
 @query(
     "cached_query",
     "SELECT order_status, count(*) AS n FROM fact_orders GROUP BY order_status",

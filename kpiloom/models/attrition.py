@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.functions import columns as C
 from kpiloom.functions import lookups as L
+from kpiloom.models import boosting
+from kpiloom.models.boosting import BoostingParams
 from kpiloom.operators.keys import stratified_number
 from kpiloom.operators.quantiles import exact_auc
 from kpiloom.plans.kpi import Star, staff_by_department
 
+# The twelve features of the published model.
 FEATURES = [
     "age",
     "gender",
@@ -38,19 +36,6 @@ CATEGORICAL = ["gender", "overtime", "department_name", "job_role"]
 SEED = 42
 TEST_SHARE = 0.2
 FOLDS = 5
-# Stands for a missing number: below every real value, so a tree can send the
-# rows that lack a feature to their own side.
-MISSING = -1.0e9
-
-
-@dataclass(frozen=True)
-class BoostingParams:
-    trees: int = 300
-    depth: int = 4
-    step: float = 0.05
-    rows: float = 0.8
-    columns: float = 0.8
-    seed: int = SEED
 
 
 # -- features ---------------------------------------------------------------
@@ -99,28 +84,24 @@ def encode_for_scoring(df: DataFrame) -> DataFrame:
 def request_numbers(requests: DataFrame) -> DataFrame:
     """Add the twelve ``*_num`` inputs of the model to request records, by the fixed codes.
 
-    A missing number takes the place the training rows give it.
+    A missing number stays missing: the trees have learned a side for it.
     """
     coded = encode_for_scoring(requests)
     short = {"department_name": "department_code", "job_role": "role_code"}
     source = {c: short.get(c, f"{c}_code") if c in CATEGORICAL else c for c in FEATURES}
     return coded.select(
         "*",
-        *[
-            F.coalesce(F.col(src).cast("double"), F.lit(MISSING)).alias(f"{c}_num")
-            for c, src in source.items()
-        ],
+        *[F.col(src).cast("double").alias(f"{c}_num") for c, src in source.items()],
     )
 
 
-def score_requests(model: PipelineModel, requests: DataFrame, keep: list[str]) -> DataFrame:
+def score_requests(model: AttritionModel, requests: DataFrame, keep: list[str]) -> DataFrame:
     """Score records of the twelve raw fields as a scoring service would, in one batch.
 
     Departments, roles, gender and overtime go through the fixed codes, with the
     defaults for unknown values, and not through the codes learned in training.
     """
-    assembled = PipelineModel(model.stages[-2:])
-    return score(assembled, request_numbers(requests), keep)
+    return _scored(model, request_numbers(requests), keep)
 
 
 # -- split and folds --------------------------------------------------------
@@ -163,95 +144,109 @@ def class_weight(train: DataFrame) -> DataFrame:
 
 # -- training ---------------------------------------------------------------
 
-def build_pipeline(params: BoostingParams) -> Pipeline:
-    """Encode → plain numbers without gaps → assemble → boosted trees.
+@dataclass(frozen=True)
+class AttritionModel:
+    """The label codes and one of the boosted models fitted together."""
+
+    encoder: StringIndexerModel
+    boosted: boosting.Boosted
+    number: int = 0
+
 
-    The arithmetic drops the nominal metadata of the codes, so the trees split
-    them as ordered numbers and the number of job roles is not limited by bins.
+def model_numbers(encoder: StringIndexerModel, rows: DataFrame) -> DataFrame:
+    """Add the twelve ``*_num`` inputs of the model: codes and numbers, null where missing.
+
+    Codes are ordered numbers to the trees, so the number of job roles is not limited.
     """
-    sources = {c: f"{c}_idx" if c in CATEGORICAL else c for c in FEATURES}
-    codes = ", ".join(
-        f"COALESCE(CAST({src} AS DOUBLE), {MISSING!r}D) + 0D AS {c}_num"
-        for c, src in sources.items()
-    )
+    source = {c: f"{c}_idx" if c in CATEGORICAL else c for c in FEATURES}
+    coded = encoder.transform(rows)
+    return coded.select(*rows.columns, *[F.col(src).cast("double").alias(f"{c}_num") for c, src in source.items()])
+
+
+def fit_models(
+    rows: DataFrame, learns: Sequence[Column], ratio: float, params: BoostingParams, key: str = "source_key"
+) -> list[AttritionModel]:
+    """One model for each condition of ``learns``, of the rows that meet it; all are grown in one pass."""
+    encoder = label_encoder().fit(rows)
+    members = sum((F.when(c, F.lit(1 << m)).otherwise(0) for m, c in enumerate(learns)), F.lit(0))
     inputs = [f"{c}_num" for c in FEATURES]
-    return Pipeline(
-        stages=[
-            label_encoder(),
-            SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"),
-            VectorAssembler(inputCols=inputs, outputCol="features"),
-            GBTClassifier(
-                labelCol="target",
-                featuresCol="features",
-                weightCol="weight",
-                maxIter=params.trees,
-                maxDepth=params.depth,
-                stepSize=params.step,
-                subsamplingRate=params.rows,
-                featureSubsetStrategy=str(params.columns),
-                seed=params.seed,
-            ),
-        ]
-    )
+    coded = model_numbers(encoder, rows.withColumn("members", members))
+    table = coded.select(F.col(key).alias("key"), "target", "members", *inputs)
+    fitted = boosting.fit(table, inputs, len(learns), ratio, params)
+    return [AttritionModel(encoder, fitted, m) for m in range(len(learns))]
 
 
-def train(train_rows: DataFrame, ratio: float, params: BoostingParams) -> PipelineModel:
-    weight = F.when(F.col("target") == 1, F.lit(ratio)).otherwise(F.lit(1.0))
-    return build_pipeline(params).fit(train_rows.withColumn("weight", weight))
+def train(train_rows: DataFrame, ratio: float, params: BoostingParams, key: str = "source_key") -> AttritionModel:
+    return fit_models(train_rows, [F.lit(True)], ratio, params, key)[0]
 
 
-def score(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Probability of leaving and the 0/1 prediction for a batch of rows."""
-    return model.transform(rows).select(
-        *keep,
-        vector_to_array("probability")[1].alias("probability"),
-        F.col("prediction").cast("int").alias("prediction"),
+def _scored(model: AttritionModel, numbers: DataFrame, keep: list[str]) -> DataFrame:
+    chance = model.boosted.probability([F.col(f"{c}_num") for c in FEATURES], model.number)
+    return numbers.select(*keep, chance.alias("probability")).withColumn(
+        "prediction", (F.col("probability") > 0.5).cast("int")
     )
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """One row per feature (twelve), largest first."""
-    weights = model.stages[-1].featureImportances.toArray()
+def score(model: AttritionModel, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Probability of leaving and the 0/1 prediction for a batch of rows."""
+    return _scored(model, model_numbers(model.encoder, rows), keep)
+
+
+def save_model(spark: SparkSession, model: AttritionModel, path: str) -> None:
+    """The label codes and the model's nodes as a table."""
+    model.encoder.write().overwrite().save(f"{path}/codes")
+    nodes = model.boosted.nodes(spark).where(F.col("model") == model.number)
+    nodes.withColumn("model", F.lit(0)).write.mode("overwrite").parquet(f"{path}/nodes")
+
+
+def load_model(spark: SparkSession, path: str) -> AttritionModel:
+    nodes = spark.read.parquet(f"{path}/nodes")
+    boosted = boosting.Boosted.from_nodes(nodes, [f"{c}_num" for c in FEATURES])
+    return AttritionModel(StringIndexerModel.load(f"{path}/codes"), boosted)
+
+
+def feature_importance(spark: SparkSession, model: AttritionModel) -> DataFrame:
+    """One row per feature (twelve) with its share of gain, largest first."""
+    weights = model.boosted.importance(model.number)
     rows = [(name, float(w)) for name, w in zip(FEATURES, weights, strict=True)]
     ranked = spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
     return ranked.orderBy(F.desc("importance"), "feature")
 
 
-def tree_summary(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    boosted = model.stages[-1]
-    rows = [
-        (i, float(w), int(t.depth), int(t.numNodes))
-        for i, (t, w) in enumerate(zip(boosted.trees, boosted.treeWeights, strict=True))
-    ]
-    return spark.createDataFrame(rows, "tree INT, weight DOUBLE, depth INT, nodes INT")
+def tree_summary(spark: SparkSession, model: AttritionModel) -> DataFrame:
+    """One row per tree: largest leaf weight, depth and number of nodes."""
+    nodes = model.boosted.nodes(spark).where(F.col("model") == model.number)
+    leaf = F.when(F.col("feature") < 0, F.abs("value"))
+    level = F.floor(F.log2(F.col("node") + 1.0) + 1e-9).cast("int")
+    return nodes.groupBy("tree").agg(
+        F.max(leaf).alias("weight"), F.max(level).alias("depth"), F.count(F.lit(1)).cast("int").alias("nodes")
+    )
 
 
-def cross_validated_auc(
-    spark: SparkSession,
-    rows: DataFrame,
-    ratio: float,
-    params: BoostingParams,
-    folds: int = FOLDS,
-    parallel: int = FOLDS,
+def fold_auc(
+    spark: SparkSession, rows: DataFrame, models: Sequence[AttritionModel], folds: int = FOLDS
 ) -> DataFrame:
-    """Per-fold ROC-AUC: ``fold, auc``. ``rows`` carry ``target`` and ``rn``.
-
-    Folds are fitted concurrently: each is its own set of Spark jobs, so the
-    cluster is shared between them instead of idling between tree levels.
-    """
+    """Per-fold ROC-AUC: ``fold, auc`` of the k-th model on the k-th fold."""
     folded = rows.withColumn("fold", fold_of(F.col("rn"), folds))
-
-    @inheritable_thread_target(spark)
-    def one(k: int) -> tuple[int, float]:
-        model = train(folded.where(F.col("fold") != k), ratio, params)
+    results = []
+    for k, model in enumerate(models):
         scored = score(model, folded.where(F.col("fold") == k), ["target"])
-        return k, exact_auc(scored, "probability", "target").first()["auc"]
-
-    with ThreadPool(parallel) as pool:
-        results = pool.map(one, range(folds))
+        results.append((k, exact_auc(scored, "probability", "target").first()["auc"]))
     return spark.createDataFrame(results, "fold INT, auc DOUBLE")
 
 
+def outside_fold(folds: int = FOLDS) -> list[Column]:
+    """For each fold, the rows that are not in it."""
+    return [fold_of(F.col("rn"), folds) != k for k in range(folds)]
+
+
+def cross_validated_auc(
+    spark: SparkSession, rows: DataFrame, ratio: float, params: BoostingParams, folds: int = FOLDS, key: str = "source_key"
+) -> DataFrame:
+    """Per-fold ROC-AUC: ``fold, auc``. ``rows`` carry ``target`` and ``rn``; all folds are grown in one pass."""
+    return fold_auc(spark, rows, fit_models(rows, outside_fold(folds), ratio, params, key), folds)
+
+
 def cv_summary(per_fold: DataFrame) -> DataFrame:
     """Mean and population standard deviation over the folds, four digits."""
     return per_fold.agg(

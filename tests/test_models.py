@@ -3,7 +3,6 @@ from datetime import date, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from kpiloom.models import anomaly, attrition, evaluate, forecast
@@ -78,8 +77,8 @@ def test_training_finds_planted_signal(spark, staff, tmp_path):
     assert attrition.tree_summary(spark, model).count() == 8
 
     path = str(tmp_path / "model")
-    model.write().overwrite().save(path)
-    again = attrition.score(PipelineModel.load(path), test, ["source_key", "target"])
+    attrition.save_model(spark, model, path)
+    again = attrition.score(attrition.load_model(spark, path), test, ["source_key", "target"])
     assert sorted(again.collect()) == sorted(scored.collect())
     strangers = test.withColumn("job_role", F.lit("never seen"))
     assert attrition.score(model, strangers, ["source_key"]).count() == test.count()
@@ -91,6 +90,12 @@ def test_cross_validation(spark, staff):
     )
     rows = folds.collect()
     assert sorted(r.fold for r in rows) == [0, 1, 2] and all(r.auc > 0.5 for r in rows)
+    # the folds grown together give what each gives alone
+    params, folded = attrition.BoostingParams(trees=3, depth=2), staff.withColumn("fold", attrition.fold_of(F.col("rn"), 3))
+    for r in rows:
+        alone = attrition.fit_models(folded, [F.col("fold") != r.fold], 3.0, params)[0]
+        scored = attrition.score(alone, folded.where(F.col("fold") == r.fold), ["target"])
+        assert exact_auc(scored, "probability", "target").first()["auc"] == pytest.approx(r.auc, abs=1e-12)
     summary = attrition.cv_summary(folds).first()
     assert summary.cv_roc_auc_std == pytest.approx(np.std([r.auc for r in rows]), abs=1e-4)
 
@@ -136,7 +141,7 @@ def test_requests_are_scored_by_the_fixed_codes(spark, staff):
     assert one.probability == other.probability and 0 < one.probability < 1
     numbers = attrition.request_numbers(known.withColumn("age", F.lit(None).cast("int"))).first()
     assert (numbers.department_name_num, numbers.job_role_num) == (1.0, 6.0)
-    assert numbers.age_num == attrition.MISSING
+    assert numbers.age_num is None
 
 
 # -- anomalies --------------------------------------------------------------

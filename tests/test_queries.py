@@ -11,9 +11,9 @@ from kpiloom.catalog.registry import workspace
 from kpiloom.plans import kpi
 from tools.compare import connect, differences, normal
 
-# fits take longest; their behaviour is covered by test_models
-SLOW = {"eval_cv_auc", "sink_attrition_metrics"}
-NAMES = [n for n in queries() if n not in SLOW]
+
+
+NAMES = list(queries())
 
 
 @pytest.fixture(scope="module")
