@@ -13,6 +13,7 @@ from kpiloom.catalog.definitions import with_definitions
 from kpiloom.plans.star import build_star
 from kpiloom.schemas import TABLES
 from kpiloom.session import fresh_path, ship_package
+from kpiloom.sources import versions
 from kpiloom.sources.extracts import TimedCache
 from kpiloom.sources.sinks import load_star
 from kpiloom.sources.standins import given, raw_frames
@@ -47,7 +48,7 @@ class Workspace:
     def star(self) -> dict[str, DataFrame]:
         """The loaded star: KPI queries and models scan these tables."""
         root, _counts = self.stored
-        return {name: self.spark.read.parquet(f"{root}/{name}") for name in TABLES}
+        return {name: versions.read(self.spark, f"{root}/{name}") for name in TABLES}
 
 
 # A workspace lives as long as the application: its star is a loaded warehouse.

@@ -15,7 +15,7 @@ from kpiloom.models import anomaly, attrition, forecast
 from kpiloom.plans import kpi
 from kpiloom.plans.star import conform
 from kpiloom.session import fresh_path
-from kpiloom.sources import extracts, readers, sinks
+from kpiloom.sources import extracts, readers, sinks, versions
 
 FORECAST_CSV = schemas.struct(
     "series STRING, ds DATE, yhat DOUBLE, yhat_lower DOUBLE, yhat_upper DOUBLE"
@@ -119,7 +119,24 @@ def _(ws: Workspace):
     rows = ws.raw["orders"].select("order_id", "order_status")
     sinks.replace(rows.withColumn("order_status", F.lit("stale")), path)
     sinks.replace(rows, path)
-    return ws.spark.read.parquet(path)
+    return versions.read(ws.spark, path)
+
+
+@query("sink_replace_failed", _ORDER_LINES)
+def _(ws: Workspace):
+    """A refresh that fails half way leaves the rows of the one before."""
+    path = fresh_path(ws.spark, "replace")
+    rows = ws.raw["orders"].select("order_id", "order_status")
+    sinks.replace(rows, path)
+    broken = F.when(F.pmod(F.xxhash64("order_id"), F.lit(50)) == 0, F.raise_error(F.lit("a bad row"))).otherwise("stale")
+    try:
+        sinks.replace(rows.withColumn("order_status", broken.cast("string")), path)
+    except Exception as failure:
+        if "a bad row" not in str(failure):
+            raise
+    else:
+        raise RuntimeError("the refresh was meant to fail")
+    return versions.read(ws.spark, path)
 
 
 @query(
@@ -256,13 +273,7 @@ def _(ws: Workspace):
     sizes = []
     for table in sinks.create_tables(ws.spark, database, root):
         name = table.split(".")[1]
-        conform(ws.spark.read.parquet(f"{source}/{name}"), name).write.insertInto(table)
-        sizes.append(
-            ws.spark.table(table).agg(
-                F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")
-            )
-        )
-    stacked = sizes[0]
-    for part in sizes[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked
+        conform(versions.read(ws.spark, f"{source}/{name}"), name).write.insertInto(table)
+        sizes.append((name, ws.spark.table(table).count()))
+    sinks.drop_tables(ws.spark, database)
+    return sinks.counts_frame(ws.spark, dict(sizes))

@@ -13,24 +13,23 @@ from pyspark.sql import functions as F
 def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per ``key``: the first in ``order`` (NULLs first).
 
-    The order columns come from one ``min`` over their struct and every other
-    column from a ``min_by`` on it, so the optimizer drops what a query never
-    reads (a bare count needs only the key), partial aggregation folds a hot
-    key on the map side, and the output is known to be unique on ``key``, which
-    lets unused left joins against it disappear. Ties in ``order`` are broken by all
-    other columns together, so the result is one of the rows and never a mix, and
-    row order never matters.
+    The order columns come from one ``min`` over their struct, the others from one
+    ``min`` over the whole row, so a group's state is at most two rows, the optimizer
+    drops what a query never reads (a bare count needs only the key, and order columns
+    alone do not need the others), partial aggregation folds a hot key on the map side,
+    and the output is known to be unique on ``key``, which lets unused left joins against
+    it disappear. Ties in ``order`` are broken by all other columns together, so the
+    result is one of the rows and never a mix, and row order never matters.
     """
     others = [c for c in df.columns if c != key and c not in order]
     rank = [F.col(c) for c in order]
     whole = F.struct(*rank, *[F.col(c) for c in others])
-    picked = df.groupBy(key).agg(
-        F.min(F.struct(*rank)).alias("_first"),
-        *[F.min_by(F.col(c), whole).alias(c) for c in others],
-    )
-    return picked.select(
-        *[F.col(f"_first.{c}").alias(c) if c in order else F.col(c) for c in df.columns]
-    )
+    picked = df.groupBy(key).agg(F.min(F.struct(*rank)).alias("_first"), F.min(whole).alias("_row"))
+
+    def column(name: str) -> Column:
+        return F.col(name if name == key else f"_first.{name}" if name in order else f"_row.{name}").alias(name)
+
+    return picked.select(*[column(c) for c in df.columns])
 
 
 def first_non_null(value: str, order: Sequence[str]) -> Column:

@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 
 from kpiloom.plans.star import build_dimensions, build_facts, conform, number_employees
 from kpiloom.schemas import TABLES
+from kpiloom.sources import versions
 from kpiloom.sources.extracts import written
 from kpiloom.sources.readers import TIMESTAMP_FORMAT, raw_folder
 
 
 def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    """Add rows to the table as it is now."""
+    df.write.mode("append").parquet(versions.current(df.sparkSession, path))
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Full refresh: the new rows take the place of whatever was there."""
-    df.write.mode("overwrite").parquet(path)
+    """Full refresh: the new rows take the place of whatever was there once all are written.
+
+    The old rows stay readable until then, and for good if the load fails. Read the
+    table with ``versions.read``.
+    """
+    versions.publish(df, path)
 
 
 def write_csv(df: DataFrame, path: str, keep_blanks: bool = False) -> None:
@@ -74,7 +80,7 @@ def load_star(
         return copy_frames({n: shaped(n, f) for n, f in frames.items()}, root)
 
     counts = store(build_dimensions(spark, raw))
-    dims = {name: spark.read.parquet(f"{root}/{name}") for name in counts}
+    dims = {name: versions.read(spark, f"{root}/{name}") for name in counts}
     facts = build_facts(raw, dims)
     facts["fact_orders"] = facts["fact_orders"].repartitionByRange(
         "date_id", "order_id"
@@ -103,7 +109,7 @@ def copy_tables(
     spark: SparkSession, source: str, target: str, tables: Iterable[str] = tuple(TABLES)
 ) -> dict[str, int]:
     """Copy tables between two stores in reference order, keys unchanged."""
-    return copy_frames({t: spark.read.parquet(f"{source}/{t}") for t in tables}, target)
+    return copy_frames({t: versions.read(spark, f"{source}/{t}") for t in tables}, target)
 
 
 def counts_frame(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
@@ -111,8 +117,8 @@ def counts_frame(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
 
 
 def create_tables(spark: SparkSession, database: str, root: str) -> list[str]:
-    """CREATE TABLE IF NOT EXISTS for the eight warehouse tables."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    """CREATE TABLE IF NOT EXISTS for the eight warehouse tables, its tables and the database's own folder below ``root``."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/database'")
     names = []
     for table in TABLES.values():
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
@@ -122,3 +128,8 @@ def create_tables(spark: SparkSession, database: str, root: str) -> list[str]:
         )
         names.append(f"{database}.{table.name}")
     return names
+
+
+def drop_tables(spark: SparkSession, database: str) -> None:
+    """Take the database and its tables out of the catalog; the tables' files stay."""
+    spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")

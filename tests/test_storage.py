@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kpiloom import schemas
 from kpiloom.plans import guard, questions, star
-from kpiloom.sources import extracts, readers, sinks
+from kpiloom.sources import extracts, readers, sinks, versions
 from tests.golden import ROWS, raw_frames
 
 
@@ -47,7 +47,7 @@ def test_star_from_csv_equals_star_from_frames(raw, spark, tmp_path):
     assert copied == counts
     direct = star.build_star(spark, raw, number_ids=True)
     for name in counts:
-        stored = spark.read.parquet(str(tmp_path / "copy" / name))
+        stored = versions.read(spark, str(tmp_path / "copy" / name))
         want = star.conform(direct[name], name)
         assert sorted(map(str, stored.collect())) == sorted(map(str, want.collect()))
 
@@ -63,7 +63,7 @@ def test_star_from_a_folder_of_files(raw, spark, tmp_path):
     direct = star.build_star(spark, raw, number_ids=True)
     assert set(counts) == set(direct)
     for name in counts:
-        stored = spark.read.parquet(f"{root}/{name}")
+        stored = versions.read(spark, f"{root}/{name}")
         want = star.conform(direct[name], name)
         assert sorted(map(str, stored.collect())) == sorted(map(str, want.collect()))
 
@@ -71,7 +71,7 @@ def test_star_from_a_folder_of_files(raw, spark, tmp_path):
 def test_stored_orders_follow_the_calendar(raw, spark, tmp_path):
     root = str(tmp_path / "star")
     counts = sinks.load_star(spark, raw, root)
-    stored = {name: spark.read.parquet(f"{root}/{name}") for name in counts}
+    stored = {name: versions.read(spark, f"{root}/{name}") for name in counts}
     ranges = stored["fact_orders"].groupBy(F.input_file_name().alias("file")).agg(
         F.min("date_id").alias("low"), F.max("date_id").alias("high")
     ).where("low IS NOT NULL").orderBy("low").collect()
@@ -88,15 +88,44 @@ def test_append_and_replace(spark, tmp_path):
     sinks.append(spark.range(2), path)
     assert spark.read.parquet(path).count() == 5
     sinks.replace(spark.range(1), path)
-    assert spark.read.parquet(path).count() == 1
+    assert versions.read(spark, path).count() == 1
+    sinks.append(spark.range(4), path)
+    assert versions.read(spark, path).count() == 5
+
+
+def test_a_reader_finishes_on_the_version_it_began_with(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace(spark.range(10), path)
+    begun = versions.read(spark, path)
+    sinks.replace(spark.range(10, 13), path)
+    assert begun.count() == 10 and versions.read(spark, path).count() == 3
+    # a table may be made from itself
+    sinks.replace(versions.read(spark, path).selectExpr("id + 1 AS id"), path)
+    assert sorted(r.id for r in versions.read(spark, path).collect()) == [11, 12, 13]
+    assert len(versions.drop_old(spark, path)) == 2 and versions.drop_old(spark, path) == []
+    assert versions.read(spark, path).count() == 3
+
+
+def test_a_failing_load_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace(spark.range(10), path)
+    bad = spark.range(100).selectExpr("CASE WHEN id = 77 THEN raise_error('no') ELSE id END AS id")
+    with pytest.raises(Exception, match="no"):
+        sinks.replace(bad, path)
+    assert sorted(r.id for r in versions.read(spark, path).collect()) == list(range(10))
+    assert versions.current(spark, str(tmp_path / "nothing")) == str(tmp_path / "nothing")
 
 
 def test_create_tables_is_idempotent(spark, tmp_path):
     for _ in range(2):
         names = sinks.create_tables(spark, "kpiloom_test", str(tmp_path / "wh"))
     assert len(names) == 8
+    place = spark.sql("DESCRIBE DATABASE kpiloom_test").where("info_name = 'Location'").first()["info_value"]
+    assert place.endswith(str(tmp_path / "wh" / "database"))
     table = spark.table("kpiloom_test.fact_orders")
     assert table.schema["price"].dataType.simpleString() == "decimal(10,2)"
+    sinks.drop_tables(spark, "kpiloom_test")
+    assert not spark.catalog.databaseExists("kpiloom_test") and (tmp_path / "wh" / "fact_orders").exists()
 
 
 def test_metrics_json(spark, tmp_path):
