@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,17 +61,85 @@ def clean_sql(log: DataFrame, column: str) -> DataFrame:
     return log.withColumn("clean", C.strip_fences(F.col(column)))
 
 
+# What a read-only statement may stand on: nothing at all, values written out, and the views.
+_LEAVES = {"OneRowRelation", "UnresolvedInlineTable", "LocalRelation"}
+_NAMED = "UnresolvedRelation"
+# Nodes of the parsed statement that only arrange rows; anything else is refused.
+_SHAPES = {
+    "Project", "Filter", "Join", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Offset", "Distinct", "Union",
+    "Intersect", "Except", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "UnresolvedWith", "Window",
+    "WithWindowDefinition", "Generate", "LateralJoin", "Pivot", "Unpivot", "Deduplicate", "Tail", "UnresolvedHint",
+}
+
+
+def _items(sequence):
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
+def _refusal(plan, views: set[str], known: frozenset[str] = frozenset()) -> str | None:
+    """Why a parsed plan is not a read of the views alone, or None. ``known`` are names it defines itself."""
+    kind = plan.nodeName() if plan.getClass().getSimpleName() == "" else plan.getClass().getSimpleName()
+    if kind == "UnresolvedWith":
+        # each definition sees the earlier ones; in a recursive one a name may stand on itself
+        for pair in _items(plan.cteRelations()):
+            name = pair._1().lower()
+            why = _refusal(pair._2(), views, known | ({name} if plan.allowRecursion() else frozenset()))
+            if why is not None:
+                return why
+            known = known | {name}
+        return _refusal(plan.child(), views, known)
+    children, nested = _items(plan.children()), _items(plan.subqueries())
+    if kind == _NAMED:
+        name = ".".join(_items(plan.multipartIdentifier())).lower()
+        if name not in views and name not in known:
+            return f"{name} is none of the views"
+    elif not children and kind not in _LEAVES:
+        return f"{kind} is not a read of the views"
+    elif children and kind not in _SHAPES:
+        return f"{kind} does not only arrange rows"
+    for below in [*children, *nested]:
+        why = _refusal(below, views, known)
+        if why is not None:
+            return why
+    return None
+
+
+def unsafe_reason(spark: SparkSession, sql: str, views: Iterable[str]) -> str | None:
+    """Why a statement may not run, or None: decided on its parsed plan, before anything is run or resolved.
+
+    It must be one query whose sources are the views (and names it defines itself, and
+    rows written out): no commands, no files by path, no other tables, no table functions,
+    no scripts, also not inside subqueries. A statement that does not parse has no reason
+    here; running it will say what is wrong.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception:
+        return None
+    why = _refusal(plan, {v.lower() for v in views})
+    if why is None and _UNSAFE_CALL.search(sql):
+        why = "it calls a function that reaches outside the rows"
+    return why
+
+
+# Functions that run code by name, or tell of the session.
+_UNSAFE_CALL = re.compile(r"\b(?:reflect|try_reflect|java_method|current_catalog|current_database|current_schema|input_file_name|version)\s*\(", re.IGNORECASE)
+
+
 def guarded_sql(
     spark: SparkSession, sql: str, star: Mapping[str, DataFrame]
 ) -> DataFrame:
     """Run a statement on the star views and return all of its rows.
 
-    The word test is a text filter, not a security boundary: a statement without a
-    blocked word can still read files by path or change session settings. How many
-    rows come back is for the statement to say.
+    A blocked word refuses it, as the word test has it, also inside a literal. What
+    passes is parsed, and refused unless it is one query over the views alone
+    (``unsafe_reason``). How many rows come back is for the statement to say.
     """
     if blocked_word(sql) is not None:
         raise ValueError("unsafe SQL: the statement contains a blocked word")
+    why = unsafe_reason(spark, sql, star)
+    if why is not None:
+        raise ValueError(f"unsafe SQL: {why}")
     register_views(star)
     return spark.sql(sql)
 

@@ -154,6 +154,53 @@ def test_guarded_sql(spark, raw):
             guard.guarded_sql(spark, text, built)
 
 
+SAFE = [
+    "SELECT count(*) AS n FROM fact_orders",
+    "SELECT * FROM (SELECT order_status, count(*) AS n FROM Fact_Orders GROUP BY order_status HAVING count(*) > 0) ORDER BY n LIMIT 3",
+    "WITH a AS (SELECT * FROM dim_date), b AS (SELECT * FROM a) SELECT max(year) FROM b",
+    "SELECT (SELECT max(price) FROM fact_orders) AS m, 1 AS one",
+    "SELECT * FROM dim_geography g WHERE EXISTS (SELECT 1 FROM fact_orders f WHERE f.geo_id = g.geo_id)",
+    "SELECT order_id, row_number() OVER (PARTITION BY order_status ORDER BY price) FROM fact_orders",
+    "SELECT v.x, e FROM VALUES (1), (2) AS v(x) LATERAL VIEW explode(sequence(1, x)) AS e",
+    "SELECT state FROM dim_geography UNION ALL SELECT state FROM dim_customer EXCEPT SELECT 'SP'",
+    "SELECT DISTINCT d.year FROM fact_orders f JOIN dim_date d USING (date_id) WHERE f.price BETWEEN 1 AND 1e9",
+]
+UNSAFE = [
+    "SELECT * FROM parquet.`/etc/passwd`", "SELECT * FROM csv.`/root`", "SELECT (SELECT max(value) FROM text.`/etc/hosts`)",
+    "SELECT * FROM fact_orders WHERE order_id IN (SELECT value FROM text.`/etc/hosts`)",
+    "WITH fact AS (SELECT * FROM json.`/x`) SELECT * FROM fact", "SELECT * FROM other_table", "SELECT * FROM default.fact_orders",
+    "SET spark.sql.ansi.enabled=false", "SET", "RESET", "SHOW TABLES", "DESCRIBE fact_orders", "USE default", "CACHE TABLE fact_orders",
+    "EXPLAIN SELECT 1", "ADD JAR '/x.jar'", "REFRESH TABLE fact_orders", "ANALYZE TABLE fact_orders COMPUTE STATISTICS",
+    "SELECT * FROM range(10)", "SELECT TRANSFORM(order_id) USING 'cat' FROM fact_orders", "LOAD DATA INPATH '/x' INTO TABLE fact_orders",
+    "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "SELECT java_method ('java.lang.System', 'exit', 1)",
+    "FROM fact_orders SELECT 1 UNION SELECT 1 FROM avro.`/x`", "SELECT * FROM fact_orders, LATERAL (SELECT * FROM orc.`/x`)",
+]
+
+
+@pytest.mark.parametrize("sql", SAFE)
+def test_reads_of_the_views_run(spark, raw, sql):
+    assert guard.guarded_sql(spark, sql, star.build_star(spark, raw)).collect() is not None
+
+
+@pytest.mark.parametrize("sql", UNSAFE)
+def test_statements_that_reach_outside_the_views_are_refused(spark, raw, sql):
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    with pytest.raises(ValueError, match="unsafe SQL"):
+        guard.guarded_sql(spark, sql, star.build_star(spark, raw))
+    assert spark.conf.get("spark.sql.ansi.enabled") == ansi
+
+
+def test_a_name_a_statement_defines_does_not_open_others(spark, raw):
+    built = star.build_star(spark, raw)
+    # defined after its use, or in another part of the statement
+    for sql in (
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a",
+        "SELECT * FROM (WITH t AS (SELECT 1 AS x) SELECT * FROM t) JOIN t",
+    ):
+        with pytest.raises(ValueError, match="none of the views"):
+            guard.guarded_sql(spark, sql, built)
+
+
 def test_outcomes(spark, raw):
     built = star.build_star(spark, raw)
     statements = {
