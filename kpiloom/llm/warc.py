@@ -3,6 +3,9 @@
 A reading task owns a byte range of one file: it looks for the gzip magic, tries
 each candidate by decoding the beginning of the member and its header, and yields
 the records that start inside its range, reading past the end for the last one.
+Records of a file lie one after the other: a task checks that each begins where the one
+before ends, and that another record or the file's end follows its last one, so a record
+that does not decode is an error and never skipped.
 Files are reached through pyarrow's file systems (file, hdfs, s3, gs), by the URI
 of the shared folder.
 """
@@ -15,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +29,24 @@ from kpiloom.sources.extracts import written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+#: How records of any version of the format begin.
+BEGINNING = b"WARC/"
 
 
 @dataclass(frozen=True)
 class WarcParams:
     """Records with payloads of ``least`` bytes or more are revisits of an equal one.
 
-    ``file_bytes`` ends an archive file, ``split`` is the range of one reading task.
+    ``file_bytes`` ends an archive file, ``split`` is the range of one reading task. ``date``
+    is the records' date, by default that of the writing. ``strict`` raises where bytes of
+    a file belong to no record.
     """
 
     least: int = 0
     file_bytes: int = 64 << 20
     split: int = 4 << 20
+    date: str | None = None
+    strict: bool = True
 
 
 def _open(uri: str):
@@ -52,19 +62,30 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, kind: str, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
-    """One WARC record as a gzip member. Header values have control characters percent-encoded."""
+def record(
+    page_id: int | None, url: str | None, kind: str, digest: str, size: int, refers_to: int | None, payload: bytes,
+    date: str = "1970-01-01T00:00:00Z", record_id: str | None = None,
+) -> bytes:
+    """One WARC record as a gzip member. Header values have control characters percent-encoded.
+
+    Every record has an id of its own; page ids, which may repeat, are in fields beside it.
+    """
     clean = "".join(c if c.isprintable() and c != "%" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
     lines = [
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{record_id or uuid.uuid4()}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {size}",
     ]
+    if page_id is not None:
+        lines.append(f"WARC-Page-ID: {page_id}")
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        lines.append(f"WARC-Refers-To-Page-ID: {refers_to}")
+    else:
+        lines.append("Content-Type: text/html; charset=utf-8")
     lines.append(f"Content-Length: {len(payload)}")
     body = VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -106,6 +127,7 @@ def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> D
     spark = pages.sparkSession
     ship_package(spark)
     limit = params.file_bytes
+    date = params.date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
@@ -127,7 +149,10 @@ def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> D
                     name, size, count = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                member = record(page_id, url, kind, digest, len(payload), refers, payload if kind == "response" else b"")
+                body = payload if kind == "response" else b""
+                # the file's name is its own, so a number within it makes an id of its own
+                own = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{count}")
+                member = record(page_id, url, kind, digest, len(payload), refers, body, date, str(own))
                 out.write(member)
                 size += len(member)
                 count += 1
@@ -171,14 +196,50 @@ def _member(source, at: int) -> tuple[bytes, int] | None:
             return None
         parts.append(part)
         seen += len(part)
-        if seen >= len(VERSION) and len(parts) <= 2 and not b"".join(parts).startswith(VERSION):
+        if seen >= len(BEGINNING) and len(parts) <= 2 and not b"".join(parts).startswith(BEGINNING):
             return None
     return b"".join(parts), tail.at - len(packer.unused_data)
 
 
-def records_in(source, start: int, end: int, step: int = 1 << 20) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header, payload) of the records that start in [start, end) of an open file."""
+def _begins(source, at: int) -> bool:
+    """Whether a member that begins like a record starts at ``at``."""
+    source.seek(at)
+    packer, seen = zlib.decompressobj(31), b""
+    while len(seen) < len(BEGINNING) and not packer.eof:
+        data = source.read(1 << 12)
+        if not data:
+            return False
+        try:
+            seen += packer.decompress(data, 1 << 10)
+        except zlib.error:
+            return False
+    return seen.startswith(BEGINNING)
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields by lower-cased name; a line that begins with white space continues the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = (x.strip() for x in line.split(":", 1))
+            name = name.lower()
+            out[name] = value
+    return out
+
+
+def records_in(source, start: int, end: int, step: int = 1 << 20, size: int | None = None) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header by lower-cased name, block) of the records that start in [start, end) of an open file.
+
+    With the file's ``size``, bytes that belong to no record raise: before the first
+    record of the file, between two records, and between the range's last record and
+    what follows it, which must be another record or the file's end. As every range
+    checks what follows its own records, nothing between two ranges goes unseen.
+    """
     at, window, base = start, b"", start
+    ended = 0 if start == 0 else None
     while at < end:
         if at < base or at + len(MAGIC) > base + len(window):
             source.seek(at)
@@ -187,35 +248,67 @@ def records_in(source, start: int, end: int, step: int = 1 << 20) -> Iterator[tu
         if hit < 0 or base + hit >= end:
             at = max(at + 1, base + len(window) - len(MAGIC) + 1)
             if len(window) < len(MAGIC):
-                return
+                break
             continue
         at = base + hit
         found = _member(source, at)
         head, gap, rest = (found[0] if found else b"").partition(b"\r\n\r\n")
-        if not found or not gap:
-            at += 1
-            continue
-        header = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-        if not header.get("Content-Length", "").isdigit():
+        header = fields_of(head) if found and gap else {}
+        if not header.get("content-length", "").isdigit():
+            if size is not None and _begins(source, at):
+                raise ValueError(f"the record at {at} does not decode")
             at += 1
             continue
-        yield at, header, rest[: int(header["Content-Length"])]
-        at = found[1]
+        if size is not None and ended is not None and at != ended:
+            raise ValueError(f"bytes {ended} to {at} hold no record")
+        length = int(header["content-length"])
+        if size is not None and len(rest) < length:
+            raise ValueError(f"the record at {at} is shorter than it says")
+        yield at, header, rest[:length]
+        at = ended = found[1]
+    if size is not None and ended is not None and ended < size and not (ended > start and _begins(source, ended)):
+        raise ValueError(f"no record follows at {ended} of {size} bytes")
+
+
+def payload_of(header: dict[str, str], block: bytes) -> bytes:
+    """A record's payload: its block, without the protocol's header where it holds one."""
+    if header.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
 
 
 def read(spark: SparkSession, files: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
     """All records of the files (path, bytes): path, offset, page_id, url, record_type,
-    refers_to, payload_digest, payload_bytes, payload (null in a revisit).
+    refers_to, payload_digest, payload_bytes, payload (null unless a response or resource).
 
     Every range of ``split`` bytes is a task's own piece of work, whatever the file.
-    A response whose payload does not have its digest raises.
+    Bytes that belong to no record raise (``strict``), as does a payload that does not
+    have its SHA-1 digest, but for protocol messages, whose digests may be of what they
+    encode. Archives of others are read too: any version and letter case, any record
+    type, page ids null, a missing digest computed. A task holds one record at a time,
+    whole, and up to 8 MB of finished ones.
     """
     ship_package(spark)
-    split = params.split
+    split, strict = params.split, params.strict
 
     def number(value: str | None) -> int | None:
-        text = (value or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
+        return int(value) if value and value.lstrip("-").isdigit() else None
+
+    def row_of(path: str, offset: int, header: dict[str, str], block: bytes) -> tuple:
+        kind = header.get("warc-type", "").lower()
+        payload = payload_of(header, block)
+        named, _, digest = header.get("warc-payload-digest", "").partition(":")
+        told = digest.upper() if named.lower() == "sha1" else None
+        held = kind in ("response", "resource")
+        if held and told and block is payload and digest_of(payload) != told:
+            raise ValueError(f"payload and digest differ: {path} at {offset}")
+        size = number(header.get("warc-payload-length"))
+        return (
+            path, offset, number(header.get("warc-page-id")), header.get("warc-target-uri"), kind,
+            number(header.get("warc-refers-to-page-id")) if kind == "revisit" else None,
+            told or (digest_of(payload) if held else None), len(payload) if held or size is None else size,
+            payload if held else None,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "offset", "page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
@@ -229,15 +322,10 @@ def read(spark: SparkSession, files: DataFrame, params: WarcParams = WarcParams(
                 fs, place = _open(path)
                 rows, held = [], 0
                 with fs.open_input_file(place) as source:
-                    for offset, header, payload in records_in(source, start, start + split):
-                        kind = header["WARC-Type"]
-                        digest = header["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if kind == "response" and digest_of(payload) != digest:
-                            raise ValueError(f"payload and digest differ: {path} at {offset}")
-                        refers = number(header.get("WARC-Refers-To")) if kind == "revisit" else None
-                        own = payload if kind == "response" else None
-                        rows.append((path, offset, number(header["WARC-Record-ID"]), header.get("WARC-Target-URI"), kind, refers, digest, int(header["WARC-Payload-Length"]), own))
-                        held += len(payload)
+                    size = source.size() if strict else None
+                    for offset, header, block in records_in(source, start, start + split, size=size):
+                        rows.append(row_of(path, offset, header, block))
+                        held += len(block)
                         if held > 8 << 20:
                             yield batch_of(rows)
                             rows, held = [], 0
