@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer, QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,18 +71,60 @@ def ordered_number(
     )
 
 
-def range_buckets(df: DataFrame, column: str, out: str, buckets: int = 256) -> DataFrame:
-    """Add an order-preserving bucket of near-equal row counts.
+def _image(value: Column) -> Column:
+    """A number that grows with ``value`` and spreads both small and very large ones."""
+    return F.signum(value) * F.log1p(F.abs(value))
 
-    The split points are estimated once (at most ``buckets`` doubles reach the
-    driver) and then fixed, so every use of the result sees the same buckets.
+
+def _cell(value: Column, low: Column, high: Column, cells: int | Column) -> Column:
+    """Which of ``cells`` even parts of [low, high] a value lies in; all in the first if they are equal."""
+    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+    return F.least(F.floor(share * cells), F.lit(cells) - 1 if isinstance(cells, int) else cells - 1).cast("bigint")
+
+
+def range_buckets(df: DataFrame, column: str, out: str, buckets: int = 256, cells: int = 65_536, fine: int = 1 << 20) -> DataFrame:
+    """Add an order-preserving bucket of near-equal row counts of a non-null numeric column.
+
+    Rows are counted by ``cells`` even parts of an ordered image of the number, and rows
+    of parts that hold more than a bucket's share again by finer ones, ``fine`` of them in
+    all. Buckets end where these counts reach their shares. What reaches the driver is
+    ``cells`` + ``fine`` counts at most, however many ``buckets`` there are; the bounds are then
+    fixed, so every use of the result sees the same buckets.
     """
-    prepared = df.withColumn("_at", F.col(column).cast("double"))
-    plan = QuantileDiscretizer(
-        numBuckets=buckets, inputCol="_at", outputCol=out, relativeError=0.25 / buckets
-    ).fit(prepared.select("_at"))
-    fixed = Bucketizer(splits=plan.getSplits(), inputCol="_at", outputCol=out)
-    return fixed.transform(prepared).drop("_at")
+    value = F.col("_at")
+    prepared = df.withColumn("_at", _image(F.col(column).cast("double")))
+    low, high, rows = prepared.agg(F.min("_at"), F.max("_at"), F.count("_at")).first()
+    if not rows:
+        return prepared.withColumn(out, F.lit(0.0)).drop("_at")
+    share = max(rows / buckets, 1.0)
+    first = _cell(value, F.lit(low), F.lit(high), cells)
+    counts = {r["c"]: r["n"] for r in prepared.groupBy(first.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    crowded = sorted(c for c, n in counts.items() if n > share)
+    parts = max(fine // max(len(crowded), 1), 1)
+    # a cell's own bounds: what lies outside them by rounding falls into its first or last part
+    width = (high - low) / cells
+    second = F.greatest(_cell(value - F.lit(low) - first * F.lit(width), F.lit(0.0), F.lit(width), parts), F.lit(0).cast("bigint"))
+    place = first * parts
+    inner: dict[int, int] = {}
+    if crowded and width > 0:
+        # as many rows as there are buckets at most
+        chosen = df.sparkSession.createDataFrame([(c,) for c in crowded], "c BIGINT")
+        found = prepared.withColumn("c", first).join(F.broadcast(chosen), "c").groupBy((place + second).alias("p"))
+        inner = {r["p"]: r["n"] for r in found.agg(F.count(F.lit(1)).alias("n")).collect()}
+        place = place + second
+    full = set(crowded) if inner else set()
+    ordered = sorted([(c * parts, n) for c, n in counts.items() if c not in full] + list(inner.items()))
+    splits, seen, bucket = [float("-inf")], 0, 0
+    for at, n in ordered:
+        if int(seen / share) > bucket:
+            bucket = int(seen / share)
+            splits.append(float(at))
+        seen += n
+    splits.append(float("inf"))
+    if len(splits) == 2:
+        return prepared.withColumn(out, F.lit(0.0)).drop("_at")
+    fixed = Bucketizer(splits=splits, inputCol="_place", outputCol=out)
+    return fixed.transform(prepared.withColumn("_place", place.cast("double"))).drop("_at", "_place")
 
 
 def parts_for(df: DataFrame, rows_per_part: int = 1_000_000, most: int = 65_536) -> int:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -121,3 +123,39 @@ def test_part_counts_do_not_change_results(spark):
     )
     assert few == many
     assert keys.parts_for(df, rows_per_part=100) == 30
+
+
+SPREADS = {
+    "even": "CAST(id AS DOUBLE)",
+    "squares": "CAST(id * id AS DOUBLE)",
+    "tails": "CASE WHEN id = 7 THEN 1e300 WHEN id = 8 THEN -1e300 ELSE id / 1e6 END",
+    "few": "CAST(id % 5 AS DOUBLE)",
+    "powers": "pow(1.001D, CAST(id AS DOUBLE)) * IF(id % 2 = 0, 1, -1)",
+    "one": "3.5D",
+}
+
+
+@pytest.mark.parametrize("kind", SPREADS)
+@pytest.mark.parametrize("cells, fine", [(65_536, 1 << 20), (16, 64)])
+def test_buckets_keep_the_order_and_share_the_rows(spark, kind, cells, fine):
+    df = spark.range(8_000).selectExpr("id", f"{SPREADS[kind]} AS v")
+    rows = keys.range_buckets(df, "v", "b", 40, cells, fine).collect()
+    assert len(rows) == 8_000
+    ranked = sorted(rows, key=lambda r: (r.v, r.b))
+    assert all(a.b <= b.b for a, b in zip(ranked, ranked[1:]))
+    by_value = {}
+    for r in rows:
+        by_value.setdefault(r.v, set()).add(r.b)
+    assert all(len(found) == 1 for found in by_value.values())
+    if cells > 16 and kind != "one":
+        sizes = Counter(r.b for r in rows)
+        most = max(Counter(r.v for r in rows).values())
+        assert max(sizes.values()) <= max(2 * 8_000 / 40 + 1, most + 8_000 / 40)
+    assert keys.range_buckets(df.limit(0), "v", "b", 40).collect() == []
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 999, 65_536])
+def test_serial_ids_do_not_depend_on_the_buckets(spark, buckets):
+    df = spark.range(3_000).selectExpr("(id * 7919) % 100003 AS k")
+    got = {r.k: r.i for r in keys.serial_id(df, "i", "k", buckets).collect()}
+    assert got == {k: n for n, k in enumerate(sorted(got), 1)}
