@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +14,20 @@ from pyspark.sql import types as T
 from kpiloom.catalog.definitions import with_definitions
 from kpiloom.plans.star import build_star
 from kpiloom.schemas import TABLES
-from kpiloom.session import fresh_path, ship_package
+from kpiloom.session import shared_dir, ship_package
 from kpiloom.sources import versions
 from kpiloom.sources.extracts import TimedCache
-from kpiloom.sources.sinks import load_star
-from kpiloom.sources.standins import given, raw_frames
+from kpiloom.sources.sinks import attach_star
+from kpiloom.sources.standins import GIVEN_TABLES, RAW_TABLES, given, raw_frames
+
+
+@lru_cache(maxsize=1)
+def _code_mark() -> str:
+    """What changes when the code that makes the star does."""
+    package = Path(__file__).resolve().parent.parent
+    parts = [package / "schemas.py", *(package / d for d in ("plans", "operators", "functions", "sources"))]
+    files = sorted(f for p in parts for f in ([p] if p.is_file() else p.rglob("*.py")))
+    return hashlib.sha256(b"\0".join(f.read_bytes() for f in files)).hexdigest()
 
 
 class Workspace:
@@ -40,9 +51,20 @@ class Workspace:
 
     @cached_property
     def stored(self) -> tuple[str, dict[str, int]]:
-        """The star written once to the shared folder: root path and row counts."""
-        root = fresh_path(self.spark, "star")
-        return root, load_star(self.spark, self.raw, root)
+        """The star in the shared folder: root path and row counts.
+
+        A star that another application loaded from the same files with the same code is
+        attached; only tables that are missing or stale are loaded.
+        """
+        name = hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]
+        root = f"{shared_dir(self.spark).rstrip('/')}/kpiloom/star-{name}"
+        counts, _loaded = attach_star(self.spark, self.raw, root, self.marks(), _code_mark())
+        return root, counts
+
+    def marks(self) -> dict[str, str]:
+        """A mark of each raw frame, from the given files it is made of."""
+        each = {t: versions.source_mark(self.spark, [f"{self.sf_dir}/{t}.parquet"]) for t in GIVEN_TABLES}
+        return {frame: "\n".join(each[t] for t in tables) for frame, tables in RAW_TABLES.items()}
 
     @cached_property
     def star(self) -> dict[str, DataFrame]:

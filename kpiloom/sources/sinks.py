@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -54,9 +56,9 @@ def write_jdbc(df: DataFrame, url: str, table: str, replace_rows: bool, **option
 
 
 def load_star(
-    spark: SparkSession, raw: Mapping[str, DataFrame], root: str, declared: bool = False
+    spark: SparkSession, raw: Mapping[str, DataFrame], root: str, declared: bool = False, tables: Iterable[str] = tuple(TABLES)
 ) -> dict[str, int]:
-    """Build and write the eight tables under ``root``; row counts back.
+    """Build and write the eight tables (or some of them) under ``root``; row counts back.
 
     Dimensions are written first and the facts look their keys up in the
     written dimensions, so no dimension is derived twice. ``declared`` casts
@@ -79,18 +81,66 @@ def load_star(
     def store(frames: Mapping[str, DataFrame]) -> dict[str, int]:
         return copy_frames({n: shaped(n, f) for n, f in frames.items()}, root)
 
-    counts = store(build_dimensions(spark, raw))
-    dims = {name: versions.read(spark, f"{root}/{name}") for name in counts}
-    facts = build_facts(raw, dims)
-    facts["fact_orders"] = facts["fact_orders"].repartitionByRange(
-        "date_id", "order_id"
-    ).sortWithinPartitions("date_id", "order_id")
-    facts["fact_employees"] = number_employees(
-        written(spark, "employee-rows", facts["fact_employees"])
-    )
+    chosen = set(tables)
+    dimensions = build_dimensions(spark, raw)
+    counts = store({name: frame for name, frame in dimensions.items() if name in chosen})
+    if not chosen - set(dimensions):
+        return counts
+    dims = {name: versions.read(spark, f"{root}/{name}") for name in dimensions}
+    facts = {name: frame for name, frame in build_facts(raw, dims).items() if name in chosen}
+    if "fact_orders" in facts:
+        facts["fact_orders"] = facts["fact_orders"].repartitionByRange(
+            "date_id", "order_id"
+        ).sortWithinPartitions("date_id", "order_id")
+    if "fact_employees" in facts:
+        facts["fact_employees"] = number_employees(
+            written(spark, "employee-rows", facts["fact_employees"])
+        )
     return counts | store(facts)
 
 
+# What each table is made of: raw frames, and tables whose keys it looks up.
+STAR_SOURCES = {
+    "dim_date": ("orders",),
+    "dim_customer": ("customers",),
+    "dim_product": ("products", "translation"),
+    "dim_geography": ("customers", "regions"),
+    "dim_department": ("employees",),
+    "dim_attrition_label": (),
+    "fact_orders": ("orders", "items", "payments", "reviews", "customers", "dim_date", "dim_geography"),
+    "fact_employees": ("employees", "dim_department", "dim_attrition_label", "dim_date"),
+}
+_MANIFEST = "_manifest"
+
+
+def table_marks(marks: Mapping[str, str], code: str = "") -> dict[str, str]:
+    """A mark of each table, which changes with those of the raw frames it is made of, or with ``code``."""
+    out: dict[str, str] = {}
+    for table, sources in STAR_SOURCES.items():
+        parts = [code, *(out[s] if s in out else marks.get(s, "") for s in sources)]
+        out[table] = hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    return out
+
+
+def attach_star(
+    spark: SparkSession, raw: Mapping[str, DataFrame], root: str, marks: Mapping[str, str], code: str = "", declared: bool = False
+) -> tuple[dict[str, int], list[str]]:
+    """The star under ``root``, loading only tables that are missing or older than their sources.
+
+    ``marks`` has a mark of each raw frame (``versions.source_mark``); a manifest beside the
+    tables keeps each table's mark and row count, and is written after the tables.
+    Returns the row counts of all tables and the names of those that were loaded.
+    """
+    wanted = table_marks(marks, code)
+    known = json.loads(versions.read_note(spark, f"{root}/{_MANIFEST}") or "{}")
+    stale = [t for t, mark in wanted.items() if known.get(t, {}).get("mark") != mark]
+    if stale:
+        counts = load_star(spark, raw, root, declared, tables=stale)
+        known = {t: known[t] for t in wanted if t not in stale} | {t: {"mark": wanted[t], "rows": n} for t, n in counts.items()}
+        versions.write_note(spark, f"{root}/{_MANIFEST}", json.dumps(known, sort_keys=True))
+    return {t: known[t]["rows"] for t in wanted}, stale
+
+
 def load_star_from_csv(spark: SparkSession, folder: str, root: str) -> dict[str, int]:
     """The batch job: raw CSV folder in, eight declared tables out, row counts back."""
     return load_star(spark, raw_folder(spark, folder), root, declared=True)

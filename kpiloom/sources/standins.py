@@ -135,9 +135,23 @@ def raw_employees(customer: DataFrame, orders: DataFrame, nation: DataFrame) ->
     )
 
 
+GIVEN_TABLES = ("orders", "lineitem", "customer", "nation", "region", "part")
+# the given tables each raw frame is made of
+RAW_TABLES = {
+    "orders": ("orders", "lineitem"),
+    "items": ("lineitem",),
+    "payments": ("orders", "lineitem"),
+    "reviews": ("lineitem",),
+    "customers": ("customer", "nation"),
+    "regions": ("nation", "region"),
+    "products": ("part",),
+    "translation": ("part",),
+    "employees": ("customer", "orders", "nation"),
+}
+
+
 def raw_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    names = ("orders", "lineitem", "customer", "nation", "region", "part")
-    t = {name: given(spark, sf_dir, name) for name in names}
+    t = {name: given(spark, sf_dir, name) for name in GIVEN_TABLES}
     return {
         "orders": raw_orders(t["orders"], t["lineitem"]),
         "items": raw_items(t["lineitem"]),

@@ -68,6 +68,37 @@ def test_star_from_a_folder_of_files(raw, spark, tmp_path):
         assert sorted(map(str, stored.collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_loaded_star_is_attached_and_only_stale_tables_are_loaded(raw, spark, tmp_path):
+    root, source = str(tmp_path / "star"), tmp_path / "in"
+    for name, frame in raw.items():
+        frame.write.parquet(str(source / name))
+
+    def attach(code=""):
+        frames = {name: spark.read.parquet(str(source / name)) for name in raw}
+        marks = {name: versions.source_mark(spark, [str(source / name)]) for name in raw}
+        return sinks.attach_star(spark, frames, root, marks, code)
+
+    counts, loaded = attach()
+    assert set(loaded) == set(sinks.STAR_SOURCES) == set(counts) and counts["fact_orders"] == 5
+    before = {t: versions.current(spark, f"{root}/{t}") for t in counts}
+    assert attach() == (counts, [])
+    raw["products"].limit(1).write.mode("overwrite").parquet(str(source / "products"))
+    again, loaded = attach()
+    assert loaded == ["dim_product"] and again["dim_product"] == 1
+    raw["orders"].where("order_id <> 'o1'").write.mode("overwrite").parquet(str(source / "orders"))
+    again, loaded = attach()
+    assert loaded == ["dim_date", "fact_orders", "fact_employees"] and again["fact_orders"] == 4
+    after = {t: versions.current(spark, f"{root}/{t}") for t in counts}
+    assert {t for t in counts if before[t] != after[t]} == {"dim_product", *loaded}
+    assert attach("other code")[1] == list(sinks.STAR_SOURCES)
+    # every table is made of what a whole load reads
+    frames = {name: spark.read.parquet(str(source / name)) for name in raw}
+    direct = star.build_star(spark, frames, number_ids=True)
+    for name in counts:
+        stored = star.conform(versions.read(spark, f"{root}/{name}"), name)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, star.conform(direct[name], name).collect()))
+
+
 def test_stored_orders_follow_the_calendar(raw, spark, tmp_path):
     root = str(tmp_path / "star")
     counts = sinks.load_star(spark, raw, root)
