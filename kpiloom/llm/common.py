@@ -219,17 +219,20 @@ def tokens(
     starts, ends = edges[:-1], edges[1:]
     keep = c[starts] != 0
     starts, ends = starts[keep], ends[keep]
-    up, down = _powers_to(n)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    def hashed(upto):
-        return mix((sums[upto] - sums[starts]) * down[starts])
-
+    hashed = run_hashes(data, starts)
     heads = [hashed(np.minimum(starts + k, ends)) for k in prefixes]
     return hashed(ends), starts, ends, np.searchsorted(starts, offsets), *heads
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray):
+    """A function from ends to the 64-bit hashes of the runs from ``starts``. Different runs may share one."""
+    up, down = _powers_to(len(data))
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return lambda upto: mix((sums[upto] - sums[starts]) * down[starts])
+
+
 def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n consecutive tokens within one text, and the index of each gram's first token."""
     count = len(hashes) - n + 1
@@ -281,6 +284,19 @@ def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return found.indices.to_numpy(), found.dictionary
 
 
+class Growing:
+    """An array that is appended to."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        while self.size + len(more) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        self.data[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for each range in turn."""
     total = int(size.sum())

@@ -26,18 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import distinct_runs, ranges, text_parts
+from kpiloom.llm.common import Growing, distinct_runs, ranges, text_parts
 from kpiloom.session import ship_package
 from kpiloom.sources.extracts import written
 
 _LISTS = {
     "doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(),
-    "digest": pa.string(), "entries": pa.int32(), "unit": pa.int32(), "times": pa.int32(), "ends": pa.int32(),
-    "link": pa.int32(), "pair_a": pa.int32(), "pair_b": pa.int32(), "pair_n": pa.int64(), "same_a": pa.int32(),
-    "same_n": pa.int64(),
+    "digest": pa.string(), "n_units": pa.int64(), "pair_a": pa.int32(), "pair_b": pa.int32(), "pair_n": pa.int64(),
+    "same_a": pa.int32(), "same_n": pa.int64(),
 }
+# long runs of small numbers: 32-bit, compressed, as they are written and shuffled
+_RUNS = ("unit", "links_of", "link")
 _NAMES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
-_CHUNKS = ", ".join(["chunk long", *(f"{k} array<{_NAMES[t]}>" for k, t in _LISTS.items())])
+_CHUNKS = ", ".join(["chunk long", *(f"{k} array<{_NAMES[t]}>" for k, t in _LISTS.items()), *(f"{k} binary" for k in _RUNS)])
+_BLANK_SIGN = "\u2581".encode()
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -53,7 +55,7 @@ class AlignParams:
     a: str | None = None
     b: str | None = None
     chunk: int = 1 << 22
-    cache: int = 160
+    cache: int = 96
 
     def paths(self) -> tuple[str, str]:
         if self.a is not None and self.b is not None:
@@ -93,19 +95,6 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[: len(data)])
 
 
-class _Growing:
-    """An array that is appended to."""
-
-    def __init__(self, kind: type):
-        self.data, self.size = np.empty(1 << 12, kind), 0
-
-    def add(self, more: np.ndarray) -> None:
-        while self.size + len(more) > len(self.data):
-            self.data = np.concatenate([self.data, np.empty_like(self.data)])
-        self.data[self.size : self.size + len(more)] = more
-        self.size += len(more)
-
-
 class Aligner:
     """Both tokenizers, and what is known of units: token counts, groups as text, links."""
 
@@ -133,8 +122,13 @@ class Aligner:
         # fallback bytes first, so that an ordinary piece takes precedence
         by_bytes = {x: i for i, x in sorted(enumerate(b_bytes), key=lambda p: not single[p[0]])}
         self.same = np.array([by_bytes.get(x, -1) if x else -1 for x in a_bytes], np.int64)
-        self.a_size = np.array([len(x) for x in a_bytes], np.int64)
-        self.b_size = np.array([len(x) for x in b_bytes], np.int64)
+        self.a_size, self.b_size = (np.array([len(x) for x in all_bytes], np.int64) for all_bytes in (a_bytes, b_bytes))
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(x), np.uint8) for x in (a_bytes, b_bytes))
+        self.a_at, self.b_at = (np.cumsum(x) - x for x in (self.a_size, self.b_size))
+        # every id in decimals with a byte after it for what separates it from the next
+        names = [b"%d;" % i for i in range(max(len(a_bytes), len(b_bytes)))]
+        self.name_size = np.array([len(x) for x in names], np.int64)
+        self.name_at, self.name_flat = np.cumsum(self.name_size) - self.name_size, np.frombuffer(b"".join(names), np.uint8)
         self.blank = pieces.index("▁") if "▁" in pieces else -1
         self.cuts = self._may_cut(pieces)
         self.most = params.cache << 20
@@ -159,8 +153,8 @@ class Aligner:
         self.row: dict[bytes, int] = {}
         self.text: list[bytes] = []
         self.held = 0
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.at = (_Growing(np.int64) for _ in range(5))
-        self.link_a, self.link_b = _Growing(np.int32), _Growing(np.int32)
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.at = (Growing(np.int64) for _ in range(5))
+        self.link_a, self.link_b = Growing(np.int32), Growing(np.int32)
 
     def _encode_b(self, units: list[str]) -> list[list[int]]:
         """Ids of units, which begin with a blank that the model adds itself, or with a line break."""
@@ -169,20 +163,59 @@ class Aligner:
             ([self.blank] if len(u) == 1 else ids) if u[0] == " " else ids[1:] for u, ids in zip(units, found, strict=True)
         ]
 
+    def _ids_alone(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids and counts by unit for A and B; a unit whose bytes either side does not give back has none."""
+        texts = [u.decode() for u in units]
+        found = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self._encode_b(texts)
+        good = [
+            b"".join([self.a_bytes[i] for i in x]) == u and b"".join([self.b_bytes[i] for i in y]) == u
+            for u, x, y in zip(units, *found, strict=True)
+        ]
+        out = []
+        for ids in found:
+            ids = [x if ok else [] for x, ok in zip(ids, good, strict=True)]
+            out += [np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)]
+        return tuple(out)
+
+    def _ids_joined(self, units: list[bytes], run: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """The same for units that may stand behind one another, encoded many at a time; None if bytes are not given back."""
+        if not units:
+            return (np.empty(0, np.int64),) * 4
+        texts = [b"".join(units[k : k + run]).decode() for k in range(0, len(units), run)]
+        data = np.frombuffer(b"".join(units), np.uint8)
+        ends = np.cumsum([len(u) for u in units])
+        out = []
+        found = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self._encode_b(texts)
+        sides = (self.a_flat, self.a_at, self.a_size), (self.b_flat, self.b_at, self.b_size)
+        for ids, (flat, at, sizes) in zip(found, sides, strict=True):
+            ids = np.array([i for x in ids for i in x], np.int64)
+            size = sizes[ids]
+            upto = np.cumsum(size)
+            if upto[-1] != len(data) or not np.array_equal(flat[ranges(at[ids], size)], data):
+                return None
+            last = np.searchsorted(upto, ends)
+            if not np.array_equal(upto[last], ends):
+                return None
+            out += [ids, np.diff(np.concatenate([[0], last + 1]))]
+        return tuple(out)
+
+    def _ids(self, units: list[bytes]) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The units in the order of their ids."""
+        joined, alone = [], []
+        for u in units:
+            (joined if self.cuts and _ends_solid(u) else alone).append(u)
+        found = self._ids_joined(joined)
+        if found is None:
+            joined, alone, found = [], units, self._ids_joined([])
+        if alone:
+            found = tuple(np.concatenate(x) for x in zip(found, self._ids_alone(alone), strict=True))
+        return joined + alone, found
+
     def learn(self, units: list[bytes]) -> None:
         """Encode and align units that are not known."""
-        texts = [u.decode() for u in units]
         first = len(self.text)
-        flat_a, ends_a = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
-        flat_b, ends_b = _flat(self._encode_b(texts))
+        units, (flat_a, n_a, flat_b, n_b) = self._ids(units)
         size_a, size_b = self.a_size[flat_a], self.b_size[flat_b]
-        good = np.array([
-            b"".join([self.a_bytes[i] for i in flat_a[a0:a1]]) == u and b"".join([self.b_bytes[i] for i in flat_b[b0:b1]]) == u
-            for u, a0, a1, b0, b1 in zip(units, *_pairs(ends_a), *_pairs(ends_b), strict=True)
-        ], bool)
-        keep_a, keep_b = np.repeat(good, np.diff(ends_a)), np.repeat(good, np.diff(ends_b))
-        flat_a, size_a, flat_b, size_b = flat_a[keep_a], size_a[keep_a], flat_b[keep_b], size_b[keep_b]
-        n_a, n_b = np.where(good, np.diff(ends_a), 0), np.where(good, np.diff(ends_b), 0)
         # all units in a row: the bytes agree, so ends of units are ends of both
         end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
         both = end_a[np.isin(end_a, end_b, assume_unique=True)]
@@ -190,18 +223,30 @@ class Aligner:
         low = np.searchsorted(end_b, end_a - size_a, side="right")
         high = np.searchsorted(end_b - size_b, end_a, side="left")
         links = high - low
-        upto_a, upto_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+        upto_a = np.concatenate([[0], np.cumsum(n_a)])
         linked = np.concatenate([[0], np.cumsum(links)])[upto_a]
-        last = np.concatenate([[0], group_a + 1])[upto_a]
+        grouped = np.concatenate([[0], group_a + 1])[upto_a]
         self.at.add(linked[:-1] + self.link_a.size)
         self.link_a.add(np.repeat(flat_a, links))
         self.link_b.add(flat_b[ranges(low, links)])
-        for held, values in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, np.diff(last)), (self.n_links, np.diff(linked))):
+        for held, values in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, np.diff(grouped)), (self.n_links, np.diff(linked))):
             held.add(values)
-        joined = _group_texts(flat_a, group_a, flat_b, group_b, len(both))
-        self.text += [b";".join(joined[x:y]) for x, y in zip(last[:-1], last[1:], strict=True)]
+        text, upto = self._group_text(flat_a, group_a, flat_b, group_b)
+        bounds = upto[upto_a + np.concatenate([[0], np.cumsum(n_b)])].tolist()
+        self.text += [text[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
         self.row.update(zip(units, range(first, first + len(units)), strict=True))
-        self.held += sum(map(len, units)) + sum(map(len, self.text[first:])) + 8 * int(links.sum()) + 200 * len(units)
+        self.held += sum(map(len, units)) + len(text) + 8 * int(links.sum()) + 200 * len(units)
+
+    def _group_text(self, flat_a: np.ndarray, group_a: np.ndarray, flat_b: np.ndarray, group_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Groups as ``a1,a2|b1,b2;`` one after the other, and where each token's part begins."""
+        side = np.concatenate([2 * group_a, 2 * group_b + 1])
+        order = np.argsort(side, kind="stable")
+        side, ids = side[order], np.concatenate([flat_a, flat_b])[order]
+        upto = np.concatenate([[0], np.cumsum(self.name_size[ids])])
+        out = self.name_flat[ranges(self.name_at[ids], self.name_size[ids])]
+        more = np.append(side[1:] == side[:-1], False)[: len(side)]
+        out[upto[1:] - 1] = np.where(more, ord(","), np.where(side % 2 == 0, ord("|"), ord(";")))
+        return out.tobytes(), upto
 
     def rows(self, units: list[bytes]) -> np.ndarray:
         """The row of each distinct unit; unknown ones are learned."""
@@ -213,30 +258,18 @@ class Aligner:
         return np.array([self.row[u] for u in units], np.int64)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    return np.array([i for x in lists for i in x], np.int64), ends
-
-
-def _pairs(ends: np.ndarray) -> tuple[list[int], list[int]]:
-    return ends[:-1].tolist(), ends[1:].tolist()
-
-
-def _group_texts(flat_a: np.ndarray, group_a: np.ndarray, flat_b: np.ndarray, group_b: np.ndarray, count: int) -> list[bytes]:
-    """Each group as ``a1,a2|b1,b2``."""
-    sides = []
-    for flat, group in ((flat_a, group_a), (flat_b, group_b)):
-        words = [b"%d" % i for i in flat.tolist()]
-        bounds = np.searchsorted(group, np.arange(count + 1)).tolist()
-        sides.append([words[x] if y == x + 1 else b",".join(words[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
-    return [x + b"|" + y for x, y in zip(*sides, strict=True)]
+def _ends_solid(unit: bytes) -> bool:
+    """Whether another unit may follow: the last character is no white space, and none stands for a blank."""
+    if 0x20 < unit[-1] < 0x7F:
+        return _BLANK_SIGN not in unit
+    return unit[-1] >= 0x80 and not unit.decode()[-1].isspace() and unit.decode()[-1] != "\u180e" and _BLANK_SIGN not in unit
 
 
 _aligners: dict[AlignParams, Aligner] = {}
 
 
 def _aligner(params: AlignParams) -> Aligner:
-    """One aligner for each worker process, kept between its tasks."""
+    """One aligner for each worker process, whose tokenizers are kept between its tasks."""
     if params not in _aligners:
         _aligners[params] = Aligner(params)
     return _aligners[params]
@@ -259,7 +292,7 @@ def _chunk(aligner: Aligner, data: np.ndarray, offsets: np.ndarray, counted: np.
     row = aligner.rows(words.to_pylist()) if len(words) else np.empty(0, np.int64)
     first = np.searchsorted(starts, bounds)
 
-    def known(held: _Growing) -> np.ndarray:
+    def known(held: Growing) -> np.ndarray:
         return held.data[: held.size][row]
 
     n_a, n_b, n_groups, n_links = (known(x) for x in (aligner.n_a, aligner.n_b, aligner.n_groups, aligner.n_links))
@@ -269,19 +302,17 @@ def _chunk(aligner: Aligner, data: np.ndarray, offsets: np.ndarray, counted: np.
         out[name][full[good]] = _sums(values[code], first)[good]
     digest = [""] * count
     for k in np.flatnonzero(good).tolist():
-        state, mark = hashlib.sha256(), b""
-        for x in range(int(first[k]), int(first[k + 1]), 1 << 16):
-            part = row[code[x : min(x + (1 << 16), int(first[k + 1]))]].tolist()
-            state.update(mark + b";".join([aligner.text[r] for r in part]))
-            mark = b";"
+        state, stop = hashlib.sha256(), int(first[k + 1])
+        for x in range(int(first[k]), stop, 1 << 16):
+            part = b"".join([aligner.text[r] for r in row[code[x : min(x + (1 << 16), stop)]].tolist()])
+            state.update(part if x + (1 << 16) < stop else part[:-1])
         digest[full[k]] = state.hexdigest()
 
-    # each document's units with how often, documents without tokens left out
-    owner = np.repeat(full, np.diff(first))
-    used = np.repeat(good, np.diff(first))
-    width = max(len(words), 1)
-    entry, times = np.unique(owner[used] * width + code[used], return_counts=True)
-    total = np.bincount(code[used], minlength=len(words)).astype(np.int64)
+    # each document's units, documents without tokens left out
+    sizes = np.zeros(count, np.int64)
+    sizes[full[good]] = np.diff(first)[good]
+    unit = code[np.repeat(good, np.diff(first))]
+    total = np.bincount(unit, minlength=len(words)).astype(np.int64)
     place = ranges(known(aligner.at), n_links)
     link_a, link_b = aligner.link_a.data[place].astype(np.int64), aligner.link_b.data[place].astype(np.int64)
     weight = np.repeat(total, n_links)
@@ -294,8 +325,7 @@ def _chunk(aligner: Aligner, data: np.ndarray, offsets: np.ndarray, counted: np.
     pair_n = np.zeros(len(pair), np.int64)
     np.add.at(pair_n, inverse, weight[~same])
     return out | {
-        "digest": digest, "entries": np.searchsorted(entry // width, np.arange(count + 1)), "unit": entry % width, "times": times,
-        "ends": np.concatenate([[0], np.cumsum(n_links)]), "link": link, "pair_a": pair >> 32, "pair_b": pair & 0xFFFFFFFF,
+        "digest": digest, "n_units": sizes, "unit": unit, "links_of": n_links, "link": link, "pair_a": pair >> 32, "pair_b": pair & 0xFFFFFFFF,
         "pair_n": pair_n, "same_a": None, "same_n": None,
     }
 
@@ -308,18 +338,30 @@ def _batch(chunk: int | None, row: dict[str, object]) -> pa.RecordBatch:
         flat = values if isinstance(values, pa.Array) else pa.array(values, kind)
         return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind))
 
+    runs = [pa.array([None if row[k] is None else _packed(row[k])], pa.binary()) for k in _RUNS]
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), *[column(k, t) for k, t in _LISTS.items()]], ["chunk", *_LISTS]
+        [pa.array([chunk], pa.int64()), *[column(k, t) for k, t in _LISTS.items()], *runs], ["chunk", *_LISTS, *_RUNS]
     )
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit numbers, their count before them, compressed."""
+    raw = values.astype("<i4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), "<i4") if size else np.empty(0, "<i4")
+
+
 def align(docs: DataFrame, params: AlignParams = AlignParams()) -> DataFrame:
     """The alignment in chunks, written to the shared folder; input of ``pair_counts`` and ``per_document``.
 
-    A row holds some documents: their counts and digests, the units of each (entries), the
-    links of each unit (a place among the row's pairs, or -1 - id of A for a link along the
-    identity map) and the distinct other pairs with their counts. One more row for each
-    task, without a chunk, holds the task's counts along the identity map.
+    A row holds some documents: their counts and digests, their units one after the other,
+    the links of each distinct unit (a place among the row's pairs, or -1 - id of A for a
+    link along the identity map) and the distinct other pairs with their counts. One more
+    row for each task, without a chunk, holds the task's counts along the identity map.
     """
     ship_package(docs.sparkSession)
 
@@ -332,9 +374,11 @@ def align(docs: DataFrame, params: AlignParams = AlignParams()) -> DataFrame:
                 found = _chunk(aligner, data, offsets, counted)
                 yield _batch(chunk, found | {"doc_id": batch.column(0).slice(row, len(offsets) - 1)})
                 chunk += 1
+        aligner.clear()  # an idle worker holds the tokenizers only
+        pa.default_memory_pool().release_unused()
         at = np.flatnonzero(counted)
         if len(at):
-            yield _batch(None, dict.fromkeys(_LISTS) | {"same_a": at, "same_n": counted[at]})
+            yield _batch(None, dict.fromkeys([*_LISTS, *_RUNS]) | {"same_a": at, "same_n": counted[at]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _CHUNKS)
     return written(docs.sparkSession, "token-alignment", rows)
@@ -398,20 +442,20 @@ def per_document(aligned: DataFrame, params: AlignParams = AlignParams()) -> Dat
         place, n = counts.column("place").to_numpy(), counts.column("n").to_numpy()
         count, top = (np.zeros(len(values("pair_a")), k) for k in (np.int64, bool))
         count[place], top[place] = n, n == best[counts.column("b").to_numpy()]
-        link, ends = values("link"), values("ends")
+        unit, links_of, link = (_unpacked(chunk.column(k)[0].as_py()) for k in _RUNS)
         along = link < 0
         at = np.where(along, -1 - link, link)
         each, high = np.empty(len(link), np.int64), np.empty(len(link), bool)
         each[along], high[along] = same[at[along]], same_best[at[along]]
         each[~along], high[~along] = count[at[~along]], top[at[~along]]
-        unit, times, entries = values("unit"), values("times").astype(np.int64), values("entries")
+        ends, entries = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (links_of, values("n_units")))
         columns = {k: whole(k) for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
-        columns["n_best"] = pa.array(_sums(_sums(high, ends)[unit] * times, entries))
-        columns["count_sum"] = pa.array(_sums(_sums(each, ends)[unit] * times, entries))
+        columns["n_best"] = pa.array(_sums(_sums(high, ends)[unit], entries))
+        columns["count_sum"] = pa.array(_sums(_sums(each, ends)[unit], entries))
         columns["groups_sha256"] = whole("digest")
         return pa.table(columns)
 
-    kept = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "entries", "unit", "times", "ends", "link", "pair_a"]
+    kept = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "n_units", "pair_a", *_RUNS]
     return chunks.select(*kept).groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(finish, _RESULT)
 
 
