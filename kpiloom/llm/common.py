@@ -102,6 +102,7 @@ def text_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_PIECE = 1 << 20
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -113,13 +114,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"]
+    """Powers of the base and of its inverse; only tables of at most ``_PIECE`` entries or twice that are kept."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"][:n], _powers["down"]
+    size = 1 << int(n - 1).bit_length()
+    found = {}
+    for key, base in (("up", _BASE), ("down", _INVERSE)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        found[key] = np.multiply.accumulate(steps)
+    if size <= 2 * _PIECE:
+        _powers.update(found)
+    return found["up"][:n], found["down"]
 
 
 def classes(spaces: bytes = b" \t\n\x0b\x0c\r", symbols: str = "word") -> np.ndarray:
@@ -219,18 +225,28 @@ def tokens(
     starts, ends = edges[:-1], edges[1:]
     keep = c[starts] != 0
     starts, ends = starts[keep], ends[keep]
-    hashed = run_hashes(data, starts)
-    heads = [hashed(np.minimum(starts + k, ends)) for k in prefixes]
-    return hashed(ends), starts, ends, np.searchsorted(starts, offsets), *heads
-
-
-def run_hashes(data: np.ndarray, starts: np.ndarray):
-    """A function from ends to the 64-bit hashes of the runs from ``starts``. Different runs may share one."""
-    up, down = _powers_to(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    return lambda upto: mix((sums[upto] - sums[starts]) * down[starts])
+    hashes, *heads = run_hashes(data, starts, [ends, *(np.minimum(starts + k, ends) for k in prefixes)])
+    return hashes, starts, ends, np.searchsorted(starts, offsets), *heads
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], piece: int = _PIECE) -> list[np.ndarray]:
+    """64-bit hashes of the runs from ``starts`` to each of the arrays of ends. Different runs may share one.
+
+    Runs are taken in pieces of about ``piece`` bytes, so a long text needs no more memory
+    than its longest run; a hash does not depend on where its run lies.
+    """
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
+    bounds = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), piece)), len(starts))).tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        first, last = int(starts[a]), int(max(e[a:b].max() for e in ends))
+        up, down = _powers_to(last - first)
+        sums = np.empty(last - first + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        at = starts[a:b] - first
+        for hashes, e in zip(out, ends, strict=True):
+            hashes[a:b] = mix((sums[e[a:b] - first] - sums[at]) * down[at])
+    return out
 
 
 def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import SPACED, distinct_runs, ranges, spans, text_parts, unused
+from kpiloom.llm.common import SPACED, Growing, distinct_runs, ranges, run_hashes, spans, text_parts, unused
 from kpiloom.session import ship_package
 from kpiloom.sources.extracts import written
 
@@ -57,14 +57,14 @@ class PackingParams:
 
     ``bucket`` is the number of rows numbered by one task; it decides which of the equal
     places a piece gets, not how many sequences there are. ``cache`` bounds the words whose
-    ids a Python worker remembers; one run of texts may hold more.
+    ids a Python worker remembers.
     """
 
     length: int = 4096
     end: int = 2
     tokenizer: str | None = None
     bucket: int = 200_000
-    cache: int = 500_000
+    cache: int = 1_000_000
 
     def path(self) -> str:
         if self.tokenizer is not None:
@@ -109,14 +109,37 @@ class WordTokenizer:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.at = np.empty(1 << 10, np.int64)  # place of each word's ids
-        self.sizes = np.empty(1 << 10, np.int64)
-        self.ids = np.empty(1 << 16, np.int32)
-        self.used = 0
-
-    def learn(self, words: list[bytes]) -> None:
-        """Add distinct unknown words."""
+        """Forget all words; each is kept as its hash, its bytes and its ids."""
+        self.count = 0
+        self.keys = np.empty(self.most, np.uint64)
+        self.word_at, self.word_size = np.empty(self.most, np.int64), np.empty(self.most, np.int32)
+        self.at, self.sizes = np.empty(self.most, np.int64), np.empty(self.most, np.int32)
+        self.bytes, self.ids = Growing(np.uint8), Growing(np.int32)
+        # open addressing at a load of a half at most: 1 + the word's row, or 0
+        self.slots = np.zeros(1 << (2 * self.most - 1).bit_length(), np.int32)
+
+    def _slot(self, hashes: np.ndarray, probe: int) -> np.ndarray:
+        return ((hashes + np.uint64(probe * (2 * probe + 1))) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Row of each distinct word, -1 if it isn't known: of equal hashes the one with equal bytes."""
+        row = np.full(len(hashes), -1, np.int64)
+        todo, probe = np.arange(len(hashes)), 0
+        while len(todo):
+            seen = self.slots[self._slot(hashes[todo], probe)]
+            used = seen > 0
+            todo, seen = todo[used], seen[used].astype(np.int64) - 1
+            hit = (self.keys[seen] == hashes[todo]) & (self.word_size[seen] == sizes[todo])
+            at, known, size = np.flatnonzero(hit), seen[hit], sizes[todo[hit]]
+            if len(at):
+                differ = data[ranges(starts[todo[at]], size)] != self.bytes.data[ranges(self.word_at[known], size)]
+                hit[at] = np.add.reduceat(differ, np.cumsum(size) - size) == 0
+            row[todo[hit]] = seen[hit]
+            todo, probe = todo[~hit], probe + 1
+        return row
+
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Add distinct unknown words; there must be room for them."""
         texts = [w.decode() for w in words]
         at, sizes = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
         split = [_PLAIN.match(t) if self.known_split else None for t in texts]
@@ -124,15 +147,20 @@ class WordTokenizer:
         flat = self._easy([split[k] for k in easy], easy, at, sizes)
         rest = [k for k, m in enumerate(split) if not m]
         flat = self._others([texts[k] for k in rest], rest, flat, at, sizes)
-        count = len(self.row)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while count + len(words) > len(self.at):
-            self.at, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.sizes))
-        self.at[count : count + len(words)], self.sizes[count : count + len(words)] = at + self.used, sizes
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.row.update(zip(words, range(count, count + len(words)), strict=True))
+        rows = slice(self.count, self.count + len(words))
+        lengths = np.array([len(w) for w in words], np.int64)
+        self.keys[rows], self.word_size[rows] = hashes, lengths
+        self.word_at[rows] = self.bytes.size + np.cumsum(lengths) - lengths
+        self.at[rows], self.sizes[rows] = at + self.ids.size, sizes
+        self.bytes.add(np.frombuffer(b"".join(words), np.uint8))
+        self.ids.add(flat)
+        todo, probe = np.arange(self.count, self.count + len(words)), 0
+        while len(todo):
+            slot = self._slot(self.keys[todo], probe)
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = todo[free] + 1
+            todo, probe = todo[self.slots[slot] != todo + 1], probe + 1
+        self.count += len(words)
 
     def _easy(self, matches: list, rows: list[int], at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Small letters and a run of signs after them: two parts, each ending with a last token."""
@@ -172,14 +200,35 @@ class WordTokenizer:
                 base += len(ids)
         return np.concatenate(out)
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """The row of each distinct word; unknown ones are learned."""
-        if len(self.row) + len(words) > self.most:
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """The row of each distinct word; unknown ones are learned. At most ``cache`` words at a time."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        (hashes,) = run_hashes(data[: offsets[-1]], starts, [offsets[1:]])
+        row = self.find(hashes, data, starts, sizes)
+        if self.count + (row < 0).sum() > self.most:
             self.clear()
-        fresh = [w for w in words if w not in self.row]
-        if fresh:
-            self.learn(fresh)
-        return np.array([self.row[w] for w in words], np.int64)
+            row[:] = -1
+        fresh = np.flatnonzero(row < 0)
+        if len(fresh):
+            row[fresh] = np.arange(self.count, self.count + len(fresh))
+            self.learn(words.take(pa.array(fresh)).to_pylist(), hashes[fresh])
+        return row
+
+    def _ids_of(self, code: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in turn, and how many each has."""
+        if not len(code):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        if len(words) > self.most:  # only a long text of unlike words
+            halves = []
+            for part in (code[: len(code) // 2], code[len(code) // 2 :]):
+                used, own = np.unique(part, return_inverse=True)
+                halves.append(self._ids_of(own, pa.array(words.take(pa.array(used)).to_pylist(), pa.large_binary())))
+            return tuple(np.concatenate(x) for x in zip(*halves, strict=True))
+        row = self.rows(words)
+        sizes = self.sizes[row][code].astype(np.int64)
+        return self.ids.data[ranges(self.at[row][code], sizes)], sizes
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text of an Arrow column, in order."""
@@ -189,9 +238,8 @@ class WordTokenizer:
             lower[capital] += 32
             starts, ends, first = spans(lower, offsets, SPACED)
             code, words = distinct_runs(lower, starts, ends)
-            row = self.rows(words.to_pylist()) if len(words) else np.empty(0, np.int64)
-            sizes = self.sizes[row][code]
-            ids, upto = self.ids[ranges(self.at[row][code], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+            ids, sizes = self._ids_of(code, words)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
             special = np.zeros(len(offsets) - 1, bool)
             raw = data.tobytes()
             if b"<|" in raw:
