@@ -159,3 +159,19 @@ def test_serial_ids_do_not_depend_on_the_buckets(spark, buckets):
     df = spark.range(3_000).selectExpr("(id * 7919) % 100003 AS k")
     got = {r.k: r.i for r in keys.serial_id(df, "i", "k", buckets).collect()}
     assert got == {k: n for n, k in enumerate(sorted(got), 1)}
+
+
+def test_keep_first_folds_on_the_map_side_and_prunes(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 AS k", "id AS o", "id * 2 AS v", "repeat('x', 50) AS wide").write.parquet(str(tmp_path / "t"))
+    first = keys.keep_first(spark.read.parquet(str(tmp_path / "t")), "k", ["o"])
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    whole = plan(first)
+    assert whole.index("partial_min") > whole.index("Exchange hashpartitioning(k")  # the plan is printed from the end
+    assert whole.count("partial_min(") == 2 and "min_by" not in whole
+    for wanted, read in ((["k"], "struct<k:bigint>"), (["k", "o"], "struct<k:bigint,o:bigint>")):
+        assert f"ReadSchema: {read}" in plan(first.select(*wanted))
+    left = spark.range(20).withColumnRenamed("id", "k")
+    assert "Join" not in plan(left.join(first, "k", "left").select("k"))
