@@ -10,6 +10,7 @@ differ in the rows they learn from, as the folds of a cross-validation do.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -272,6 +273,40 @@ def merged_sums(
     return out.reshape(shape)
 
 
+def _grown_alone(
+    state: DataFrame, first: int, columns: Sequence[np.ndarray], ratio: float, models: int, params: BoostingParams
+) -> tuple[DataFrame, list[Trees]]:
+    """Some rounds of a table whose one partition needs no merging: its task's sums are already whole.
+
+    The same steps on the same sums as the level jobs, so the same trees, without their
+    waiting times, which are most of a small table's fit.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        parts = [_Block(batch, k, models) for batch in held for k in range(len(batch))]
+        grown = []
+        for t, chosen in enumerate(columns, first):
+            trees = Trees.empty(models, params.depth)
+            for level in range(params.depth if parts else 0):
+                sums = sum(level_sums(block, trees, level, t, chosen, ratio, params) for block in parts)
+                if not split_level(trees, sums, level, chosen, params):
+                    break
+            for block in parts:
+                block.margin = advance(block, trees, params.depth)
+            grown.append(trees)
+        told, after = pickle.dumps(grown), iter(parts)
+        for batch in held:
+            margins = [next(after).margin.tobytes() for _ in range(len(batch))]
+            out = batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margins, pa.binary()))
+            yield out.append_column("grown", pa.array([told] + [None] * (len(batch) - 1) if told else [None] * len(batch), pa.binary()))
+            told = None
+
+    after = written(state.sparkSession, "boosting-state", state.mapInArrow(run, f"{_BLOCKS}, grown binary"))
+    found = after.where("grown IS NOT NULL").select("grown").first()
+    rounds = pickle.loads(found["grown"]) if found else [Trees.empty(models, params.depth) for _ in columns]
+    return after.drop("grown").coalesce(1), rounds
+
+
 @dataclass
 class Boosted:
     """Fitted models: a tree a round for each, and the cuts their bins stand for."""
@@ -347,7 +382,8 @@ def fit(rows: DataFrame, features: Sequence[str], models: int, ratio: float, par
     ``members`` (bit m is set if model m learns from the row) and the features as numbers;
     a null feature is missing, a positive row weighs ``ratio``. The driver holds one
     level's sums and the trees; rows stay in blocks on the executors. Every ``restart``
-    trees the margins are written, which ends the lineage.
+    trees the margins are written, which ends the lineage. A table of one partition (four
+    blocks at most) is grown ``restart`` trees a job.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -356,7 +392,12 @@ def fit(rows: DataFrame, features: Sequence[str], models: int, ratio: float, par
     parts = state.rdd.getNumPartitions()
     rounds: list[Trees] = []
     kept: list[DataFrame] = []
-    for t in range(params.trees):
+    while parts == 1 and len(rounds) < params.trees:
+        these = range(len(rounds), min(len(rounds) + params.restart, params.trees))
+        columns = [columns_of(t, len(features), params) for t in these]
+        state, grown = _grown_alone(state.coalesce(1), these.start, columns, ratio, models, params)
+        rounds += grown
+    for t in range(len(rounds), params.trees):
         if rounds:
             state = _advanced(state, rounds[-1], models, params.depth)
             if t % params.restart == 0:

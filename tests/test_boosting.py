@@ -92,6 +92,10 @@ def test_dealing_and_merging_do_not_matter(spark):
     other_params = boosting.BoostingParams(**{**PARAMS.__dict__, "block": 11, "parts": 0, "restart": 2})
     other = boosting.fit(frame(spark, data, 5), FEATURES, 2, 1.0, other_params).nodes(spark).collect()
     assert one == other and len({r.tree for r in one}) == PARAMS.trees
+    # a table of one partition and one of a few blocks in it, which merge nothing
+    for block in (1 << 16, 130):
+        alone = boosting.BoostingParams(**{**PARAMS.__dict__, "block": block})
+        assert boosting.fit(frame(spark, data, 3), FEATURES, 2, 1.0, alone).nodes(spark).collect() == one
 
 
 def test_models_grown_together_equal_models_grown_alone(spark):
