@@ -155,8 +155,10 @@ def test_create_tables_is_idempotent(spark, tmp_path):
     assert place.endswith(str(tmp_path / "wh" / "database"))
     table = spark.table("kpiloom_test.fact_orders")
     assert table.schema["price"].dataType.simpleString() == "decimal(10,2)"
+    spark.createDataFrame([(None,) * len(table.schema)], table.schema).write.insertInto("kpiloom_test.fact_orders")
     sinks.drop_tables(spark, "kpiloom_test")
-    assert not spark.catalog.databaseExists("kpiloom_test") and (tmp_path / "wh" / "fact_orders").exists()
+    assert not spark.catalog.databaseExists("kpiloom_test")
+    assert spark.read.parquet(str(tmp_path / "wh" / "fact_orders")).count() == 1
 
 
 def test_metrics_json(spark, tmp_path):
