@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,10 +230,15 @@ def fold_auc(
 ) -> DataFrame:
     """Per-fold ROC-AUC: ``fold, auc`` of the k-th model on the k-th fold."""
     folded = rows.withColumn("fold", fold_of(F.col("rn"), folds))
-    results = []
-    for k, model in enumerate(models):
-        scored = score(model, folded.where(F.col("fold") == k), ["target"])
-        results.append((k, exact_auc(scored, "probability", "target").first()["auc"]))
+
+    @inheritable_thread_target(spark)
+    def one(k: int) -> tuple[int, float]:
+        scored = score(models[k], folded.where(F.col("fold") == k), ["target"])
+        return k, exact_auc(scored, "probability", "target").first()["auc"]
+
+    # each fold's scoring is jobs of its own, which share the cluster
+    with ThreadPool(max(len(models), 1)) as pool:
+        results = pool.map(one, range(len(models)))
     return spark.createDataFrame(results, "fold INT, auc DOUBLE")
 
 

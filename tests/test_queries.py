@@ -11,8 +11,6 @@ from kpiloom.catalog.registry import workspace
 from kpiloom.plans import kpi
 from tools.compare import connect, differences, normal
 
-
-
 NAMES = list(queries())
 
 
