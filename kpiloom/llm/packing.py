@@ -64,7 +64,7 @@ class PackingParams:
     end: int = 2
     tokenizer: str | None = None
     bucket: int = 200_000
-    cache: int = 1_000_000
+    cache: int = 300_000
 
     def path(self) -> str:
         if self.tokenizer is not None:
@@ -232,7 +232,7 @@ class WordTokenizer:
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text of an Arrow column, in order."""
-        for _, data, offsets in text_parts(column, 1 << 21):
+        for _, data, offsets in text_parts(column, 1 << 20):
             lower = data.copy()
             capital = (lower >= 65) & (lower <= 90)
             lower[capital] += 32
@@ -294,6 +294,7 @@ def cut(docs: DataFrame, params: PackingParams = PackingParams(), keep_ids: bool
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()  # an idle worker holds the tokenizer and its words only
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if keep_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
