@@ -64,7 +64,7 @@ class PackingParams:
     end: int = 2
     tokenizer: str | None = None
     bucket: int = 200_000
-    cache: int = 300_000
+    cache: int = 600_000
 
     def path(self) -> str:
         if self.tokenizer is not None:
