@@ -2,7 +2,7 @@
 
 Rows are cut into bins once and held in blocks with each model's margins. A level of a
 tree is one job: every task sums gradients and hessians by node, feature and bin, for all
-models together, and the sums are merged. They are whole numbers, so they and the trees
+models together, and a shuffle merges the sums. They are whole numbers, so they and the trees
 are the same however the rows are dealt out. Leaf weights are Newton steps; a split sends
 missing values to the side that gains more. Models share trees' columns and row draws and
 differ in the rows they learn from, as the folds of a cross-validation do.
@@ -11,19 +11,22 @@ differ in the rows they learn from, as the folds of a cross-validation do.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.session import ship_package
+from kpiloom.session import shared_dir, ship_package
 from kpiloom.sources.extracts import written
 
 MISSING_BIN = 255
+# how many joint bins several columns may have that are summed together
+_BUNDLE = 2048
 # gradients and hessians are counted in units of 2^-20
 _UNIT = float(1 << 20)
 _BLOCKS = "rows int, bins binary, target binary, members binary, draw binary, margin binary"
@@ -36,7 +39,8 @@ _NODES = (
 class BoostingParams:
     """``rows`` and ``columns`` are the shares drawn for each tree; ``ridge`` and ``least`` the
     penalty on leaf weights and the least hessian of a leaf. ``restart`` trees are grown
-    between two written states, ``parts`` is how many tasks' sums the driver merges itself."""
+    between two written states. The driver merges nothing itself: ``parts`` is kept for callers
+    that still name it."""
 
     trees: int = 300
     depth: int = 4
@@ -74,12 +78,17 @@ class Trees:
     def walk(self, model: int, bins: np.ndarray, levels: int) -> np.ndarray:
         """The node each row of bins has reached after at most ``levels`` steps."""
         node = np.zeros(len(bins), np.int64)
+        if not levels:
+            return node
+        # the next node by node and bin; a leaf stays where it is
+        nodes, own = np.arange((1 << levels) - 1)[:, None], np.arange(MISSING_BIN + 1)
+        feature, cut, missing_left = (x[model, : len(nodes), None] for x in (self.feature, self.bin, self.missing_left))
+        left = np.where(own == MISSING_BIN, missing_left, own <= cut)
+        following = np.where(feature >= 0, 2 * nodes + 2 - left, nodes).ravel()
+        looked = np.maximum(feature.ravel(), 0)
+        flat, start = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
         for _ in range(levels):
-            feature = self.feature[model][node]
-            inner = feature >= 0
-            own = bins[np.arange(len(bins)), np.maximum(feature, 0)]
-            left = np.where(own == MISSING_BIN, self.missing_left[model][node], own <= self.bin[model][node])
-            node = np.where(inner, 2 * node + 2 - left, node)
+            node = following.take(node * len(own) + flat.take(start + looked.take(node)))
         return node
 
 
@@ -108,32 +117,73 @@ def gradients(margin: np.ndarray, target: np.ndarray, ratio: float) -> tuple[np.
 
 
 class _Block:
-    """A block of rows as arrays."""
-
-    def __init__(self, batch: pa.RecordBatch, k: int, models: int):
-        def read(name: str, kind) -> np.ndarray:
-            return np.frombuffer(batch.column(name)[k].as_py(), kind)
-
-        self.rows = batch.column("rows")[k].as_py()
-        self.bins = read("bins", np.uint8).reshape(self.rows, -1)
-        self.target, self.members, self.draw = read("target", np.uint8), read("members", np.int64), read("draw", np.uint64)
-        self.margin = read("margin", np.float64).reshape(models, self.rows)
-
-
-def level_sums(block: _Block, trees: Trees, level: int, tree: int, columns: np.ndarray, ratio: float, params: BoostingParams) -> np.ndarray:
-    """Sums (model, gradient or hessian, node of the level, column, bin) of one block."""
-    models, nodes, width = len(block.margin), 1 << level, params.bins + 1
-    out = np.zeros((models, 2, nodes, len(columns), width), np.int64)
-    chosen = drawn(block.draw, tree, params)
-    bins = np.minimum(block.bins, params.bins).astype(np.int64)
-    for m in range(models):
-        place = trees.walk(m, block.bins, level) - (nodes - 1)
-        use = np.flatnonzero(chosen & (block.members >> m & 1 == 1) & (place >= 0))
-        g, h = gradients(block.margin[m][use], block.target[use], ratio)
-        for c, column in enumerate(columns):
-            cell = place[use] * width + bins[use, column]
-            for s, values in enumerate((g, h)):
-                out[m, s, :, c] += np.bincount(cell, values, nodes * width).astype(np.int64).reshape(nodes, width)
+    """A block of rows as arrays, from the fields of ``_BLOCKS``."""
+
+    def __init__(self, rows: int, bins, target, members, draw, margin, models: int):
+        self.rows = rows
+        self.bins = np.frombuffer(bins, np.uint8).reshape(rows, -1)
+        self.target, self.members, self.draw = np.frombuffer(target, np.uint8), np.frombuffer(members, np.int64), np.frombuffer(draw, np.uint64)
+        self.margin = np.frombuffer(margin, np.float64).reshape(models, rows)
+
+    @staticmethod
+    def of_batch(batch: pa.RecordBatch, models: int) -> list[_Block]:
+        names = ("bins", "target", "members", "draw", "margin")
+        return [_Block(batch.column("rows")[k].as_py(), *[batch.column(n)[k].as_buffer() for n in names], models) for k in range(len(batch))]
+
+
+def bundles(columns: np.ndarray, widths: Sequence[int], most: int = _BUNDLE) -> list[list[int]]:
+    """Columns, by their place in ``columns``, that are counted together by their joint bin: ``most`` bins at most, unless one column has more."""
+    out: list[tuple[int, list[int]]] = []
+    for place in sorted(range(len(columns)), key=lambda c: -widths[columns[c]]):
+        width = widths[columns[place]]
+        at = next((i for i, (size, _) in enumerate(out) if size * width <= most), None)
+        if at is None:
+            out.append((width, [place]))
+        else:
+            out[at] = (out[at][0] * width, [*out[at][1], place])
+    return [places for _, places in out]
+
+
+def level_sums(
+    parts: Iterable[_Block], models: int, trees: Trees, level: int, tree: int, columns: np.ndarray, widths: Sequence[int],
+    ratio: float, params: BoostingParams,
+) -> np.ndarray:
+    """Sums (model, gradient or hessian, node of the level, column, bin) over some blocks.
+
+    ``widths`` is a feature's number of bins, the missing one included. Columns of few bins are
+    summed by their joint bin and told apart once at the end.
+    """
+    nodes = 1 << level
+    together = bundles(columns, widths)
+    sizes = [int(np.prod([widths[columns[c]] for c in places])) for places in together]
+    joint = [np.zeros((models, 2, nodes * size)) for size in sizes]
+    for block in parts:
+        cells = []
+        for places in together:
+            cell = np.zeros(block.rows, np.int64)
+            for c in places:
+                width = widths[columns[c]]
+                cell = cell * width + np.minimum(block.bins[:, columns[c]], width - 1)
+            cells.append(cell)
+        chosen = drawn(block.draw, tree, params)
+        for m in range(models):
+            use = np.flatnonzero(chosen & (block.members >> m & 1 == 1))
+            place = trees.walk(m, block.bins[use], level) - (nodes - 1)
+            if level:
+                inside = np.flatnonzero(place >= 0)
+                use, place = use[inside], place[inside]
+            g, h = gradients(block.margin[m][use], block.target[use], ratio)
+            for cell, size, total in zip(cells, sizes, joint, strict=True):
+                own = place * size + cell.take(use)
+                # whole numbers, so their floating sums are exact
+                total[m, 0] += np.bincount(own, g, nodes * size)
+                total[m, 1] += np.bincount(own, h, nodes * size)
+    out = np.zeros((models, 2, nodes, len(columns), params.bins + 1), np.int64)
+    for places, total in zip(together, joint, strict=True):
+        split = total.astype(np.int64).reshape(models, 2, nodes, *[widths[columns[c]] for c in places])
+        for i, c in enumerate(places):
+            single = split.sum(axis=tuple(3 + k for k in range(len(places)) if k != i))
+            out[:, :, :, c, : single.shape[-1] - 1], out[:, :, :, c, -1] = single[..., :-1], single[..., -1]
     return out
 
 
@@ -213,15 +263,32 @@ def _bins_of(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def widths_of(edges: list[np.ndarray]) -> list[int]:
+    """How many bins each feature has, the missing one included."""
+    return [len(cuts) + 2 for cuts in edges]
+
+
+def parts_of(rows: int, slots: int, params: BoostingParams) -> int:
+    """In how many partitions the blocks are held: a block each until all slots have one, then whole
+    rounds of slots with sixteen blocks a task at most. One if they fit in a block."""
+    blocks = max(-(-rows // params.block), 1)
+    return min(blocks, -(-blocks // (16 * slots)) * slots)
+
+
+def _checkpointed(state: DataFrame) -> DataFrame:
+    """The blocks written to the shared folder, in the partitions they have."""
+    shared_dir(state.sparkSession)
+    return state.checkpoint()
+
+
 def blocks(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray], models: int, params: BoostingParams) -> DataFrame:
     """Binned rows in blocks, written once. ``rows`` has key, target and members beside the features."""
-    count = rows.count()
     names = [f"_{k}" for k in range(len(features))]
     plain = rows.select(
         F.xxhash64("key").alias("draw"), F.col("target").cast("int").alias("target"), F.col("members").cast("long").alias("members"),
         *[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(n) for f, n in zip(features, names, strict=True)],
     )
-    parts = max(1, min(-(-count // (4 * params.block)), 65_536))
+    parts = parts_of(rows.count(), rows.sparkSession.sparkContext.defaultParallelism, params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,43 +305,39 @@ def blocks(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray], mo
                     ["rows", "bins", "target", "members", "draw", "margin"],
                 )
 
-    return written(rows.sparkSession, "boosting-blocks", plain.repartition(parts).mapInArrow(run, _BLOCKS))
+    return _checkpointed(plain.repartition(parts).mapInArrow(run, _BLOCKS))
 
 
-def _advanced(state: DataFrame, trees: Trees, models: int, depth: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margins = [advance(_Block(batch, k, models), trees, depth).tobytes() for k in range(len(batch))]
-            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margins, pa.binary()))
+def _advanced(state: RDD, trees: Trees, depth: int) -> RDD:
+    def run(block: _Block) -> _Block:
+        block.margin = advance(block, trees, depth)
+        return block
 
-    return state.mapInArrow(run, _BLOCKS)
+    return state.map(run, preservesPartitioning=True)
 
 
 def merged_sums(
-    state: DataFrame, trees: Trees, level: int, tree: int, columns: np.ndarray, ratio: float, models: int, parts: int, params: BoostingParams
+    state: RDD, trees: Trees, level: int, tree: int, columns: np.ndarray, widths: Sequence[int], ratio: float, models: int,
+    params: BoostingParams,
 ) -> np.ndarray:
-    """One job: the level's sums over all rows. Few tasks' sums are added up here, many by a shuffle."""
-    shape = (models, 2, 1 << level, len(columns), params.bins + 1)
+    """One job: the level's sums over all rows, merged column by column in a shuffle. What reaches
+    the driver is one sum a model, node, column and bin, however many tasks there are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.int64)
-        for batch in batches:
-            for k in range(len(batch)):
-                total += level_sums(_Block(batch, k, models), trees, level, tree, columns, ratio, params)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel()[cell])], ["cell", "value"])
+    def run(blocks: Iterator[_Block]) -> Iterator[tuple[int, np.ndarray]]:
+        total = level_sums(blocks, models, trees, level, tree, columns, widths, ratio, params)
+        for c, column in enumerate(columns):
+            # the bins the feature has, the missing one last
+            yield c, np.delete(total[..., c, :], np.s_[widths[column] - 1 : -1], axis=-1)
 
-    sums = state.mapInArrow(run, "cell long, value long")
-    if parts > params.parts:
-        sums = sums.groupBy("cell").agg(F.sum("value").alias("value"))
-    found = sums.toArrow()
-    out = np.zeros(np.prod(shape), np.int64)
-    np.add.at(out, found.column("cell").to_numpy(), found.column("value").to_numpy())
-    return out.reshape(shape)
+    mergers = min(len(columns), 1 + state.getNumPartitions() // 16)
+    out = np.zeros((models, 2, 1 << level, len(columns), params.bins + 1), np.int64)
+    for c, sums in state.mapPartitions(run).reduceByKey(np.add, mergers).collect():
+        out[..., c, : sums.shape[-1] - 1], out[..., c, -1] = sums[..., :-1], sums[..., -1]
+    return out
 
 
 def _grown_alone(
-    state: DataFrame, first: int, columns: Sequence[np.ndarray], ratio: float, models: int, params: BoostingParams
+    state: DataFrame, first: int, columns: Sequence[np.ndarray], widths: Sequence[int], ratio: float, models: int, params: BoostingParams
 ) -> tuple[DataFrame, list[Trees]]:
     """Some rounds of a table whose one partition needs no merging: its task's sums are already whole.
 
@@ -283,12 +346,12 @@ def _grown_alone(
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
-        parts = [_Block(batch, k, models) for batch in held for k in range(len(batch))]
+        parts = [block for batch in held for block in _Block.of_batch(batch, models)]
         grown = []
         for t, chosen in enumerate(columns, first):
             trees = Trees.empty(models, params.depth)
             for level in range(params.depth if parts else 0):
-                sums = sum(level_sums(block, trees, level, t, chosen, ratio, params) for block in parts)
+                sums = level_sums(parts, models, trees, level, t, chosen, widths, ratio, params)
                 if not split_level(trees, sums, level, chosen, params):
                     break
             for block in parts:
@@ -307,6 +370,34 @@ def _grown_alone(
     return after.drop("grown").coalesce(1), rounds
 
 
+def _grown_together(
+    state: DataFrame, features: Sequence[str], widths: Sequence[int], models: int, ratio: float, params: BoostingParams
+) -> list[Trees]:
+    """All rounds of a table of many partitions, a job a level."""
+    rounds: list[Trees] = []
+    held = state.rdd.map(lambda row: _Block(*row, models)).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [held]
+    for t in range(params.trees):
+        if rounds:
+            held = _advanced(held, rounds[-1], params.depth).persist(StorageLevel.MEMORY_AND_DISK)
+            if t % params.restart == 0:
+                held.checkpoint()
+            kept.append(held)
+            # the first level's job holds the new margins and needs the old ones
+            if len(kept) > 2:
+                kept.pop(0).unpersist()
+        trees = Trees.empty(models, params.depth)
+        columns = columns_of(t, len(features), params)
+        for level in range(params.depth):
+            sums = merged_sums(held, trees, level, t, columns, widths, ratio, models, params)
+            if not split_level(trees, sums, level, columns, params):
+                break
+        rounds.append(trees)
+    for old in kept:
+        old.unpersist()
+    return rounds
+
+
 @dataclass
 class Boosted:
     """Fitted models: a tree a round for each, and the cuts their bins stand for."""
@@ -382,12 +473,13 @@ def fit(rows: DataFrame, features: Sequence[str], models: int, ratio: float, par
     ``members`` (bit m is set if model m learns from the row) and the features as numbers;
     a null feature is missing, a positive row weighs ``ratio``. The driver holds one
     level's sums and the trees; rows stay in blocks on the executors. Every ``restart``
-    trees the margins are written, which ends the lineage. A table of one partition (four
-    blocks at most) is grown ``restart`` trees a job.
+    trees the margins are written, which ends the lineage. A table of one partition (one
+    block) is grown ``restart`` trees a job.
     """
     spark = rows.sparkSession
     ship_package(spark)
     edges = bin_edges(rows, features, params.bins)
+    widths = widths_of(edges)
     state = blocks(rows, features, edges, models, params)
     parts = state.rdd.getNumPartitions()
     rounds: list[Trees] = []
@@ -395,27 +487,8 @@ def fit(rows: DataFrame, features: Sequence[str], models: int, ratio: float, par
     while parts == 1 and len(rounds) < params.trees:
         these = range(len(rounds), min(len(rounds) + params.restart, params.trees))
         columns = [columns_of(t, len(features), params) for t in these]
-        state, grown = _grown_alone(state.coalesce(1), these.start, columns, ratio, models, params)
+        state, grown = _grown_alone(state.coalesce(1), these.start, columns, widths, ratio, models, params)
         rounds += grown
-    for t in range(len(rounds), params.trees):
-        if rounds:
-            state = _advanced(state, rounds[-1], models, params.depth)
-            if t % params.restart == 0:
-                state = written(spark, "boosting-state", state)
-                for old in kept:
-                    old.unpersist()
-                kept = []
-            state = state.persist()
-            kept.append(state)
-            if len(kept) > 2:
-                kept.pop(0).unpersist()
-        trees = Trees.empty(models, params.depth)
-        columns = columns_of(t, len(features), params)
-        for level in range(params.depth):
-            sums = merged_sums(state, trees, level, t, columns, ratio, models, parts, params)
-            if not split_level(trees, sums, level, columns, params):
-                break
-        rounds.append(trees)
-    for old in kept:
-        old.unpersist()
+    if len(rounds) < params.trees:
+        rounds = _grown_together(state, features, widths, models, ratio, params)
     return Boosted(list(features), edges, rounds, params.depth)

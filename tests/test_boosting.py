@@ -3,6 +3,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import RDD
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.models import boosting
@@ -140,3 +142,52 @@ def test_empty_and_one_sided_tables(spark):
     assert np.allclose(empty.margin([np.zeros(3)] * 4, 0), 0)
     sure = boosting.fit(frame(spark, data.assign(target=1), 1), FEATURES, 1, 1.0, PARAMS)
     assert (sure.margin([np.zeros(3)] * 4, 0) > 0).all()
+
+
+def test_what_reaches_the_driver_does_not_grow_with_the_parts(spark, monkeypatch):
+    data = table(700, seed=8)
+    sizes = []
+
+    def seen(kind, name, size):
+        plain = getattr(kind, name)
+
+        def run(self, *args):
+            found = plain(self, *args)
+            sizes.append(size(found))
+            return found
+
+        monkeypatch.setattr(kind, name, run)
+
+    seen(RDD, "collect", lambda found: sum(np.size(x) for row in found for x in row[1:]))
+    seen(DataFrame, "toArrow", lambda found: found.num_rows)
+    told = []
+    for block in (400, 20):
+        sizes.clear()
+        params = boosting.BoostingParams(**{**PARAMS.__dict__, "block": block})
+        boosting.fit(frame(spark, data, 3), FEATURES, 2, 1.0, params)
+        told.append(sum(sizes))
+    assert told[0] == told[1] > 0
+
+
+def test_blocks_are_spread_over_the_slots():
+    params = boosting.BoostingParams()
+    assert [boosting.parts_of(n, 12, params) for n in (0, 15_000, 65_536, 90_000, 900_000, 5_400_000, 54_000_000)] == [1, 1, 1, 2, 12, 12, 60]
+
+
+def test_columns_counted_together_give_each_column_its_sums():
+    rng = np.random.default_rng(3)
+    widths, params = [9, 3, 5, 9], boosting.BoostingParams(bins=8, depth=2)
+    bins = np.stack([rng.integers(0, w - 1, 500) for w in widths], axis=1).astype(np.uint8)
+    bins[rng.random(bins.shape) < 0.1] = boosting.MISSING_BIN
+    target, members = rng.integers(0, 2, 500).astype(np.uint8), np.full(500, 1)
+    block = boosting._Block(
+        500, bins.tobytes(), target.tobytes(), members.tobytes(), np.arange(500, dtype=np.uint64).tobytes(), rng.normal(size=500).tobytes(), 1
+    )
+    columns = np.arange(4)
+    assert sorted(len(b) for b in boosting.bundles(columns, widths, 60)) == [2, 2]
+    sums = boosting.level_sums([block], 1, boosting.Trees.empty(1, 2), 0, 0, columns, widths, 1.5, params)
+    use = boosting.drawn(block.draw, 0, params)
+    for s, values in enumerate(boosting.gradients(block.margin[0], target, 1.5)):
+        for c in columns:
+            want = np.bincount(np.minimum(bins[use, c], params.bins), values[use], params.bins + 1)
+            assert (sums[0, s, 0, c] == want).all()
