@@ -227,20 +227,21 @@ class Forest:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """−2^(−mean depth / expected depth): lower is more anomalous."""
-        trees, width = self.feature.shape
-        base = (np.arange(trees) * width)[None, :]
-        feature, threshold = self.feature.ravel(), self.threshold.ravel()
-        left, right, path = self.left.ravel(), self.right.ravel(), self.path.ravel()
+        trees = len(self.feature)
         out = np.empty(len(x))
         for start in range(0, len(x), 2048):
-            chunk = x[start : start + 2048]
-            at = np.zeros((len(chunk), trees), dtype=np.int64)
-            for _ in range(self.height):
-                node = at + base
-                value = np.take_along_axis(chunk, feature[node], axis=1)
-                at = np.where(value <= threshold[node], left[node], right[node])
-            depth = path[at + base].mean(axis=1)
-            out[start : start + len(chunk)] = -np.exp2(-depth / average_path(self.subsample))
+            chunk = np.ascontiguousarray(x[start : start + 2048])
+            values, first = chunk.ravel(), np.arange(len(chunk)) * chunk.shape[1]
+            depth = np.empty((len(chunk), trees))
+            # a tree at a time: its nodes and the rows' places stay in the processor's cache
+            for t in range(trees):
+                feature, threshold, left, right = self.feature[t], self.threshold[t], self.left[t], self.right[t]
+                at = np.zeros(len(chunk), dtype=np.int64)
+                for _ in range(self.height):
+                    low = values.take(first + feature.take(at)) <= threshold.take(at)
+                    at = np.where(low, left.take(at), right.take(at))
+                depth[:, t] = self.path[t].take(at)
+            out[start : start + len(chunk)] = -np.exp2(-depth.mean(axis=1) / average_path(self.subsample))
         return out
 
 

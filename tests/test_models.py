@@ -1,3 +1,4 @@
+import tracemalloc
 from datetime import date, timedelta
 
 import numpy as np
@@ -389,3 +390,35 @@ def test_peak_day_tie_goes_to_the_earliest(spark):
         [(date(2020, 1, 3), 5.0), (date(2020, 1, 2), 5.0), (date(2020, 1, 1), 1.0)], "ds DATE, yhat DOUBLE"
     )
     assert forecast.peak_day(df).first()["peak_day"] == date(2020, 1, 2)
+
+
+def test_forest_scores_equal_a_walk_by_row_in_little_memory():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2048, len(anomaly.FEATURES)))
+    grown = [anomaly._grow_tree(x[rng.choice(len(x), 64, replace=False)], rng) for _ in range(anomaly.TREES)]
+    table = pd.DataFrame(
+        [(t, *node) for t, nodes in enumerate(grown) for node in nodes],
+        columns=["tree", "node", "feature", "threshold", "left", "right", "path"],
+    )
+
+    class Nodes:
+        def toPandas(self):
+            return table
+
+    forest = anomaly.load_forest(Nodes(), 64)
+    tracemalloc.start()
+    got = forest.scores(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the depths of 2,048 rows in 200 trees and little else
+    assert peak < 8e6
+
+    def depth(nodes, row):
+        by, at = {n[0]: n for n in nodes}, 0
+        while by[at][3] != at:
+            at = by[at][3] if row[by[at][1]] <= by[at][2] else by[at][4]
+        return by[at][5]
+
+    for i in (0, 7, 2047):
+        want = -(2 ** (-np.mean([depth(nodes, x[i]) for nodes in grown]) / anomaly.average_path(64)))
+        assert got[i] == pytest.approx(want, abs=1e-12)
