@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import cached_property, lru_cache
 from pathlib import Path
 
@@ -30,6 +30,28 @@ def _code_mark() -> str:
     return hashlib.sha256(b"\0".join(f.read_bytes() for f in files)).hexdigest()
 
 
+class StoredStar(Mapping[str, DataFrame]):
+    """The tables of a workspace's star, each loaded when it is first asked for."""
+
+    def __init__(self, ws: Workspace):
+        self._ws = ws
+        self._read: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        if name not in self._read:
+            self._ws.attach([name])
+            self._read[name] = versions.read(self._ws.spark, f"{self._ws.root}/{name}")
+        return self._read[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
 class Workspace:
     """Lazy raw and star frames over one directory of given tables."""
 
@@ -50,27 +72,35 @@ class Workspace:
         return build_star(self.spark, self.raw)
 
     @cached_property
-    def stored(self) -> tuple[str, dict[str, int]]:
-        """The star in the shared folder: root path and row counts.
+    def root(self) -> str:
+        """Where the star is in the shared folder."""
+        name = hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]
+        return f"{shared_dir(self.spark).rstrip('/')}/kpiloom/star-{name}"
+
+    def attach(self, tables: Iterable[str] = tuple(TABLES)) -> dict[str, int]:
+        """Row counts of the star's tables, and of those they look keys up in, in the shared folder.
 
-        A star that another application loaded from the same files with the same code is
-        attached; only tables that are missing or stale are loaded.
+        Tables that another application loaded from the same files with the same code are
+        attached; only those that are missing or stale are loaded.
         """
-        name = hashlib.sha256(self.sf_dir.encode()).hexdigest()[:16]
-        root = f"{shared_dir(self.spark).rstrip('/')}/kpiloom/star-{name}"
-        counts, _loaded = attach_star(self.spark, self.raw, root, self.marks(), _code_mark())
-        return root, counts
+        counts, _loaded = attach_star(self.spark, self.raw, self.root, self.marks, _code_mark(), tables=tables)
+        return counts
 
+    @cached_property
+    def stored(self) -> tuple[str, dict[str, int]]:
+        """The whole star in the shared folder: root path and row counts."""
+        return self.root, self.attach()
+
+    @cached_property
     def marks(self) -> dict[str, str]:
         """A mark of each raw frame, from the given files it is made of."""
         each = {t: versions.source_mark(self.spark, [f"{self.sf_dir}/{t}.parquet"]) for t in GIVEN_TABLES}
         return {frame: "\n".join(each[t] for t in tables) for frame, tables in RAW_TABLES.items()}
 
     @cached_property
-    def star(self) -> dict[str, DataFrame]:
+    def star(self) -> Mapping[str, DataFrame]:
         """The loaded star: KPI queries and models scan these tables."""
-        root, _counts = self.stored
-        return {name: versions.read(self.spark, f"{root}/{name}") for name in TABLES}
+        return StoredStar(self)
 
 
 # A workspace lives as long as the application: its star is a loaded warehouse.

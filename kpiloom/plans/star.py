@@ -185,10 +185,11 @@ ORDER_COLUMNS = [f.name for f in TABLES["fact_orders"].schema]
 def fact_orders(raw: Frames, dates: DataFrame, geography: DataFrame) -> DataFrame:
     """One row per order with item, payment, review, date and place attached.
 
-    The narrow order rows visit the customer key first; after that every wide
-    step (keep-first and three aggregates) is keyed by order_id, so they share
-    one partitioning. Each right side is unique on its join key, hence a query
-    that ignores, say, payments does not read them at all.
+    Keep-first and the three aggregates are keyed by order_id, as the raw orders are,
+    so they share one partitioning; the customer key is visited last, by rows that carry
+    a day's number in place of timestamps. A customer has one place, so it cannot change
+    which row of a repeated order is the first. Each right side is unique on its join
+    key, hence a query that ignores, say, payments does not read them at all.
     """
     orders = raw["orders"].select(
         "order_id",
@@ -197,9 +198,8 @@ def fact_orders(raw: Frames, dates: DataFrame, geography: DataFrame) -> DataFram
         "order_purchase_timestamp",
         "order_delivered_customer_date",
     )
-    placed = orders.join(customer_places(raw["customers"], geography), "customer_id", "left")
     unique = keep_first(
-        placed, "order_id", ["order_purchase_timestamp", "customer_id", "order_status"]
+        orders, "order_id", ["order_purchase_timestamp", "customer_id", "order_status"]
     )
     joined = reduce(
         lambda left, right: left.join(right, "order_id", "left"),
@@ -210,7 +210,9 @@ def fact_orders(raw: Frames, dates: DataFrame, geography: DataFrame) -> DataFram
     days = C.elapsed_days(
         F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
     )
-    return dated.withColumn("delivery_days", days).select(*ORDER_COLUMNS)
+    timed = dated.withColumn("delivery_days", days).select(*[c for c in ORDER_COLUMNS if c != "geo_id"])
+    placed = timed.join(customer_places(raw["customers"], geography), "customer_id", "left")
+    return placed.select(*ORDER_COLUMNS)
 
 
 EMPLOYEE_FIELDS = {

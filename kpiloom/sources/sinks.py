@@ -68,8 +68,8 @@ def load_star(
     are observed during the writes, so no table is read just to count it.
 
     Orders are stored in ranges of ``date_id``, which follows the calendar: a query on a
-    period skips the row groups outside it. Employees are joined once, and numbered from
-    the written rows.
+    period skips the row groups outside it. Both facts are joined once and written; the
+    ranges' sample and the employees' numbers are taken from the written rows.
     """
 
     def shaped(name: str, frame: DataFrame) -> DataFrame:
@@ -86,12 +86,12 @@ def load_star(
     counts = store({name: frame for name, frame in dimensions.items() if name in chosen})
     if not chosen - set(dimensions):
         return counts
-    dims = {name: versions.read(spark, f"{root}/{name}") for name in dimensions}
+    looked_up = {source for table in chosen for source in STAR_SOURCES[table]}
+    dims = {n: versions.read(spark, f"{root}/{n}") if n in looked_up else frame for n, frame in dimensions.items()}
     facts = {name: frame for name, frame in build_facts(raw, dims).items() if name in chosen}
     if "fact_orders" in facts:
-        facts["fact_orders"] = facts["fact_orders"].repartitionByRange(
-            "date_id", "order_id"
-        ).sortWithinPartitions("date_id", "order_id")
+        joined = written(spark, "order-rows", facts["fact_orders"])
+        facts["fact_orders"] = joined.repartitionByRange("date_id", "order_id").sortWithinPartitions("date_id", "order_id")
     if "fact_employees" in facts:
         facts["fact_employees"] = number_employees(
             written(spark, "employee-rows", facts["fact_employees"])
@@ -123,20 +123,25 @@ def table_marks(marks: Mapping[str, str], code: str = "") -> dict[str, str]:
 
 
 def attach_star(
-    spark: SparkSession, raw: Mapping[str, DataFrame], root: str, marks: Mapping[str, str], code: str = "", declared: bool = False
+    spark: SparkSession, raw: Mapping[str, DataFrame], root: str, marks: Mapping[str, str], code: str = "", declared: bool = False,
+    tables: Iterable[str] = tuple(TABLES),
 ) -> tuple[dict[str, int], list[str]]:
-    """The star under ``root``, loading only tables that are missing or older than their sources.
+    """The star under ``root``, or some of its ``tables`` with those they look keys up in, loading
+    only what is missing or older than its sources.
 
     ``marks`` has a mark of each raw frame (``versions.source_mark``); a manifest beside the
     tables keeps each table's mark and row count, and is written after the tables.
-    Returns the row counts of all tables and the names of those that were loaded.
+    Returns the row counts of these tables and the names of those that were loaded.
     """
-    wanted = table_marks(marks, code)
+    chosen = set(tables)
+    chosen |= {source for t in chosen for source in STAR_SOURCES[t]}
+    every = table_marks(marks, code)
+    wanted = {t: mark for t, mark in every.items() if t in chosen}
     known = json.loads(versions.read_note(spark, f"{root}/{_MANIFEST}") or "{}")
     stale = [t for t, mark in wanted.items() if known.get(t, {}).get("mark") != mark]
     if stale:
         counts = load_star(spark, raw, root, declared, tables=stale)
-        known = {t: known[t] for t in wanted if t not in stale} | {t: {"mark": wanted[t], "rows": n} for t, n in counts.items()}
+        known = {t: known[t] for t in every if t in known and t not in stale} | {t: {"mark": wanted[t], "rows": n} for t, n in counts.items()}
         versions.write_note(spark, f"{root}/{_MANIFEST}", json.dumps(known, sort_keys=True))
     return {t: known[t]["rows"] for t in wanted}, stale
 

@@ -258,3 +258,37 @@ def test_questions(spark, raw):
     assert best[0].customer_id == "c2"  # the kept row of o4 is theirs
     with pytest.raises(ValueError, match="empty"):
         questions.answer(built, "  ")
+
+
+def test_a_query_loads_only_the_tables_it_reads(raw, spark, tmp_path):
+    root, marks = str(tmp_path / "star"), {name: "1" for name in raw}
+    counts, loaded = sinks.attach_star(spark, raw, root, marks, tables=["fact_employees"])
+    assert loaded == ["dim_date", "dim_department", "dim_attrition_label", "fact_employees"] == list(counts)
+    counts, loaded = sinks.attach_star(spark, raw, root, marks, tables=["fact_orders"])
+    assert loaded == ["dim_geography", "fact_orders"] and counts["fact_orders"] == 5
+    counts, loaded = sinks.attach_star(spark, raw, root, marks)
+    assert loaded == ["dim_customer", "dim_product"] and set(counts) == set(sinks.STAR_SOURCES)
+    direct = star.build_star(spark, raw, number_ids=True)
+    for name in counts:
+        stored = star.conform(versions.read(spark, f"{root}/{name}"), name)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, star.conform(direct[name], name).collect()))
+
+
+def test_a_workspace_loads_a_table_when_it_is_asked_for(raw, spark, monkeypatch):
+    from kpiloom.catalog import registry
+
+    asked = []
+    monkeypatch.setattr(registry, "attach_star", lambda *a, tables, **k: (asked.append(list(tables)), ({}, []))[1])
+    monkeypatch.setattr(registry.versions, "read", lambda spark, path: path.rsplit("/", 1)[-1])
+    ws = registry.Workspace(spark, "/nowhere")
+    ws.__dict__.update(marks={}, raw=raw)
+    assert ws.star["dim_date"] == ws.star["dim_date"] == "dim_date" and asked == [["dim_date"]]
+    assert set(ws.star) == set(sinks.STAR_SOURCES) and "orders" not in ws.star
+
+
+def test_orders_are_joined_once_before_they_are_dealt_to_ranges(raw, spark, tmp_path, monkeypatch):
+    kept = []
+    plain = sinks.written
+    monkeypatch.setattr(sinks, "written", lambda s, name, df: (kept.append((name, df.columns)), plain(s, name, df))[1])
+    sinks.load_star(spark, raw, str(tmp_path / "star"))
+    assert ("order-rows", star.ORDER_COLUMNS) in kept
