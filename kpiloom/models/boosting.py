@@ -75,9 +75,10 @@ class Trees:
             *(np.zeros(shape) for _ in range(3)),
         )
 
-    def walk(self, model: int, bins: np.ndarray, levels: int) -> np.ndarray:
-        """The node each row of bins has reached after at most ``levels`` steps."""
-        node = np.zeros(len(bins), np.int64)
+    def walk(self, model: int, bins: np.ndarray, levels: int, rows: np.ndarray | None = None) -> np.ndarray:
+        """The node each row of bins, or each of ``rows``, has reached after at most ``levels`` steps."""
+        rows = np.arange(len(bins)) if rows is None else rows
+        node = np.zeros(len(rows), np.int64)
         if not levels:
             return node
         # the next node by node and bin; a leaf stays where it is
@@ -86,7 +87,7 @@ class Trees:
         left = np.where(own == MISSING_BIN, missing_left, own <= cut)
         following = np.where(feature >= 0, 2 * nodes + 2 - left, nodes).ravel()
         looked = np.maximum(feature.ravel(), 0)
-        flat, start = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        flat, start = bins.ravel(), rows * bins.shape[1]
         for _ in range(levels):
             node = following.take(node * len(own) + flat.take(start + looked.take(node)))
         return node
@@ -168,7 +169,7 @@ def level_sums(
         chosen = drawn(block.draw, tree, params)
         for m in range(models):
             use = np.flatnonzero(chosen & (block.members >> m & 1 == 1))
-            place = trees.walk(m, block.bins[use], level) - (nodes - 1)
+            place = trees.walk(m, block.bins, level, use) - (nodes - 1)
             if level:
                 inside = np.flatnonzero(place >= 0)
                 use, place = use[inside], place[inside]
