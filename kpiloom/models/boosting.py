@@ -2,8 +2,9 @@
 
 Rows are cut into bins once and held in blocks with each model's margins. A level of a
 tree is one job: every task sums gradients and hessians by node, feature and bin, for all
-models together, and a shuffle merges the sums. They are whole numbers, so they and the trees
-are the same however the rows are dealt out. Leaf weights are Newton steps; a split sends
+models together, a shuffle merges a feature's sums and finds its best splits, and the driver
+picks among the features. The sums are whole numbers, so they and the trees are the same
+however the rows are dealt out. Leaf weights are Newton steps; a split sends
 missing values to the side that gains more. Models share trees' columns and row draws and
 differ in the rows they learn from, as the folds of a cross-validation do.
 """
@@ -75,21 +76,22 @@ class Trees:
             *(np.zeros(shape) for _ in range(3)),
         )
 
-    def walk(self, model: int, bins: np.ndarray, levels: int, rows: np.ndarray | None = None) -> np.ndarray:
-        """The node each row of bins, or each of ``rows``, has reached after at most ``levels`` steps."""
-        rows = np.arange(len(bins)) if rows is None else rows
-        node = np.zeros(len(rows), np.int64)
-        if not levels:
-            return node
-        # the next node by node and bin; a leaf stays where it is
-        nodes, own = np.arange((1 << levels) - 1)[:, None], np.arange(MISSING_BIN + 1)
-        feature, cut, missing_left = (x[model, : len(nodes), None] for x in (self.feature, self.bin, self.missing_left))
-        left = np.where(own == MISSING_BIN, missing_left, own <= cut)
-        following = np.where(feature >= 0, 2 * nodes + 2 - left, nodes).ravel()
-        looked = np.maximum(feature.ravel(), 0)
-        flat, start = bins.ravel(), rows * bins.shape[1]
-        for _ in range(levels):
-            node = following.take(node * len(own) + flat.take(start + looked.take(node)))
+    def walk(self, model: int, bins: np.ndarray, levels: int) -> np.ndarray:
+        """The node each row of bins has reached after at most ``levels`` steps; fastest if a column's bins lie together."""
+        node = np.zeros(len(bins), np.uint8 if levels < 8 else np.int64)
+        for i in range((1 << levels) - 1):
+            feature = self.feature[model, i]
+            # a leaf's rows stay where they are
+            if feature < 0:
+                continue
+            own = bins[:, feature]
+            right = own > int(self.bin[model, i])
+            if self.missing_left[model, i]:
+                right &= own != MISSING_BIN
+            step = right.astype(node.dtype)
+            step += i + 1
+            step *= node == i
+            node += step
         return node
 
 
@@ -113,16 +115,16 @@ def columns_of(tree: int, count: int, params: BoostingParams) -> np.ndarray:
 def gradients(margin: np.ndarray, target: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and hessian of the weighted log loss, in whole units."""
     p = 1.0 / (1.0 + np.exp(-margin))
-    weight = np.where(target == 1, ratio, 1.0)
-    return np.rint((p - target) * weight * _UNIT), np.rint(np.maximum(p * (1.0 - p), 1e-16) * weight * _UNIT)
+    weight = np.where(target == 1, ratio * _UNIT, _UNIT)
+    return np.rint((p - target) * weight), np.rint(np.maximum(p * (1.0 - p), 1e-16) * weight)
 
 
 class _Block:
-    """A block of rows as arrays, from the fields of ``_BLOCKS``."""
+    """A block of rows as arrays, from the fields of ``_BLOCKS``; a column's bins lie together."""
 
     def __init__(self, rows: int, bins, target, members, draw, margin, models: int):
         self.rows = rows
-        self.bins = np.frombuffer(bins, np.uint8).reshape(rows, -1)
+        self.bins = np.asfortranarray(np.frombuffer(bins, np.uint8).reshape(rows, -1))
         self.target, self.members, self.draw = np.frombuffer(target, np.uint8), np.frombuffer(members, np.int64), np.frombuffer(draw, np.uint64)
         self.margin = np.frombuffer(margin, np.float64).reshape(models, rows)
 
@@ -164,18 +166,22 @@ def level_sums(
             cell = np.zeros(block.rows, np.int64)
             for c in places:
                 width = widths[columns[c]]
-                cell = cell * width + np.minimum(block.bins[:, columns[c]], width - 1)
+                cell *= width
+                cell += np.minimum(block.bins[:, columns[c]], width - 1)
             cells.append(cell)
         chosen = drawn(block.draw, tree, params)
         for m in range(models):
-            use = np.flatnonzero(chosen & (block.members >> m & 1 == 1))
-            place = trees.walk(m, block.bins, level, use) - (nodes - 1)
+            inside = chosen & (block.members & (1 << m) != 0)
             if level:
-                inside = np.flatnonzero(place >= 0)
-                use, place = use[inside], place[inside]
-            g, h = gradients(block.margin[m][use], block.target[use], ratio)
+                node = trees.walk(m, block.bins, level)
+                inside &= node >= nodes - 1
+            use = np.flatnonzero(inside)
+            place = node.take(use).astype(np.int64) - (nodes - 1) if level else None
+            g, h = gradients(block.margin[m].take(use), block.target.take(use), ratio)
             for cell, size, total in zip(cells, sizes, joint, strict=True):
-                own = place * size + cell.take(use)
+                own = cell.take(use)
+                if level:
+                    own += place * size
                 # whole numbers, so their floating sums are exact
                 total[m, 0] += np.bincount(own, g, nodes * size)
                 total[m, 1] += np.bincount(own, h, nodes * size)
@@ -218,9 +224,17 @@ def best_splits(sums: np.ndarray, params: BoostingParams) -> dict[str, np.ndarra
     }
 
 
-def split_level(trees: Trees, sums: np.ndarray, level: int, columns: np.ndarray, params: BoostingParams) -> bool:
-    """Set the splits of a level and the weights below it; whether any node was split."""
-    found = best_splits(sums, params)
+def best_columns(found: Sequence[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The best of the columns' own best splits: of equal gains the one ``best_splits`` over all of them picks."""
+    every = {k: np.stack([one[k] for one in found]) for k in found[0]}
+    # a column's own best has the side that comes first, so sides and then columns decide
+    turn = every["missing_left"] * len(found) + np.arange(len(found))[:, None, None]
+    column = np.where(every["gain"] == every["gain"].max(axis=0), turn, 2 * len(found)).argmin(axis=0)
+    return {k: np.take_along_axis(x, column[None], 0)[0] for k, x in every.items()} | {"column": column}
+
+
+def split_level(trees: Trees, found: dict[str, np.ndarray], level: int, columns: np.ndarray, params: BoostingParams) -> bool:
+    """Set a level's best splits and the weights below it; whether any node was split."""
     first, nodes = (1 << level) - 1, 1 << level
     at = slice(first, first + nodes)
 
@@ -243,9 +257,10 @@ def split_level(trees: Trees, sums: np.ndarray, level: int, columns: np.ndarray,
 
 def advance(block: _Block, trees: Trees, depth: int) -> np.ndarray:
     """The block's margins after one more tree."""
-    return np.stack([
-        margin + trees.value[m][trees.walk(m, block.bins, depth)] for m, margin in enumerate(block.margin)
-    ])
+    out = np.empty_like(block.margin)
+    for m, margin in enumerate(block.margin):
+        np.add(margin, trees.value[m].take(trees.walk(m, block.bins, depth)), out=out[m])
+    return out
 
 
 # -- Spark jobs -------------------------------------------------------------
@@ -258,7 +273,7 @@ def bin_edges(rows: DataFrame, features: Sequence[str], bins: int) -> list[np.nd
 
 
 def _bins_of(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
-    out = np.empty((len(columns[0]), len(columns)), np.uint8)
+    out = np.empty((len(columns[0]), len(columns)), np.uint8, order="F")
     for k, (values, cuts) in enumerate(zip(columns, edges, strict=True)):
         out[:, k] = np.where(np.isnan(values), MISSING_BIN, np.searchsorted(cuts, values, side="left"))
     return out
@@ -317,12 +332,17 @@ def _advanced(state: RDD, trees: Trees, depth: int) -> RDD:
     return state.map(run, preservesPartitioning=True)
 
 
-def merged_sums(
+# a column's best splits as they reach the driver
+_FOUND = ("gain", "bin", "missing_left", "g", "h", "left_g", "left_h")
+
+
+def merged_splits(
     state: RDD, trees: Trees, level: int, tree: int, columns: np.ndarray, widths: Sequence[int], ratio: float, models: int,
     params: BoostingParams,
-) -> np.ndarray:
-    """One job: the level's sums over all rows, merged column by column in a shuffle. What reaches
-    the driver is one sum a model, node, column and bin, however many tasks there are."""
+) -> dict[str, np.ndarray]:
+    """One job: the level's sums over all rows, merged column by column in a shuffle, where each
+    column's best splits are found. What reaches the driver is one split a model, node and column,
+    however many tasks and bins there are."""
 
     def run(blocks: Iterator[_Block]) -> Iterator[tuple[int, np.ndarray]]:
         total = level_sums(blocks, models, trees, level, tree, columns, widths, ratio, params)
@@ -330,11 +350,19 @@ def merged_sums(
             # the bins the feature has, the missing one last
             yield c, np.delete(total[..., c, :], np.s_[widths[column] - 1 : -1], axis=-1)
 
+    def merge(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        whole: dict[int, np.ndarray] = {}
+        for c, sums in parts:
+            whole[c] = whole[c] + sums if c in whole else sums
+        for c, sums in whole.items():
+            found = best_splits(sums[..., None, :], params)
+            yield c, np.stack([found[k] for k in _FOUND])
+
     mergers = min(len(columns), 1 + state.getNumPartitions() // 16)
-    out = np.zeros((models, 2, 1 << level, len(columns), params.bins + 1), np.int64)
-    for c, sums in state.mapPartitions(run).reduceByKey(np.add, mergers).collect():
-        out[..., c, : sums.shape[-1] - 1], out[..., c, -1] = sums[..., :-1], sums[..., -1]
-    return out
+    told = dict(state.mapPartitions(run).partitionBy(mergers, int).mapPartitions(merge).collect())
+    if not told:  # a table of no partitions
+        return best_splits(np.zeros((models, 2, 1 << level, len(columns), params.bins + 1)), params)
+    return best_columns([dict(zip(_FOUND, told[c], strict=True)) for c in range(len(columns))])
 
 
 def _grown_alone(
@@ -353,7 +381,7 @@ def _grown_alone(
             trees = Trees.empty(models, params.depth)
             for level in range(params.depth if parts else 0):
                 sums = level_sums(parts, models, trees, level, t, chosen, widths, ratio, params)
-                if not split_level(trees, sums, level, chosen, params):
+                if not split_level(trees, best_splits(sums, params), level, chosen, params):
                     break
             for block in parts:
                 block.margin = advance(block, trees, params.depth)
@@ -390,8 +418,8 @@ def _grown_together(
         trees = Trees.empty(models, params.depth)
         columns = columns_of(t, len(features), params)
         for level in range(params.depth):
-            sums = merged_sums(held, trees, level, t, columns, widths, ratio, models, params)
-            if not split_level(trees, sums, level, columns, params):
+            found = merged_splits(held, trees, level, t, columns, widths, ratio, models, params)
+            if not split_level(trees, found, level, columns, params):
                 break
         rounds.append(trees)
     for old in kept:
@@ -473,7 +501,7 @@ def fit(rows: DataFrame, features: Sequence[str], models: int, ratio: float, par
     ``rows`` has ``key`` (any type, tells rows apart in the draws), ``target`` 0 or 1,
     ``members`` (bit m is set if model m learns from the row) and the features as numbers;
     a null feature is missing, a positive row weighs ``ratio``. The driver holds one
-    level's sums and the trees; rows stay in blocks on the executors. Every ``restart``
+    level's best splits and the trees; rows stay in blocks on the executors. Every ``restart``
     trees the margins are written, which ends the lineage. A table of one partition (one
     block) is grown ``restart`` trees a job.
     """

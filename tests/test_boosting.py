@@ -169,6 +169,33 @@ def test_what_reaches_the_driver_does_not_grow_with_the_parts(spark, monkeypatch
     assert told[0] == told[1] > 0
 
 
+def test_what_reaches_the_driver_does_not_grow_with_the_bins(spark, monkeypatch):
+    rows, plain, told = frame(spark, table(700, seed=8), 3), RDD.collect, []
+
+    def run(self, *args):
+        found = plain(self, *args)
+        told[-1] += sum(np.size(x) for row in found for x in row[1:])
+        return found
+
+    monkeypatch.setattr(RDD, "collect", run)
+    for bins in (8, 40):
+        told.append(0)
+        boosting.fit(rows, FEATURES, 2, 1.0, boosting.BoostingParams(**{**PARAMS.__dict__, "bins": bins}))
+    assert told[0] == told[1] > 0
+
+
+def test_best_of_the_columns_is_the_best_of_all():
+    rng, params = np.random.default_rng(7), boosting.BoostingParams(bins=5)
+    sums = rng.integers(1, 4, (3, 2, 4, 5, 6)) << 20
+    sums[:, :, :, 3:], sums[0, :, 1] = sums[:, :, :, :2], 0  # equal columns, and a node without rows
+    # all columns of a node hold the same rows
+    sums[..., -1] += sums.sum(axis=-1).max(axis=-1, keepdims=True) - sums.sum(axis=-1)
+    each = [boosting.best_splits(sums[..., c : c + 1, :], params) for c in range(5)]
+    whole, picked = boosting.best_splits(sums, params), boosting.best_columns(each)
+    assert whole.keys() == picked.keys() and all((whole[k] == picked[k]).all() for k in whole)
+    assert whole["missing_left"].any() and len(np.unique(whole["column"])) > 1
+
+
 def test_blocks_are_spread_over_the_slots():
     params = boosting.BoostingParams()
     assert [boosting.parts_of(n, 12, params) for n in (0, 15_000, 65_536, 90_000, 900_000, 5_400_000, 54_000_000)] == [1, 1, 1, 2, 12, 12, 60]
