@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kpiloom.catalog.registry import Workspace, query
 from kpiloom.catalog.relational import baseline, series_frame
 from kpiloom.models import anomaly, attrition, evaluate, forecast
+from kpiloom.operators.quantiles import counted_percentile
 from kpiloom.plans import kpi
 from kpiloom.session import fresh_path
 from kpiloom.sources import extracts
@@ -67,8 +68,14 @@ def anomaly_base(ws: Workspace):
     )
 
 
+def anomaly_median(ws: Workspace):
+    return extracts.extract(
+        ws.spark, ws.sf_dir, "anomaly-median", lambda: anomaly.median_review(anomaly_base(ws))
+    )
+
+
 def anomaly_rows(ws: Workspace):
-    return anomaly.feature_frame(anomaly_base(ws))
+    return anomaly.feature_frame(anomaly_base(ws), anomaly_median(ws))
 
 
 def forest_nodes(ws: Workspace):
@@ -422,7 +429,7 @@ def _(ws: Workspace):
 def _(ws: Workspace):
     """Every order has a score from -1 to 0 and is flagged exactly below the 5 % percentile."""
     scored = flagged_orders(ws)
-    cut = scored.agg(F.percentile("anomaly_score", 0.05)).scalar()
+    cut = counted_percentile(scored, "anomaly_score", 0.05).scalar()
     s = F.col("anomaly_score")
     return scored.select(
         "order_id", s.between(-1, 0).alias("in_range"), ((s < cut) == F.col("is_anomaly")).alias("flag_agrees")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions import columns as C
 from kpiloom.functions import lookups as L
-from kpiloom.operators.quantiles import exact_percentiles
+from kpiloom.operators.quantiles import counted_percentile, exact_percentiles
 from kpiloom.plans.kpi import Star, dated_orders
 
 FEATURES = [
@@ -44,7 +45,7 @@ _CARRIED = ["order_id", "price", "freight_value", "delivery_days", "review_score
 # -- features ---------------------------------------------------------------
 
 def median_review(orders: DataFrame) -> DataFrame:
-    return exact_percentiles(orders, "review_score", [0.5]).select(F.col("p0").alias("median"))
+    return counted_percentile(orders, "review_score", 0.5).select(F.col("p").alias("median"))
 
 
 def base_rows(star: Star) -> DataFrame:
@@ -66,14 +67,15 @@ def base_rows(star: Star) -> DataFrame:
     )
 
 
-def feature_frame(base: DataFrame) -> DataFrame:
+def feature_frame(base: DataFrame, median: DataFrame | None = None) -> DataFrame:
     """The eight model features of every selected order.
 
     A missing review becomes the median of the selected orders; any other
-    missing feature becomes zero. ``base`` is read twice, so pass a written
-    table when it is expensive to build.
+    missing feature becomes zero. Without ``median`` (``median_review(base)``) it is counted
+    from ``base`` at once, so pass both as written tables when they are expensive.
     """
-    review = F.coalesce(F.col("review_score"), median_review(base).scalar())
+    median = median_review(base) if median is None else median
+    review = F.coalesce(F.col("review_score"), median.scalar())
     return base.select(
         "order_id",
         "price",
@@ -225,25 +227,71 @@ class Forest:
     height: int
     subsample: int
 
+    @cached_property
+    def _packed(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Complete trees: the thresholds of each feature in order, each node's feature and its
+        threshold's place in that order, and the leaves' paths. Children of node ``i`` (from 1)
+        are ``2i`` and ``2i + 1``; below a leaf all nodes are that leaf."""
+        feature, threshold, at = [], [], np.zeros((len(self.feature), 1), dtype=np.int64)
+        for _ in range(self.height):
+            feature.append(np.take_along_axis(self.feature, at, 1))
+            threshold.append(np.take_along_axis(self.threshold, at, 1))
+            below = [np.take_along_axis(side, at, 1) for side in (self.left, self.right)]
+            at = np.stack(below, axis=2).reshape(len(at), -1)
+        none = np.zeros((len(at), 1), dtype=np.int64)
+        feature = np.concatenate([none, *feature], axis=1)
+        threshold = np.concatenate([none + np.inf, *threshold], axis=1)
+        cuts = [np.unique(threshold[feature == f]) for f in range(int(feature.max()) + 1)]
+        rank = np.zeros_like(feature)
+        for f, ordered in enumerate(cuts):
+            rank[feature == f] = np.searchsorted(ordered, threshold[feature == f])
+        return cuts, feature, rank, np.take_along_axis(self.path, at, 1)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """−2^(−mean depth / expected depth): lower is more anomalous."""
-        trees = len(self.feature)
         out = np.empty(len(x))
-        for start in range(0, len(x), 2048):
-            chunk = np.ascontiguousarray(x[start : start + 2048])
-            values, first = chunk.ravel(), np.arange(len(chunk)) * chunk.shape[1]
-            depth = np.empty((len(chunk), trees))
-            # a tree at a time: its nodes and the rows' places stay in the processor's cache
-            for t in range(trees):
-                feature, threshold, left, right = self.feature[t], self.threshold[t], self.left[t], self.right[t]
-                at = np.zeros(len(chunk), dtype=np.int64)
-                for _ in range(self.height):
-                    low = values.take(first + feature.take(at)) <= threshold.take(at)
-                    at = np.where(low, left.take(at), right.take(at))
-                depth[:, t] = self.path[t].take(at)
-            out[start : start + len(chunk)] = -np.exp2(-depth.mean(axis=1) / average_path(self.subsample))
+        for start in range(0, len(x), 10_000):
+            out[start : start + 10_000] = self._scores(x[start : start + 10_000])
         return out
 
+    def _scores(self, x: np.ndarray) -> np.ndarray:
+        """A value is at most a threshold if no more thresholds are below it than below that one, so
+        places stand for both. A word holds a feature's first place in the table of values and,
+        in its low bits, a place: one look-up gives a node, one the row's value, and their
+        difference has the sign of the side to take."""
+        cuts, feature, rank, path = self._packed
+        rows, trees = len(x), len(feature)
+        bits = max(len(c) for c in cuts).bit_length()
+        values = np.empty((len(cuts), rows), dtype=np.int64)
+        for f, ordered in enumerate(cuts):
+            values[f] = np.searchsorted(ordered, x[:, f]) + ((f * rows) << bits)
+        flat, first = values.ravel(), np.arange(rows)
+        at, node, place, value = (np.empty(rows, dtype=np.int64) for _ in range(4))
+        depth = np.empty((trees, rows))
+        # a tree at a time: its nodes and the rows' places stay in the processor's cache
+        for t in range(trees):
+            words = ((feature[t] * rows) << bits) + rank[t]
+            at.fill(1)
+            for level in range(self.height):
+                if level:
+                    words.take(at, out=node, mode="wrap")
+                    np.right_shift(node, bits, out=place)
+                    place += first
+                    flat.take(place, out=value, mode="wrap")
+                else:
+                    node.fill(words[1])
+                    value[:] = values[feature[t, 1]]
+                node -= value
+                node >>= 63  # -1 to the right, 0 to the left
+                at += at
+                at -= node
+            at -= 1 << self.height
+            path[t].take(at, out=depth[t], mode="wrap")
+        mean = np.empty(rows)
+        for start in range(0, rows, 1024):
+            mean[start : start + 1024] = np.ascontiguousarray(depth[:, start : start + 1024].T).mean(axis=1)
+        return -np.exp2(-mean / average_path(self.subsample))
+
 
 def save_forest(nodes: DataFrame, subsample: int, path: str) -> None:
     """Write the node table with what scoring must know: feature names and sample size."""

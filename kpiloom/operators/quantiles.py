@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.operators.keys import parts_for, range_buckets
@@ -100,6 +101,37 @@ def exact_percentiles(
     )
 
 
+def counted_percentile(df: DataFrame, value: str, quantile: float, buckets: int = 4096) -> DataFrame:
+    """One row ``p``: the linear-interpolated percentile as ``percentile`` gives it, without a sketch.
+
+    ``percentile`` brings every distinct value to one task. Here rows are counted in
+    order-preserving buckets, and only the distinct values of the one or two buckets that hold
+    the wanted ranks are ordered. NULLs do not count; without values ``p`` is NULL.
+    """
+    values = df.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    bucketed = range_buckets(values, "_v", "_bucket", buckets)
+    sizes = sorted(bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect())
+    rows = sum(n for _, n in sizes)
+    position = (rows - 1) * quantile
+    below, above = math.floor(position), math.ceil(position)
+    chosen, start, seen = [], 0, 0
+    for bucket, n in sizes:
+        if seen <= above and seen + n > below:
+            start = start if chosen else seen
+            chosen.append(bucket)
+        seen += n
+    distinct = bucketed.where(F.col("_bucket").isin(chosen)).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy().orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.withColumn("_end", F.lit(start) + F.sum("_n").over(running))
+
+    def at(rank: int) -> Column:
+        return F.min(F.when(F.col("_end") > rank, F.col("_v")))
+
+    lower, higher = at(below), at(above)
+    between = F.lit(above - position) * lower + F.lit(position - below) * higher
+    return ranked.agg(F.when(lower == higher, lower).otherwise(between).alias("p"))
+
+
 def exact_auc(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
     """One row ``auc``: rank-sum ROC-AUC, ties counted half.
 

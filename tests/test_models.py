@@ -422,3 +422,53 @@ def test_forest_scores_equal_a_walk_by_row_in_little_memory():
     for i in (0, 7, 2047):
         want = -(2 ** (-np.mean([depth(nodes, x[i]) for nodes in grown]) / anomaly.average_path(64)))
         assert got[i] == pytest.approx(want, abs=1e-12)
+
+
+def test_forest_scores_equal_a_plain_walk_bit_for_bit():
+    """Values on a threshold, without bound and not a number too."""
+    rng = np.random.default_rng(17)
+    x = np.round(rng.normal(size=(3000, len(anomaly.FEATURES))), 1)
+    grown = [anomaly._grow_tree(x[rng.choice(len(x), 100, replace=False)], rng) for _ in range(50)]
+    table = pd.DataFrame(
+        [(t, *node) for t, nodes in enumerate(grown) for node in nodes],
+        columns=["tree", "node", "feature", "threshold", "left", "right", "path"],
+    )
+
+    class Nodes:
+        def toPandas(self):
+            return table
+
+    forest = anomaly.load_forest(Nodes(), 100)
+    x[::5, 3] = rng.choice(table["threshold"][np.isfinite(table["threshold"])], len(x[::5]))
+    x[::7, 1], x[::11, 2], x[::13, 0] = np.inf, -np.inf, np.nan
+    x[::17] = np.nan
+    each = np.arange(len(x))
+    depth = np.empty((len(x), len(grown)))
+    for t in range(len(grown)):
+        at = np.zeros(len(x), dtype=int)
+        for _ in range(forest.height):
+            low = x[each, forest.feature[t][at]] <= forest.threshold[t][at]
+            at = np.where(low, forest.left[t][at], forest.right[t][at])
+        depth[:, t] = forest.path[t][at]
+    want = -np.exp2(-depth.mean(axis=1) / anomaly.average_path(100))
+    assert np.array_equal(forest.scores(x), want)
+    assert np.array_equal(forest.scores(x[:1]), want[:1]) and len(forest.scores(x[:0])) == 0
+
+
+def test_a_tree_of_one_leaf_scores(spark):
+    nodes = spark.createDataFrame([(0, 0, 0, float("inf"), 0, 0, 1.0)], anomaly._NODE_SCHEMA)
+    x = np.array([[1.0] * len(anomaly.FEATURES), [np.nan] * len(anomaly.FEATURES)])
+    assert anomaly.load_forest(nodes, 2).scores(x).tolist() == [-0.5, -0.5]
+
+
+def test_features_read_a_known_median_instead_of_the_rows(spark):
+    base = spark.createDataFrame(
+        [(1, 10.0, None, 1, 4.0, 3, 0, 1), (2, 20.0, 1.0, None, None, 4, 1, 2)],
+        "order_id BIGINT, price DOUBLE, freight_value DOUBLE, payment_installments INT, "
+        "review_score DOUBLE, delivery_days INT, dow_num INT, month INT",
+    )
+    want = anomaly.feature_frame(base).orderBy("order_id").collect()
+    median = spark.createDataFrame([(4.0,)], "median DOUBLE")
+    known = anomaly.feature_frame(base, median)
+    assert known.orderBy("order_id").collect() == want
+    assert "percentile" not in known._jdf.queryExecution().toString()

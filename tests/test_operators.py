@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kpiloom.operators import keys
-from kpiloom.operators.quantiles import exact_auc, exact_percentiles
+from kpiloom.operators.quantiles import counted_percentile, exact_auc, exact_percentiles
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -24,6 +24,22 @@ def test_percentiles_match_numpy(spark, values):
     assert row["n"] == len(values)
 
 
+@pytest.mark.parametrize(("quantile", "buckets"), [(0.05, 7), (0.731, 4096)])
+def test_counted_percentile_is_that_of_the_plain_aggregate(spark, quantile, buckets):
+    rng = np.random.default_rng(23)
+    tied = np.concatenate([-rng.random(3000), np.full(1500, -0.45), -0.45 + rng.random(500) * 1e-12])
+    for values in (tied, rng.normal(size=777) * 1e6, np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in rng.permutation(values)] + [(None,)], "v DOUBLE")
+        want = df.agg(F.percentile("v", quantile)).first()[0]
+        assert counted_percentile(df, "v", quantile, buckets).first()["p"] == want
+
+
+def test_counted_percentile_without_values_is_null(spark):
+    df = spark.createDataFrame([(None,)], "v DOUBLE")
+    assert counted_percentile(df, "v", 0.05).collect() == [(None,)]
+    assert counted_percentile(df.limit(0), "v", 0.05).collect() == [(None,)]
+
+
 @pytest.mark.parametrize("accuracy", [10, 100, 100_000])
 def test_percentiles_with_coarse_sketch_and_hot_value(spark, accuracy):
     """A coarse sketch leaves wide brackets and real gap cells; results stay exact."""

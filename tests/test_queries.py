@@ -64,6 +64,12 @@ def test_unused_branches_are_not_read(spark, small):
     assert "o_orderpriority" not in gmv and "l_shipdate" not in gmv and "customer.parquet" not in gmv
 
 
+def test_the_cut_of_the_scores_is_not_made_by_one_task(spark, small):
+    """``percentile`` brings every distinct score to one task; it was a scalar subquery of the plan."""
+    plan = queries()["isolation_forest_score_rows"](spark, small)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan
+
+
 def test_filters_reach_the_scan(spark, small):
     lines = workspace(spark, small).table("lineitem").where(F.col("l_quantity") > 45)
     assert re.search(r"PushedFilters: \[.*GreaterThan\(l_quantity,45", plan_of(lines))
